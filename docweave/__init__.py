@@ -1 +1,8 @@
 """Spark-native analytics for long documents: chunks, vectors, evidence, graphs and lifecycle tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
