@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .knn import similar_pairs
 from .leak import find_leaks
 from .split import split_oversized
 from .tokenize import encode_corpus
@@ -25,6 +26,16 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(read_table(spark, root, "chunks"))
 
 
+def usable_points(points: DataFrame) -> DataFrame:
+    """Vector rows that a search may return: no control rows, nothing tombstoned."""
+    return points.where("vector_point and graph_control_point is null and graph_tombstoned is not true").select("chunk_uid", "embedding")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = similar_pairs(usable_points(read_table(spark, root, "points")), least=0.8)
+    return pairs.select(F.col("a").alias("chunk_uid_a"), F.col("b").alias("chunk_uid_b"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(read_table(spark, root, "documents"), TOKENIZER_FILE)
 
@@ -34,7 +45,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,7 +54,6 @@ def cuts(text: str) -> list[int]:
     return ends
 
 
-@lru_cache(maxsize=4)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -74,14 +72,6 @@ def _pieces(enc) -> tuple[list[int], list[int]]:
     return ends, [offsets[i - 1][1] for i in ends]
 
 
-def _encode_batch(path: str, texts: list[str]):
-    return _tokenizer(path).encode_batch(texts, add_special_tokens=False)
-
-
-def _decode(path: str, ids: list[int]) -> str:
-    return _tokenizer(path).decode(ids, skip_special_tokens=False)
-
-
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
@@ -101,9 +91,10 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _encoder(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = _tokenizer(path)
         for b in batches:
             ids, heads, head_chars, tails = [], [], [], []
-            for e in _encode_batch(path, b["_piece"].tolist()):
+            for e in tok.encode_batch(b["_piece"].tolist(), add_special_tokens=False):
                 ends, chars = _pieces(e)
                 ids.append(e.ids)
                 heads.append(ends[:HEAD])
@@ -114,15 +105,15 @@ def _encoder(path: str):
     return run
 
 
-def join_encodings(path: str, parts: list[tuple]) -> list[int]:
+def join_encodings(tok, parts: list[tuple]) -> list[int]:
     """The ids of the joined text from the encodings of its stretches, each (ids, head ends, head characters, tail)."""
     out, tail = list(parts[0][0]), parts[0][3]
     for ids, head, chars, own_tail in parts[1:]:
         at = len(out) - tail
-        left = _decode(path, out[at:])
+        left = tok.decode(out[at:], skip_special_tokens=False)
         known = dict(zip((len(left) + c for c in chars), head))
         upto = head[-1]
-        again = _encode_batch(path, [left + _decode(path, ids[:upto])])[0]
+        again = tok.encode(left + tok.decode(ids[:upto], skip_special_tokens=False), add_special_tokens=False)
         ends, marks = _pieces(again)
         # the last TAIL pieces of the window may still change with what follows, unless nothing is left out
         trusted = len(ends) if upto == len(ids) else len(ends) - TAIL
@@ -133,7 +124,7 @@ def join_encodings(path: str, parts: list[tuple]) -> list[int]:
             out += ids[known[marks[found]] :]
             tail = own_tail
         else:
-            again = _encode_batch(path, [left + _decode(path, ids)])[0]
+            again = tok.encode(left + tok.decode(ids, skip_special_tokens=False), add_special_tokens=False)
             ends, _ = _pieces(again)
             del out[at:]
             out += again.ids
@@ -143,11 +134,12 @@ def join_encodings(path: str, parts: list[tuple]) -> list[int]:
 
 def _joiner(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = _tokenizer(path)
         for b in batches:
             out = []
             for parts in b["_parts"]:
                 parts = sorted(parts, key=lambda p: p["_ord"])
-                out.append(join_encodings(path, [([int(x) for x in p["_ids"]], [int(x) for x in p["_head"]], [int(x) for x in p["_chars"]], int(p["_tail"])) for p in parts]))
+                out.append(join_encodings(tok, [([int(x) for x in p["_ids"]], [int(x) for x in p["_head"]], [int(x) for x in p["_chars"]], int(p["_tail"])) for p in parts]))
             yield pd.DataFrame({"_id": b["_id"], "_n": b["_n"], "_out": out})
 
     return run
