@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SAMPLE, LIST_ROWS, MOST_LISTS, PROBES, PARTS, RERANK, TILE, QUERY_TILE = 32_768, 200, 4096, 10, 8, 48, 16_384, 65_536
+SAMPLE, LIST_ROWS, MOST_LISTS, PROBES, PARTS, RERANK, SLACK, TILE, QUERY_TILE = 32_768, 200, 4096, 6, 8, 256, 0.25, 16_384, 65_536
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -122,13 +122,25 @@ def _scan(c: np.ndarray, books: np.ndarray, k: int, rerank: int, least: float |
             for p in range(parts):
                 table = padded[:, p * width : (p + 1) * width] @ books[p].T
                 approx += table[:, codes[:, p]]
-            best = np.argpartition(-approx, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(qq), 1))
-            exact = np.einsum("mrd,md->mr", x[best], qq)
-            exact[ids[best] == own[:, None]] = -9
-            if keep > k:
-                exact[exact < -np.partition(-exact, k - 1, axis=1)[:, k - 1 : k] - 4e-6] = -9
-            rows, cols = np.nonzero(exact > (-2 if least is None else least - 1e-5))
-            out.append((own[rows], ids[best[rows, cols]], exact[rows, cols]))
+            if least is not None:
+                # far from the wanted cosine nothing needs its vector; the table's error is far below SLACK
+                approx[approx < least - SLACK] = -np.inf
+            if keep < n:
+                full = np.flatnonzero((approx > -np.inf).sum(1) > keep)
+                floor = np.partition(approx[full], n - keep, axis=1)[:, n - keep : n - keep + 1]
+                approx[full] = np.where(approx[full] < floor, -np.inf, approx[full])
+            rows, cols = np.nonzero(approx > -np.inf)
+            exact = np.einsum("ij,ij->i", x[cols], qq[rows])
+            good = ids[cols] != own[rows]
+            if least is not None:
+                good &= exact > least - 1e-5
+            rows, cols, exact = rows[good], cols[good], exact[good]
+            order = np.lexsort((-exact, rows))
+            rows, cols, exact = rows[order], cols[order], exact[order]
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, dtype=np.int64)
+            rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+            top = rank < 2 * k
+            out.append((own[rows[top]], ids[cols[top]], exact[top]))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from .knn import similar_pairs
 from .leak import find_leaks
+from .neardup import NearDuplicates
 from .split import split_oversized
 from .tokenize import encode_corpus
 
@@ -26,6 +27,11 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(read_table(spark, root, "chunks"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = NearDuplicates(read_table(spark, root, "chunks")).pairs()
+    return pairs.select(F.col("a").alias("chunk_uid_a"), F.col("b").alias("chunk_uid_b"))
+
+
 def usable_points(points: DataFrame) -> DataFrame:
     """Vector rows that a search may return: no control rows, nothing tombstoned."""
     return points.where("vector_point and graph_control_point is null and graph_tombstoned is not true").select("chunk_uid", "embedding")
@@ -45,7 +51,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p7_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
