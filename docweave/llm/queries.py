@@ -11,6 +11,7 @@ from ..sources.tables import read_table
 from .knn import similar_pairs
 from .leak import find_leaks
 from .neardup import NearDuplicates
+from .pii import find_personal, replace_personal
 from .split import split_oversized
 from .tokenize import encode_corpus
 
@@ -50,8 +51,16 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return find_personal(read_table(spark, root, "documents")).select("doc_id", "kind", "start_char")
+
+
+def p9_texts(spark: SparkSession, root: str) -> DataFrame:
+    return replace_personal(read_table(spark, root, "documents"), key="docweave")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p7_ids, p8_found, p9_found, p9_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
