@@ -254,7 +254,9 @@ def mask(text: str, key: bytes) -> tuple[str, str, int]:
         if own not in names:
             numbers[kind] += 1
             names[own] = f"[{kind.upper()}_{numbers[kind]}]"
-        placed += [text[last:s], names[own]]
+        # "(415) 555-0191" begins at its 4; the bracket goes with it
+        cut = s - 1 if s > last and text[s - 1] == "(" and item.count(")") > item.count("(") else s
+        placed += [text[last:cut], names[own]]
         kept += [text[last:s], made.replace(item, kind)]
         last = e
     return "".join(placed) + text[last:], "".join(kept) + text[last:], len(items)

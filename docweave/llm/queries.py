@@ -14,6 +14,7 @@ from .neardup import NearDuplicates
 from .pii import find_personal, replace_personal
 from .split import split_oversized
 from .tokenize import encode_corpus
+from .variants import link_variants, variant_pairs
 
 #: Where the vocabulary file lies on every executor.
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -43,6 +44,15 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_uid_a"), F.col("b").alias("chunk_uid_b"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = variant_pairs(link_variants(read_table(spark, root, "entities")))
+    return pairs.select(F.col("a").alias("canonical_id_a"), F.col("b").alias("canonical_id_b"))
+
+
+def p6_links(spark: SparkSession, root: str) -> DataFrame:
+    return link_variants(read_table(spark, root, "entities"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(read_table(spark, root, "documents"), TOKENIZER_FILE)
 
@@ -60,7 +70,7 @@ def p9_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p7_ids, p8_found, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
