@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
@@ -64,3 +66,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def share(spark: SparkSession, value: object):
+    """Broadcast ``value`` so that workers without this package can load it: ``load_shared(shared)``.
+
+    For values of a size bounded by construction only.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def load_shared(shared) -> object:
+    return pickle.loads(shared.value)
