@@ -12,6 +12,7 @@ from .knn import similar_pairs
 from .leak import find_leaks
 from .neardup import NearDuplicates
 from .pii import find_personal, replace_personal
+from .scans import Scans
 from .split import split_oversized
 from .tokenize import encode_corpus
 from .variants import link_variants, variant_pairs
@@ -29,6 +30,14 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(read_table(spark, root, "chunks"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return Scans(read_table(spark, root, "chunks")).found
+
+
+def p2_texts(spark: SparkSession, root: str) -> DataFrame:
+    return Scans(read_table(spark, root, "chunks")).repaired()
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = NearDuplicates(read_table(spark, root, "chunks")).pairs()
     return pairs.select(F.col("a").alias("chunk_uid_a"), F.col("b").alias("chunk_uid_b"))
@@ -70,7 +79,7 @@ def p9_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
