@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.hierarchy import chunk_links, descendants, resolve_hierarchy
 from ..sources.tables import read_table
+from . import text_queries
+
+MODULES = (text_queries,)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +33,8 @@ def p4_descendants(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_nodes, p4_descendants)}
+    own = {f.__name__: f for f in (p4_found, p4_nodes, p4_descendants)}
+    return own | {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 _LINKS = """links as (
@@ -41,15 +45,15 @@ up as (select l.node, p.node as parent from links l left join links p on l.paren
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return {k: v for m in MODULES for k, v in m.SQL.items()} | {
         # a node is on a ring if a walk up from it meets it again; UNION ends the walks
         "p4_found": f"""with recursive {_LINKS},
-          walk(node, at) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.at = u.node where u.parent is not null),
-          on_ring as (select node from walk where node = at)
-          select w.node as chunk_uid, min(w.at) as ring_uid from walk w join on_ring r on w.node = r.node group by 1""",
+          walk(node, place) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.place = u.node where u.parent is not null),
+          on_ring as (select node from walk where node = place)
+          select w.node as chunk_uid, min(w.place) as ring_uid from walk w join on_ring r on w.node = r.node group by 1""",
         "p4_descendants": f"""with recursive {_LINKS},
-          walk(node, at) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.at = u.node where u.parent is not null),
-          on_ring as (select node from walk where node = at),
+          walk(node, place) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.place = u.node where u.parent is not null),
+          on_ring as (select node from walk where node = place),
           free as (select u.node, case when r.node is null then u.parent end as parent from up u left join on_ring r on u.node = r.node),
           down(ancestor, descendant, distance) as (select parent, node, 1 from free where parent is not null union all select f.parent, d.descendant, d.distance + 1 from down d join free f on d.ancestor = f.node where f.parent is not null)
           select ancestor, descendant, distance from down""",
