@@ -63,12 +63,17 @@ class Boosted:
         """The probability of class 1 of each row."""
         x = np.atleast_2d(np.asarray(x, dtype=np.float64))
         f = np.full(len(x), self.base)
-        for tree in self.trees:
+        rows = np.arange(len(x))
+        for feature, edge, right, value in self._compiled():
             at = np.zeros(len(x), dtype=np.int64)
-            feature, edge, right, value = (np.array([t[i] for t in tree]) for i in range(4))
             for _ in range(self.depth):
-                inner = feature[at] >= 0
-                go_left = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= edge[at]
-                at = np.where(inner, np.where(go_left, at + 1, right[at].astype(np.int64)), at)
+                own = feature[at]
+                go_left = x[rows, np.maximum(own, 0)] <= edge[at]
+                at = np.where(own >= 0, np.where(go_left, at + 1, right[at]), at)
             f += self.rate * value[at]
         return 1 / (1 + np.exp(-f))
+
+    def _compiled(self) -> list[tuple]:
+        if not hasattr(self, "arrays"):
+            self.arrays = [(np.array([t[0] for t in tree]), np.array([t[1] for t in tree]), np.array([t[2] for t in tree]), np.array([t[3] for t in tree])) for tree in self.trees]
+        return self.arrays

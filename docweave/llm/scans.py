@@ -36,6 +36,7 @@ _FOLIO = re.compile(rf"(?:(?:page|p\.|pp\.|seite|s\.|página|pág\.)\s*(?P<a>\d{
 _EDGE_NUMBER = re.compile(r"^(?:(?P<a>\d{1,4})(?:\s{2,}|\t|\s*[|·•]\s*)(?P<x>\D.*)|(?P<y>.*\D)(?:\s{2,}|\t|\s*[|·•]\s*)(?P<b>\d{1,4}))$")
 _TITLE = re.compile(r"[^.!?;]*(?:, (?:vol|no|nr|bd)\. ?\d+|[^\W_)]|\))", re.I)
 _TABLE = re.compile(r"^\s*\|.*\|\s*$", re.M)
+_OPENING = re.compile(r"(?:^|[.!?]\s+)([^\W\d_]+)")
 _HYPHEN_END = re.compile(rf"([^\W\d_]+)[{_SIGNS}][ \t]*$")
 
 
@@ -129,8 +130,10 @@ class LineModel:
             keep = ~np.array(doubt)
             self.model = Boosted().fit(x[keep], np.array(labels)[keep])
 
-    def score(self, lines: list[str], i: int, page: int | None) -> float:
-        return 0.0 if self.model is None else float(self.model.predict(np.array([_features(lines, i, self.scores, page)]))[0])
+    def score(self, lines: list[tuple[list[str], int, int | None]]) -> np.ndarray:
+        if self.model is None or not lines:
+            return np.zeros(len(lines))
+        return self.model.predict(np.array([_features(ls, i, self.scores, p) for ls, i, p in lines]))
 
 
 def surroundings(lines: list[str], i: int) -> str:
@@ -163,6 +166,17 @@ def split_words(lines: list[str], page: int | None, table: bool, known, furnitur
 
 def explain(seen: str, meant: str) -> tuple[int, int, float]:
     """(confusions, other edits, cost) of the cheapest way to read ``meant`` as ``seen``."""
+    i = 0
+    while i < min(len(seen), len(meant)) and seen[i] == meant[i]:
+        i += 1
+    j = 0
+    while j < min(len(seen), len(meant)) - i and seen[-1 - j] == meant[-1 - j]:
+        j += 1
+    # a confusion may begin or end with a letter that is equal by chance
+    i, j = max(0, i - 1), max(0, j - 1)
+    seen, meant = seen[i : len(seen) - j], meant[i : len(meant) - j]
+    if abs(len(seen) - len(meant)) > 4:
+        return 0, 9, 9.0
     n, m = len(seen), len(meant)
     best = {(0, 0): (0.0, 0, 0)}
     for i in range(n + 1):
@@ -289,19 +303,27 @@ class WordModel:
                         y.append(False)
         return Boosted().fit(np.array(x), np.array(y)) if sum(y) >= 8 else None
 
-    def read(self, token: str, count: int) -> str | None:
-        """The word a token was printed as, if the token is a misreading."""
-        if token in self.misread:
-            return self.misread[token]
-        if token in self.counts or self.model is None:
-            return None
-        found = self.candidates(token)
-        if not found:
-            return None
-        p = self.model.predict(np.array([self.features(token, count, v, o) for v, o in found]))
-        best = int(p.argmax())
-        # what confusions do not explain at all stays as it is
-        return found[best][0] if p[best] > 0.5 and explain(token, found[best][0])[0] > 0 else None
+    def read(self, tokens: list[tuple[str, int]]) -> list[str | None]:
+        """The words that tokens, given with their counts, were printed as; None where a token is no misreading."""
+        out: list[str | None] = [self.misread.get(t) for t, _ in tokens]
+        if self.model is None:
+            return out
+        x, at, words, fit = [], [], [], []
+        for k, (t, n) in enumerate(tokens):
+            if out[k] is None and t not in self.counts:
+                for v, o in self.candidates(t):
+                    f = self.features(t, n, v, o)
+                    # what confusions do not explain stays as it is
+                    if f[0] > 0 and f[1] <= 1:
+                        x.append(f)
+                        at.append(k)
+                        words.append(v)
+        if x:
+            best: dict[int, float] = {}
+            for k, v, p in zip(at, words, self.model.predict(np.array(x))):
+                if p > max(0.5, best.get(k, 0.0)):
+                    best[k], out[k] = p, v
+        return out
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,16 +337,21 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def odd_tokens(text: str, known: set[str]) -> set[str]:
     """Tokens that may be misreadings: in lower case, or with a sign no word has, or at the beginning of a sentence."""
-    out = set()
-    for w in set(_TOKEN.findall(text)) - known:
+    out: set[str] = set()
+    odd = set(_TOKEN.findall(text)) - known
+    opening = None
+    for w in odd:
         w = w.strip("!")
         if len(w) < 3 or len(w) > 30 or w in known or not any(c.isalpha() for c in w):
             continue
         if all(c.isalpha() and c not in _ODD for c in w):
             if w.islower():
                 out.add(w)
-            elif w[0].isupper() and w[1:].islower() and w.lower() not in known and re.search(rf"(?:^|[.!?]\s+)(?:{w})\b", text):
-                out.add(w)
+            elif w[0].isupper() and w[1:].islower():
+                if opening is None:
+                    opening = set(_OPENING.findall(text))
+                if w in opening:
+                    out.add(w)
         elif sum(c.isalpha() for c in w) >= 2 and all(c.isalpha() or c in _ODD for c in w) and (w[0].islower() or w[1:].islower()):
             out.add(w)
     return out
@@ -342,7 +369,7 @@ def _marks(words, model: LineModel):
         known |= {w[0].upper() + w[1:] for w in known}
         plain = set(vocabulary.counts)
         for b in batches:
-            rows = []
+            rows, titles, asked = [], [], []
             for u, d, p, k, t in zip(b["_uid"], b["_doc"], b["_page"], b["_kind"], b["_text"]):
                 page = None if p is None or p != p else int(p)
                 table = k == "table" or bool(_TABLE.search(t))
@@ -358,10 +385,11 @@ def _marks(words, model: LineModel):
                             continue
                         title = title_of(x)
                         if title and not table:
-                            s = model.score(ls, i, page)
-                            rows.append((u, d, "numbered" if title[1] else "title", title_key(title[0]), surroundings(ls, i), s))
+                            asked.append((ls, i, page))
+                            titles.append((u, d, "numbered" if title[1] else "title", title_key(title[0]), surroundings(ls, i)))
                     t = _without_halves(t)
                 rows += [(u, d, "token", w, None, None) for w in odd_tokens(t, known)]
+            rows += [(*t, float(s)) for t, s in zip(titles, model.score(asked))]
             yield pd.DataFrame(rows, columns=["_uid", "_doc", "mark", "key", "around", "score"])
 
     return run
@@ -371,8 +399,8 @@ def _readings(words):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = load_shared(words)
         for b in batches:
-            found = [(w, m.read(w if w[0].islower() or not w[0].isalpha() else w.lower(), int(n))) for w, n in zip(b["key"], b["n"])]
-            yield pd.DataFrame([f for f in found if f[1]], columns=["key", "word"])
+            read = m.read([(w if w[0].islower() or not w[0].isalpha() else w.lower(), int(n)) for w, n in zip(b["key"], b["n"])])
+            yield pd.DataFrame([(w, r) for w, r in zip(b["key"], read) if r], columns=["key", "word"])
 
     return run
 
@@ -403,8 +431,10 @@ class Scans:
         seen = titles.groupBy("_doc", "key").agg(F.countDistinct("around").alias("_n"), F.max("score").alias("_s"), F.max(F.when(F.col("mark") == "numbered", 1).otherwise(0)).alias("_e"))
         heads = seen.where("_s > 0.5 or (_n >= 2 and _s > 0.1) or _n >= 3")
         self.heads = titles.join(heads.select("_doc", "key"), ["_doc", "key"]).select("_uid", "key", "mark").distinct()
+        # few bytes but much work: spread by number, not by size
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         tokens = self.marks.where("mark = 'token'").select("_uid", "key")
-        self.readings = materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).mapInPandas(_readings(words), "key string, word string"), "scan-readings")
+        self.readings = materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).repartition(parts, "key").mapInPandas(_readings(words), "key string, word string"), "scan-readings")
         self.misread = tokens.join(self.readings, "key")
         kinds = self.marks.where("mark in ('hyphen', 'folio')").select("_uid", F.col("mark").alias("kind"))
         kinds = kinds.unionByName(self.heads.select("_uid", F.lit("header").alias("kind"))).unionByName(self.heads.where("mark = 'numbered'").select("_uid", F.lit("folio").alias("kind")))
