@@ -164,6 +164,11 @@ def split_words(lines: list[str], page: int | None, table: bool, known, furnitur
     return out
 
 
+_BY_SIGN: dict[str, list[tuple[str, str]]] = {}
+for _a, _b in CONFUSIONS:
+    _BY_SIGN.setdefault(_b[0], []).append((_a, _b))
+
+
 def explain(seen: str, meant: str) -> tuple[int, int, float]:
     """(confusions, other edits, cost) of the cheapest way to read ``meant`` as ``seen``."""
     i = 0
@@ -175,7 +180,7 @@ def explain(seen: str, meant: str) -> tuple[int, int, float]:
     # a confusion may begin or end with a letter that is equal by chance
     i, j = max(0, i - 1), max(0, j - 1)
     seen, meant = seen[i : len(seen) - j], meant[i : len(meant) - j]
-    if abs(len(seen) - len(meant)) > 4:
+    if max(len(seen), len(meant)) > 8:
         return 0, 9, 9.0
     n, m = len(seen), len(meant)
     best = {(0, 0): (0.0, 0, 0)}
@@ -186,24 +191,19 @@ def explain(seen: str, meant: str) -> tuple[int, int, float]:
                 continue
             c, p, q = at
             steps = []
-            if i < n and j < m and seen[i] == meant[j]:
+            same = i < n and j < m and seen[i] == meant[j]
+            if same:
                 steps.append((i + 1, j + 1, 0.0, 0, 0))
-            else:
-                for a, b in CONFUSIONS:
-                    if seen.startswith(b, i) and meant.startswith(a, j):
-                        steps.append((i + len(b), j + len(a), 0.3, 1, 0))
-                if i < n and seen[i] == "�" and j < m:
-                    steps.append((i + 1, j + 1, 0.35, 1, 0))
+            for a, b in _BY_SIGN.get(seen[i], ()) if i < n else ():
+                if (not same or len(a) + len(b) > 2) and seen.startswith(b, i) and meant.startswith(a, j):
+                    steps.append((i + len(b), j + len(a), 0.3, 1, 0))
+            if not same:
                 if i < n and j < m:
-                    steps.append((i + 1, j + 1, 1.0, 0, 1))
+                    steps.append((i + 1, j + 1, 0.35, 1, 0) if seen[i] == "�" else (i + 1, j + 1, 1.0, 0, 1))
                 if i < n:
                     steps.append((i + 1, j, 1.0, 0, 1))
                 if j < m:
                     steps.append((i, j + 1, 1.0, 0, 1))
-            if i < n and j < m and seen[i] == meant[j]:
-                for a, b in CONFUSIONS:
-                    if len(a) + len(b) > 2 and seen.startswith(b, i) and meant.startswith(a, j):
-                        steps.append((i + len(b), j + len(a), 0.3, 1, 0))
             for x, y, d, e, f in steps:
                 z = (c + d, p + e, q + f)
                 if (x, y) not in best or z < best[x, y]:
@@ -250,7 +250,7 @@ class WordModel:
 
     def candidates(self, token: str, k: int = 8) -> list[tuple[str, float]]:
         # a short token shares few letter pairs with the word it was, so more words are looked at
-        k, t = (k if len(token) > 4 else 6 * k), token
+        k, t = (k if len(token) > 4 else 4 * k), token
         for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
             t = t.replace(a, b)
         lists = [self.index[p] for p in set(_pairs(t)) if p in self.index]
@@ -434,7 +434,7 @@ class Scans:
         # few bytes but much work: spread by number, not by size
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         tokens = self.marks.where("mark = 'token'").select("_uid", "key")
-        self.readings = materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).repartition(parts, "key").mapInPandas(_readings(words), "key string, word string"), "scan-readings")
+        self.readings = materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).repartition(parts, F.xxhash64("key")).mapInPandas(_readings(words), "key string, word string"), "scan-readings")
         self.misread = tokens.join(self.readings, "key")
         kinds = self.marks.where("mark in ('hyphen', 'folio')").select("_uid", F.col("mark").alias("kind"))
         kinds = kinds.unionByName(self.heads.select("_uid", F.lit("header").alias("kind"))).unionByName(self.heads.where("mark = 'numbered'").select("_uid", F.lit("folio").alias("kind")))
