@@ -1,6 +1,6 @@
 """Near-duplicate texts by a parity-sketch join.
 
-A text is its set of words. Every word toggles one bit of a sparse sketch of 2^26 bits, so the Hamming distance of two
+A text is its set of words. Every word toggles one bit of a sparse sketch of 2^31 bits, so the Hamming distance of two
 sketches never exceeds the size of the sets' symmetric difference. A Jaccard similarity of at least t allows a set of n
 words at most n - ceil(t n) words of its own, hence few set bits of its own: by the pigeonhole principle two similar sketches share
 one of their so many plus one rarest set bits. Those bits, within bands of set sizes, are the join keys; a bit held
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 THRESHOLD, LEAST_WORDS = 0.75, 25
-BITS, BUCKETS, HOT = 26, 20, 4096
+BITS, BUCKETS, HOT = 31, 20, 4096
 _WORDS = re.compile(r"[^\W_]+")
+_MIX, _LOW, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 55) - 1), np.uint64(1 << 55)
 
 
 def word_set(text: str) -> set[str]:
@@ -92,14 +93,18 @@ def _postings(shared, t: float, spare: int, hot: int):
             key, ids, size, sketch, guest = [], [], [], [], []
             for i, n, bits in zip(b["_id"], b["_n"], b["_bits"]):
                 f = often[bits >> (BITS - BUCKETS)]
-                order = np.lexsort((bits, f))[: most_own(n, t) + spare + 2]
+                need = most_own(n, t) + spare + 1
+                order = np.lexsort((bits, f))[: need + 1]
                 bits_, f = bits[order].astype(np.uint64), f[order]
-                single = bits_[(f > 1) & (f <= hot)]
+                # only a set with a hot bit among its keys needs the one bit more
+                if not (f[:need] > hot).any():
+                    bits_, f = bits_[:need], f[:need]
+                keys = bits_[(f > 1) & (f <= hot)]
                 many = np.sort(bits_[f > hot])
-                keys = single + np.uint64(1)
                 if len(many) > 1:
                     p, q = np.triu_indices(len(many), 1)
-                    keys = np.concatenate((keys, ((many[p] + np.uint64(1)) << np.uint64(BITS + 1)) | (many[q] + np.uint64(1))))
+                    both = (many[p] << np.uint64(31) | many[q]) * _MIX
+                    keys = np.concatenate((keys, (both ^ (both >> np.uint64(29))) & _LOW | _HIGH))
                 if not len(keys):
                     continue
                 band = int(band_of(np.array([n]))[0])
@@ -136,13 +141,13 @@ def _partners(t: float):
                 sk = np.frombuffer(b"".join(b["_sk"].iloc[s:e]), dtype=np.uint64).reshape(e - s, -1)
                 edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                 runs = np.diff(np.r_[edge, len(k)])
-                length = np.repeat(runs, runs)
-                rows = np.arange(len(k))
-                for d in range(1, int(min(runs.max(), 48))):
-                    i = rows[:-d][(k[d:] == k[:-d]) & (length[:-d] <= 48)]
-                    if not len(i):
-                        break
+                left = np.repeat(edge + runs, runs) - np.arange(len(k))
+                i = np.flatnonzero((left > 1) & (np.repeat(runs, runs) <= 48))
+                d = 1
+                while len(i):
                     out.append(tuple(ids[x] for x in close(i, i + d, n, g, sk)))
+                    d += 1
+                    i = i[left[i] > d]
                 for a, m in zip(edge[runs > 48], runs[runs > 48]):
                     for x in range(0, m, 512):
                         left = np.arange(a + x, a + min(m, x + 512))
