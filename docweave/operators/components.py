@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     aggregated partially before each shuffle. Self-loops make a component of one; null ends are left out. An
     empty table gives an empty result.
     """
-    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    both = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "components-edges")
     nodes = both.select(F.col("u").alias("node")).unionByName(both.select(F.col("v").alias("node"))).distinct()
     e = materialize(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     for _ in range(most_rounds):
