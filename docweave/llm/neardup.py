@@ -55,7 +55,10 @@ def _sketches(least_words: int):
                 known.clear()
             uid, key, size, bits = [], [], [], []
             for u, t in zip(b["_uid"], b["_text"]):
-                words = word_set(t)
+                words = _WORDS.findall(t)
+                if len(words) < least_words:
+                    continue
+                words = set("\n".join(words).lower().split("\n"))
                 if len(words) < least_words:
                     continue
                 own: set[int] = set()
@@ -63,7 +66,10 @@ def _sketches(least_words: int):
                     h = known.get(w)
                     if h is None:
                         h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> (64 - BITS)
-                    own ^= {h}
+                    if h in own:
+                        own.remove(h)
+                    else:
+                        own.add(h)
                 uid.append(u)
                 key.append(xxhash.xxh3_128_digest("\n".join(sorted(words)).encode("utf-8", "surrogatepass")))
                 size.append(len(words))
@@ -124,13 +130,34 @@ def _postings(shared, t: float, spare: int, hot: int):
 def _partners(t: float):
     near = (1 - t) / (1 + t)
 
-    def close(i: np.ndarray, j: np.ndarray, n: np.ndarray, g: np.ndarray, sk: np.ndarray) -> np.ndarray:
-        ok = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & ~(g[i] & g[j])
+    def close(i: np.ndarray, j: np.ndarray, n: np.ndarray, g: np.ndarray, sk: list[np.ndarray]) -> np.ndarray:
+        d = np.bitwise_count(sk[0][i] ^ sk[0][j]).astype(np.int16)
+        for w in sk[1:]:
+            d += np.bitwise_count(w[i] ^ w[j])
+        ok = np.flatnonzero(d <= near * (n[i] + n[j]) + 1e-9)
         i, j = i[ok], j[ok]
-        d = np.bitwise_count(sk[i] ^ sk[j]).sum(1)
-        ok = d <= near * (n[i] + n[j]) + 1e-9
+        ok = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9) & ~(g[i] & g[j])
         return i[ok], j[ok]
 
+    def tiles(rows: np.ndarray, n: np.ndarray, g: np.ndarray, sk: list[np.ndarray]):
+        """All pairs of a large group, tile by tile; in order of size, so that partners are a run of rows."""
+        rows = rows[np.argsort(n[rows], kind="stable")]
+        m = n[rows]
+        own = [w[rows] for w in sk]
+        for x in range(0, len(rows), 256):
+            end = min(len(rows), x + 256)
+            last = int(np.searchsorted(m, m[end - 1] / t + 1e-9, side="right"))
+            for y in range(x, last, 8192):
+                stop = min(last, y + 8192)
+                d = np.bitwise_count(own[0][x:end, None] ^ own[0][None, y:stop])
+                if len(own) > 1:
+                    d = d.astype(np.uint16) if len(own) > 3 else d
+                    for w in own[1:]:
+                        d += np.bitwise_count(w[x:end, None] ^ w[None, y:stop])
+                i, j = np.nonzero(d <= (near * (m[end - 1] + m[y:stop]) + 1e-9).astype(d.dtype)[None, :])
+                ok = i + x < j + y
+                yield close(rows[i[ok] + x], rows[j[ok] + y], n, g, sk)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(b: pd.DataFrame) -> pd.DataFrame | None:
             out = []
@@ -138,7 +165,7 @@ def _partners(t: float):
             for band in np.unique(bands):
                 s, e = np.searchsorted(bands, band), np.searchsorted(bands, band, side="right")
                 k, ids, n, g = key[s:e], b["_id"].to_numpy()[s:e], b["_n"].to_numpy()[s:e], b["_guest"].to_numpy()[s:e]
-                sk = np.frombuffer(b"".join(b["_sk"].iloc[s:e]), dtype=np.uint64).reshape(e - s, -1)
+                sk = list(np.ascontiguousarray(np.frombuffer(b"".join(b["_sk"].iloc[s:e]), dtype=np.uint64).reshape(e - s, -1).T))
                 edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                 runs = np.diff(np.r_[edge, len(k)])
                 left = np.repeat(edge + runs, runs) - np.arange(len(k))
@@ -149,13 +176,7 @@ def _partners(t: float):
                     d += 1
                     i = i[left[i] > d]
                 for a, m in zip(edge[runs > 48], runs[runs > 48]):
-                    for x in range(0, m, 512):
-                        left = np.arange(a + x, a + min(m, x + 512))
-                        for y in range(x, m, 4096):
-                            right = np.arange(a + y, a + min(m, y + 4096))
-                            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-                            ok = i < j
-                            out.append(tuple(ids[z] for z in close(i[ok], j[ok], n, g, sk)))
+                    out += [(ids[i], ids[j]) for i, j in tiles(np.arange(a, a + m), n, g, sk)]
             if out:
                 p, q = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
                 pairs = np.unique(np.stack((np.minimum(p, q), np.maximum(p, q))), axis=1)
