@@ -85,7 +85,7 @@ def _own_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         ok = [xxhash.xxh3_128_digest("\n".join(sorted(word_set(t))).encode("utf-8", "surrogatepass")) == bytes(s) for t, s in zip(b["_text"], b["_set"])]
-        yield b.loc[ok, ["_id", "_rep", "_text"]]
+        yield b.loc[ok, ["_id", "_set", "_rep", "_text"]]
 
 
 def _fold(bits: np.ndarray, width: int) -> bytes:
@@ -211,7 +211,7 @@ def _verify(t: float):
                 x, y = word_set(x), word_set(y)
                 both.append(len(x & y))
                 either.append(len(x | y))
-            out = pd.DataFrame({"rep_a": b["rep_a"], "rep_b": b["rep_b"], "n_both": np.array(both, dtype=np.int32), "n_either": np.array(either, dtype=np.int32)})
+            out = pd.DataFrame({"set_a": b["set_a"], "set_b": b["set_b"], "rep_a": b["rep_a"], "rep_b": b["rep_b"], "n_both": np.array(both, dtype=np.int32), "n_either": np.array(either, dtype=np.int32)})
             yield out[out["n_both"].astype(np.int64) * f.denominator >= out["n_either"].astype(np.int64) * f.numerator]
 
     return run
@@ -237,7 +237,8 @@ class NearDuplicates:
         classes = rows.groupBy("_set").agg(F.min("_uid").alias("_rep"), F.first("_n").alias("_n"), F.first("_bits").alias("_bits"))
         number = F.conv(F.hex(F.substring("_set", 1, 7)), 16, 10).cast("bigint")
         classes = materialize(classes.select("_set", "_rep", number.alias("_id"), "_n", "_bits"), "neardup-classes")
-        self.members = rows.select("_uid", "_set").join(classes.select("_set", "_rep"), "_set").select(F.col("_uid").alias(id_col), F.col("_rep").alias("rep")).distinct()
+        self._rows = rows.select("_uid", "_set").distinct()
+        self.members = self._rows.join(classes.select("_set", "_rep"), "_set").select(F.col("_uid").alias(id_col), F.col("_rep").alias("rep")).distinct()
         # the counts have 2^BUCKETS entries whatever the data, 4 MB
         counted = classes.select(F.explode("_bits").alias("x")).groupBy(F.shiftright("x", BITS - BUCKETS).alias("x")).count().toPandas()
         often = np.zeros(1 << BUCKETS, dtype=np.int32)
@@ -249,19 +250,20 @@ class NearDuplicates:
         pairs = materialize(pairs, "neardup-pairs")
         ids = pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct()
         wanted = classes.select("_id", "_set", "_rep").join(ids, "_id")
-        texts = src.join(wanted, src["_uid"] == wanted["_rep"]).select("_id", "_rep", "_set", "_text").mapInPandas(_own_text, "_id bigint, _rep string, _text string")
-        texts = materialize(texts.groupBy("_id", "_rep").agg(F.min("_text").alias("_text")), "neardup-texts")
-        a = texts.select(F.col("_id").alias("_a"), F.col("_rep").alias("rep_a"), F.col("_text").alias("_ta"))
-        b = texts.select(F.col("_id").alias("_b"), F.col("_rep").alias("rep_b"), F.col("_text").alias("_tb"))
-        found = pairs.join(a, "_a").join(b, "_b").select("rep_a", "rep_b", "_ta", "_tb").mapInPandas(_verify(threshold), "rep_a string, rep_b string, n_both int, n_either int")
+        texts = src.join(wanted, src["_uid"] == wanted["_rep"]).select("_id", "_rep", "_set", "_text").mapInPandas(_own_text, "_id bigint, _set binary, _rep string, _text string")
+        texts = materialize(texts.groupBy("_id", "_set", "_rep").agg(F.min("_text").alias("_text")), "neardup-texts")
+        a = texts.select(F.col("_id").alias("_a"), F.col("_set").alias("set_a"), F.col("_rep").alias("rep_a"), F.col("_text").alias("_ta"))
+        b = texts.select(F.col("_id").alias("_b"), F.col("_set").alias("set_b"), F.col("_rep").alias("rep_b"), F.col("_text").alias("_tb"))
+        shape = "set_a binary, set_b binary, rep_a string, rep_b string, n_both int, n_either int"
+        found = pairs.join(a, "_a").join(b, "_b").select("set_a", "set_b", "rep_a", "rep_b", "_ta", "_tb").mapInPandas(_verify(threshold), shape)
+        self._sets = found.select("set_a", "set_b")
         self.links = found.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "n_both", "n_either")
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: all similar pairs of ids, those within a class included."""
-        m = self.members
-        a, b = (m.select(F.col(self.id_col).alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-        across = self.links.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        within = a.join(b, F.col("rep_a") == F.col("rep_b")).where("a < b").select("a", "b")
+        a, b = (self._rows.select(F.col("_uid").alias(x), F.col("_set").alias(f"set_{x}")) for x in "ab")
+        across = self._sets.join(a, "set_a").join(b, "set_b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        within = a.join(b, F.col("set_a") == F.col("set_b")).where("a < b").select("a", "b")
         return across.unionByName(within).distinct()
 
     def summary(self) -> DataFrame:

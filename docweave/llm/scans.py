@@ -450,15 +450,17 @@ class Scans:
 
 def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int | None, table: bool, known) -> str:
     """The text without furniture, split words joined, misreadings replaced, lines of a paragraph on one line."""
-    for seen, meant in readings.items():
-        text = re.sub(rf"(?<![^\W_]){re.escape(seen)}(?![^\W_])", meant[0].upper() + meant[1:] if seen[0].isupper() else meant, text)
+    def read(t: str) -> str:
+        for seen, meant in readings.items():
+            t = re.sub(rf"(?<![^\W_]){re.escape(seen)}(?![^\W_])", meant[0].upper() + meant[1:] if seen[0].isupper() else meant, t)
+        return t
+
     if table or not _LINES.search(text):
-        return text
+        return read(text)
     ls = lines_of(text)
     gone = {i for i, x in enumerate(ls) if is_folio(x, page, table) or ((t := title_of(x)) and title_key(t[0]) in heads)}
     joins = dict(split_words(ls, page, table, known, lambda j: j in gone))
-    out, fresh, i = [""], True, 0
-    glue = False
+    out, glue = [""], False
     for i, x in enumerate(ls):
         if i in gone:
             continue
@@ -473,7 +475,7 @@ def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int
         if i in joins:
             out[-1] = re.sub(rf"[{_SIGNS}]$", "", out[-1])
             glue = True
-    return "\n\n".join(p for p in out if p)
+    return read("\n\n".join(p for p in out if p))
 
 
 def _repair(words):
