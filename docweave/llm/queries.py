@@ -82,8 +82,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
 
 
+#: Words as maximal runs of letters and digits, in lower case.
+_WORDS = r"list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         # white space as Python's str.strip() knows it
         "p1_found": "select distinct chunk_uid from chunks where length(regexp_replace(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '')) > 1200",
+        "p3_found": f"""with t as (select distinct chunk_uid, list_distinct({_WORDS.format("text")}) as w from chunks where text is not null), s as (select chunk_uid, len(w) as n, w from t where len(w) >= 25),
+            e as (select chunk_uid, n, unnest(w) as x from s), f as (select x, count(*) as df from e group by 1),
+            r as (select e.*, row_number() over (partition by chunk_uid order by df, x) as k from e join f using (x)), p as (select * from r where k <= n - ceil(0.75 * n) + 1),
+            c as (select distinct a.chunk_uid as a, b.chunk_uid as b from p a join p b on a.x = b.x and a.chunk_uid < b.chunk_uid and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n))
+            select c.a as chunk_uid_a, c.b as chunk_uid_b from c join s x on x.chunk_uid = c.a join s y on y.chunk_uid = c.b where len(list_intersect(x.w, y.w)) >= 0.75 * (x.n + y.n - len(list_intersect(x.w, y.w)))""",
+        "p5_found": """with u as (select chunk_uid, arg_min(embedding, embedding::varchar) as v from points where vector_point and graph_control_point is null and graph_tombstoned is not true and len(embedding) = 64
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
+            p as (select a.chunk_uid as a, b.chunk_uid as b, round(list_cosine_similarity(a.v, b.v), 9) as c from u a join u b on a.chunk_uid <> b.chunk_uid),
+            r as (select *, row_number() over (partition by a order by c desc, b) as k from p) select distinct least(a, b) as chunk_uid_a, greatest(a, b) as chunk_uid_b from r where k <= 10 and c >= 0.8""",
+        "p8_found": f"""with i as (select item_id, {_WORDS.format("text")} as w from eval_items where text is not null), n as (select item_id, w, least(len(w), 12) as s from i where len(w) > 0),
+            q as (select item_id, s, unnest(list_transform(range(1, len(w) - s + 2), lambda k: array_to_string(w[k:k + s - 1], ' '))) as g from n), z as (select distinct s from n),
+            d as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
+            h as (select doc_id, s, unnest(list_transform(range(1, len(w) - s + 2), lambda k: array_to_string(w[k:k + s - 1], ' '))) as g from d, z where len(w) >= s)
+            select distinct doc_id, item_id from h join q using (s, g)""",
     }
