@@ -94,16 +94,19 @@ def _split(limit: int, overlap: int):
     return run
 
 
-def split_oversized(df: DataFrame, id_col: str = "chunk_uid", text_col: str = "text", level_col: str = "level", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str = "chunk_uid", text_col: str = "text", level_col: str = "level", hierarchy_col: str = "hierarchy", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece: id, piece_no, n_pieces, start_char, end_char, overlap, ends_at, piece.
 
-    The text without white space at both ends is what must fit. Short texts never leave the JVM. A null text
+    The level says which boundaries are natural; where a row has none, its place in the hierarchy does. The text without white space at both ends is what must fit. Short texts never leave the JVM. A null text
     gives no row, a blank one a single empty piece; rows repeated with the same id and text count once.
-    Offsets are code points in the text as stored. Columns other than the three named are ignored.
+    Offsets are code points in the text as stored. Columns other than those named are ignored.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be at least 0 and below the limit")
-    src = df.select(F.col(id_col).alias("_uid"), F.col(level_col).cast("string").alias("_level") if level_col in df.columns else F.lit(None).cast("string").alias("_level"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    level = F.col(level_col).cast("string") if level_col in df.columns else F.lit(None).cast("string")
+    if hierarchy_col in df.columns and "level" in getattr(df.schema[hierarchy_col].dataType, "names", []):
+        level = F.coalesce(level, F.col(f"{hierarchy_col}.level"))
+    src = df.select(F.col(id_col).alias("_uid"), level.alias("_level"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     big = src.where(F.length("_text") > limit).groupBy("_uid", "_text").agg(F.max("_level").alias("_level"))
     kind = src.schema["_uid"].dataType.simpleString()
     schema = f"_uid {kind}, piece_no int, n_pieces int, start_char int, end_char int, overlap int, ends_at string, piece string"

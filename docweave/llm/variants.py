@@ -206,10 +206,16 @@ def _left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["type", "key", "variant", "stem", "rest", "_n"])
 
 
+def skeleton(stem: str) -> str:
+    """Without the consonants that close syllables: names of different families often differ in these alone."""
+    return re.sub(r"(?<=[aeiou])[lmnrs](?![aeiou])", "", stem)
+
+
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keeps pairs one or, where that may count, two edits apart; ``d`` is how many."""
     for b in batches:
-        ok = [near(x, y) or (two and edits(x, y) <= 2) for x, y, two in zip(b["stem_a"], b["stem_b"], b["_two"])]
-        yield b[ok]
+        d = [1 if near(x, y) else 2 if two and skeleton(x) != skeleton(y) and edits(x, y) <= 2 else 3 for x, y, two in zip(b["stem_a"], b["stem_b"], b["_two"])]
+        yield b.assign(d=pd.array(d, dtype="int32"))[[x < 3 for x in d]]
 
 
 def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str = "original_mention", text_col: str = "canonical_text", aliases_col: str = "aliases") -> DataFrame:
@@ -242,8 +248,18 @@ def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str
     # two edits count only where one of the spellings stands in a single row, as a slip does and a name seldom
     two = F.col("key").startswith("2")
     pairs = a.join(b, ["type", "key", "variant"]).where((F.col("stem_a") < F.col("stem_b")) & fits & (~two | (F.least("_na", "_nb") == 1)))
-    pairs = pairs.groupBy("type", "stem_a", "rest_a", "stem_b", "rest_b").agg(F.max(two).alias("_two"))
-    pairs = pairs.mapInPandas(_alike, pairs.schema)
+    pairs = pairs.groupBy("type", "stem_a", "rest_a", "stem_b", "rest_b").agg(F.max(two).alias("_two"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
+    shape = "type string, stem_a string, rest_a string, stem_b string, rest_b string, _two boolean, _na bigint, _nb bigint, d int"
+    pairs = materialize(pairs.mapInPandas(_alike, shape), "variant-pairs")
+    # a spelling with a neighbour one edit away is that neighbour's slip, and is not linked further away
+    slips = pairs.where("d = 1")
+    placed = slips.select("type", F.col("stem_a").alias("stem"), F.col("rest_a").alias("rest")).unionByName(slips.select("type", F.col("stem_b").alias("stem"), F.col("rest_b").alias("rest"))).distinct()
+    far = pairs.where("d = 2")
+    ends = ("type", "stem_a", "rest_a", "stem_b", "rest_b")
+    for x in "ab":
+        far = far.join(placed.select("type", F.col("stem").alias(f"stem_{x}"), F.col("rest").alias(f"rest_{x}"), F.lit(True).alias(f"_p{x}")), ["type", f"stem_{x}", f"rest_{x}"], "left")
+    far = far.where("(_na = 1 and _pa is null) or (_nb = 1 and _pb is null)")
+    pairs = slips.select(*ends).unionByName(far.select(*ends))
     hub = classes.groupBy("type", "stem", "rest").agg(F.min("_hub").alias("_hub"))
     ha = hub.select("type", F.col("stem").alias("stem_a"), F.col("rest").alias("rest_a"), F.col("_hub").alias("src"))
     hb = hub.select("type", F.col("stem").alias("stem_b"), F.col("rest").alias("rest_b"), F.col("_hub").alias("dst"))
