@@ -59,3 +59,21 @@ def attach_page_images(chunks: DataFrame) -> DataFrame:
     """Every chunk with the image of its page, never one of another document."""
     rows = chunks.select("chunk_uid", "document_id", "page_no").distinct()
     return rows.join(page_images(chunks), ["document_id", "page_no"], "left").select("chunk_uid", "page_no", "image_url")
+
+
+def document_order(chunks: DataFrame, block: int = 10_000) -> DataFrame:
+    """(document_id, chunk_uid, ord, next_uid): place of each chunk in its document by chunk_id, sentence and uid, and the chunk behind it.
+
+    A document is numbered block by block of chunk ids, so no window holds more than a block, however long the document; only one row per
+    block takes part in adding the blocks up. Rows without a chunk_id come last, by uid.
+    """
+    key = F.coalesce("chunk_id", F.lit(2**62))
+    rows = chunks.groupBy("document_id", "chunk_uid").agg(F.min(key).alias("_k"), F.min(F.coalesce("hierarchy.sentence_index", F.lit(0))).alias("_s"))
+    rows = rows.withColumn("_b", F.floor(F.col("_k") / block))
+    inner = Window.partitionBy("document_id", "_b").orderBy("_k", "_s", "chunk_uid")
+    rows = rows.select("document_id", "chunk_uid", "_b", F.row_number().over(inner).alias("_r"), F.lead("chunk_uid").over(inner).alias("_n"))
+    blocks = rows.groupBy("document_id", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min_by("chunk_uid", "_r").alias("_first"))
+    outer = Window.partitionBy("document_id").orderBy("_b")
+    blocks = blocks.select("document_id", "_b", F.coalesce(F.sum("_c").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(outer).alias("_then"))
+    joined = rows.join(blocks, ["document_id", "_b"])
+    return joined.select("document_id", "chunk_uid", (F.col("_before") + F.col("_r")).cast("bigint").alias("ord"), F.coalesce("_n", "_then").alias("next_uid"))

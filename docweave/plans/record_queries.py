@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunking
 from ..operators import evidence as E
 from ..operators import lifecycle as L
 from ..operators import models
@@ -122,9 +123,7 @@ def x21_parsed_reports(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""with c as (select distinct document_id, chunk_uid, chunk_id, hierarchy.sentence_index as s from chunks) select document_id, chunk_uid, row_number() over (partition by document_id order by chunk_id nulls last, coalesce(s, 0), chunk_uid)::bigint as ord from c""")
 def x22_document_order(spark: SparkSession, root: str) -> DataFrame:
-    c = read_table(spark, root, "chunks").select("document_id", "chunk_uid", "chunk_id", F.coalesce("hierarchy.sentence_index", F.lit(0)).alias("s")).distinct()
-    w = Window.partitionBy("document_id").orderBy(F.asc_nulls_last("chunk_id"), "s", "chunk_uid")
-    return c.select("document_id", "chunk_uid", F.row_number().over(w).cast("bigint").alias("ord"))
+    return chunking.document_order(read_table(spark, root, "chunks")).drop("next_uid")
 
 
 @query("""with n as (select max(reserved_at) as now from version_ledger) select document_id, version, operation_id, count(*) as n from version_ledger, n where state = 'reserved' and date_diff('second', reserved_at, now) > 900 group by 1, 2, 3""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -168,6 +168,4 @@ def s19_page_images(spark: SparkSession, root: str) -> DataFrame:
 @query("""with c as (select document_id, chunk_id, chunk_uid, min(lower(level)) as level from chunks group by all)
   select document_id, chunk_uid, row_number() over (partition by document_id order by chunk_id, chunk_uid)::bigint as ord, lead(chunk_uid) over (partition by document_id order by chunk_id, chunk_uid) as next_uid from c""")
 def j7_adjacent_chunks(spark: SparkSession, root: str) -> DataFrame:
-    c = read_table(spark, root, "chunks").select("document_id", "chunk_id", "chunk_uid").distinct()
-    w = Window.partitionBy("document_id").orderBy("chunk_id", "chunk_uid")
-    return c.select("document_id", "chunk_uid", F.row_number().over(w).cast("bigint").alias("ord"), F.lead("chunk_uid").over(w).alias("next_uid"))
+    return chunking.document_order(read_table(spark, root, "chunks"))

@@ -104,7 +104,7 @@ def a1_filtered_counts(spark: SparkSession, root: str) -> DataFrame:
 @query("""with u as (select *, 0 as batch from points union all select *, 1 as batch from points where page_no % 2 = 0), r as (select point_id, batch, document_generation + batch as generation, row_number() over (partition by point_id order by batch desc) as k from u)
   select point_id, batch, generation from r where k = 1""")
 def s9_upserted(spark: SparkSession, root: str) -> DataFrame:
-    p = read_table(spark, root, "points")
+    p = read_table(spark, root, "points").select("point_id", "page_no", "document_generation")
     new = p.where("page_no % 2 = 0").withColumn("batch", F.lit(1)).withColumn("generation", F.col("document_generation") + 1)
     old = p.withColumn("batch", F.lit(0)).withColumn("generation", F.col("document_generation"))
     return R.upsert(old, new, ["point_id"], "batch").select("point_id", "batch", "generation")

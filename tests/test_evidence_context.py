@@ -84,3 +84,12 @@ def test_rouge(spark):
     p = spark.createDataFrame([(1, "the cat sat", "the cat was here"), (2, "", "x"), (3, "a a a", "a b")], "id int, candidate string, reference string")
     one, two, longest = ({r.id: round(r.f, 6) for r in d.collect()} for d in (E.rouge_n(p, 1), E.rouge_n(p, 2), E.rouge_l(p)))
     assert one == {1: round(4 / 7, 6), 2: 0.0, 3: 0.4} and two == {1: 0.4, 2: 0.0, 3: 0.0} and longest == {1: round(4 / 7, 6), 2: 0.0, 3: 0.4}
+
+
+def test_document_order_over_blocks(spark):
+    from docweave.operators.chunking import document_order
+
+    rows = [("d", i, f"u{i:03d}", (None,)) for i in range(95)] + [("d", 3, "u003", (None,)), ("e", None, "x", None), ("e", 7, "y", (1,))]
+    df = spark.createDataFrame(rows, "document_id string, chunk_id bigint, chunk_uid string, hierarchy struct<sentence_index:int>")
+    got = {r.chunk_uid: (r.ord, r.next_uid) for r in document_order(df, block=10).collect()}
+    assert all(got[f"u{i:03d}"] == (i + 1, f"u{i + 1:03d}" if i < 94 else None) for i in range(95)) and got["y"] == (1, "x") and got["x"] == (2, None)
