@@ -67,6 +67,7 @@ _GIVEN: dict[str, set[str]] = {}
 for _v in GIVEN_NAMES.values():
     for _g in _v:
         _GIVEN.setdefault(fold(_g), set()).add(fold(_g))
+_WHOLE = set(_GIVEN)
 for _g, _v in SHORT_FORMS.items():
     for _s in _v.split():
         _GIVEN.setdefault(fold(_s), set()).add(fold(_g))
@@ -76,12 +77,10 @@ def given_names(word: str) -> set[str]:
     """The given names a folded word may stand for: itself, those it is short for, or those it misspells."""
     if word in _GIVEN:
         return _GIVEN[word]
-    out: set[str] = set()
-    if len(word) >= 3:
-        for g, names in _GIVEN.items():
-            if len(g) >= 4 and near(word, g):
-                out |= names
-    return out
+    if len(word) < 3:
+        return set()
+    full = {g for g in _WHOLE if near(word, g)}
+    return full or set().union(*(names for g, names in _GIVEN.items() if len(g) >= 4 and near(word, g)))
 
 
 def org_form(words: list[str]) -> tuple[str, str, str] | None:
@@ -105,7 +104,7 @@ def org_form(words: list[str]) -> tuple[str, str, str] | None:
 
 
 def spelling_forms(text: str) -> list[tuple[str, str, str, str]]:
-    """Rewritings (type, stem, rest, strength) of one spelling. Type is person or org; strength is full or initial."""
+    """Rewritings (type, stem, rest, strength) of one spelling. Type is person or org. Strength is full, maybe (short for, or a slip of, several names), or initial."""
     clean = re.sub(r"[()\[\]{}\"“”]", " ", text)
     clean = re.sub(r"\s+", " ", clean).strip(" ,.;:")
     if not clean:
@@ -131,7 +130,7 @@ def spelling_forms(text: str) -> list[tuple[str, str, str, str]]:
         words_raw = [(fold(inner[1]), inner[1]), (fold(inner[2]), inner[2])]
 
     def initial(w: str, r: str) -> bool:
-        return len(w) == 1 or (len(w) <= 3 and r.isupper() and w not in _GIVEN)
+        return len(w) == 1 or pair(r) or (len(w) <= 3 and r.isupper() and w not in _GIVEN)
 
     full = [(w, r) for w, r in words_raw if not initial(w, r)]
     letters = "".join(w for w, r in words_raw if initial(w, r))
@@ -162,8 +161,8 @@ def spelling_forms(text: str) -> list[tuple[str, str, str, str]]:
         else:
             return []
     for g, s in orders:
-        for name in sorted(given_names(g)) or [g]:
-            out.append(("person", s, name, "full"))
+        names = sorted(given_names(g)) or [g]
+        out.append(("person", s, "|".join(names), "full" if len(names) == 1 else "maybe"))
     return out
 
 
@@ -237,6 +236,12 @@ def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str
     clear = names_of.where("_low = _high").select("stem", "letter", F.col("_low").alias("rest"))
     initials = letters.where("strength = 'initial'").select("_id", "stem", "letter")
     hubs = full.where("type = 'person'").groupBy("stem", "rest").agg(F.min("_id").alias("_hub"))
+    # a short form of several names stands with its like, and with the one of those names that the surname is known with
+    maybe = forms.where("strength = 'maybe'").select("_id", "stem", "rest")
+    edges = edges.unionByName(star(maybe, ["stem", "rest"]))
+    fits_one = maybe.select("stem", F.col("rest").alias("_m"), F.explode(F.split("rest", r"\|")).alias("rest")).distinct().join(hubs, ["stem", "rest"])
+    fits_one = fits_one.groupBy("stem", "_m").agg(F.min("_hub").alias("_hub"), F.count(F.lit(1)).alias("_n")).where("_n = 1").select("stem", F.col("_m").alias("rest"), "_hub")
+    edges = edges.unionByName(maybe.join(fits_one, ["stem", "rest"]).select(F.col("_id").alias("src"), F.col("_hub").alias("dst")))
     edges = edges.unionByName(initials.join(clear, ["stem", "letter"]).join(hubs, ["stem", "rest"]).select(F.col("_id").alias("src"), F.col("_hub").alias("dst")))
     edges = edges.unionByName(star(initials.join(names_of.where("_low <> _high"), ["stem", "letter"], "left_anti").select("_id", "stem", "letter"), ["stem", "letter"]))
     # misspelt stems: classes, not rows, are compared

@@ -30,3 +30,9 @@ def test_links(spark):
     pairs = {tuple(r) for r in variant_pairs(link_variants(df)).collect()}
     assert pairs == {("a1", "a2"), ("a1", "a3"), ("a1", "a4"), ("a2", "a3"), ("a2", "a4"), ("a3", "a4"), ("c1", "c2")}
     assert link_variants(df.limit(0)).count() == 0
+
+
+def test_short_forms_of_several_names(spark):
+    rows = [("a", "Edward Mokalis"), ("b", "Theodore Mokalis"), ("c", "Ted Mokalis"), ("d", "Ted Bunorel"), ("e", "Edward Bunorel"), ("f", "Ted Fanukor"), ("g", "Fanukor, Ted"), ("h", "Weii Sorbenal"), ("i", "W. Sorbenal"), ("j", "Wei Sorbenal"), ("k", "ED Sorbenal")]
+    df = spark.createDataFrame([(i, m, None, None) for i, m in rows], "canonical_id string, original_mention string, canonical_text string, aliases array<string>")
+    assert {tuple(r) for r in variant_pairs(link_variants(df)).collect()} == {("d", "e"), ("f", "g"), ("h", "i"), ("h", "j"), ("i", "j")}
