@@ -65,11 +65,12 @@ def _tokenizer(path: str):
     return t
 
 
-def _pieces(enc) -> tuple[list[int], list[int]]:
+def _pieces(enc, most: int | None = None) -> tuple[list[int], list[int]]:
     """Of each piece (a match of the splitting pattern): how many ids it ends at, and the character it ends at."""
-    words, offsets, n = enc.word_ids, enc.offsets, len(enc.ids)
-    ends = [i + 1 for i in range(n) if i + 1 == n or words[i + 1] != words[i]]
-    return ends, [offsets[i - 1][1] for i in ends]
+    words, n = enc.word_ids, len(enc.ids)
+    ends = [i for i in range(1, n) if words[i] != words[i - 1]]
+    ends.append(n)
+    return ends, [enc.token_to_chars(i - 1)[1] for i in (ends if most is None else ends[:most])]
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,10 +96,10 @@ def _encoder(path: str):
         for b in batches:
             ids, heads, head_chars, tails = [], [], [], []
             for e in tok.encode_batch(b["_piece"].tolist(), add_special_tokens=False):
-                ends, chars = _pieces(e)
+                ends, chars = _pieces(e, HEAD)
                 ids.append(e.ids)
                 heads.append(ends[:HEAD])
-                head_chars.append(chars[:HEAD])
+                head_chars.append(chars)
                 tails.append(len(e.ids) - (ends[-TAIL - 1] if len(ends) > TAIL else 0))
             yield pd.DataFrame({"_hash": b["_hash"], "_ids": ids, "_head": heads, "_chars": head_chars, "_tail": np.array(tails, dtype=np.int32)})
 
@@ -139,7 +140,7 @@ def _joiner(path: str):
             out = []
             for parts in b["_parts"]:
                 parts = sorted(parts, key=lambda p: p["_ord"])
-                out.append(join_encodings(tok, [([int(x) for x in p["_ids"]], [int(x) for x in p["_head"]], [int(x) for x in p["_chars"]], int(p["_tail"])) for p in parts]))
+                out.append(join_encodings(tok, [(np.asarray(p["_ids"]).tolist(), np.asarray(p["_head"]).tolist(), np.asarray(p["_chars"]).tolist(), int(p["_tail"])) for p in parts]))
             yield pd.DataFrame({"_id": b["_id"], "_n": b["_n"], "_out": out})
 
     return run
