@@ -16,6 +16,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,6 +71,8 @@ _INITIALS = rf"(?:[{_UP}]\.[ -]?)"
 _SURNAME = rf"[{_UP}](?:[a-zß-öø-ÿāăąćčđďęěēğīıłńňőœřśşšťūůűźżž]{{2,}}|[{_UP}]{{2,}})(?:[’'-](?:[{_UP}][^\W\d_]+))*"
 _AFTER = re.compile(rf" {_INITIALS}*({_SURNAME})")
 _AFTER_LOWER = re.compile(r" (?:[a-z]\.? )*((?:[bcdfghjklmnprstvwz][aeiouíáéóúü][lnrsm]?){3,})\b")
+_MIDDLE = re.compile(rf"(?: {_INITIALS})*")
+_BEFORE_LOWER = re.compile(r"((?:[bcdfghjklmnprstvwz][aeiouíáéóúü][lnrsm]?){3,}), $")
 _BEFORE = re.compile(rf"({_SURNAME}), $")
 _INITIALED = re.compile(rf"(?<![\w.’'-]){_INITIALS}+ ?{_SURNAME}(?![\w’'])")
 _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ((?:{_INITIALS}+ ?)?{_SURNAME})(?: ({_SURNAME}))?")
@@ -78,13 +81,17 @@ _NOT_SURNAMES = {w.casefold() for w in "The And Of From For At In On By With Str
 
 def find_items(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every item, in order of their starts; items do not overlap."""
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order; they never overlap
     out: list[tuple[int, int, str]] = []
 
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(taken, (s, s))
+        return (k == len(taken) or taken[k][0] >= e) and (k == 0 or taken[k - 1][1] <= s)
+
     def claim(s: int, e: int, kind: str) -> bool:
-        if any(s < y and x < e for x, y in taken):
+        if not free(s, e):
             return False
-        taken.append((s, e))
+        insort(taken, (s, e))
         out.append((s, e, kind))
         return True
 
@@ -100,7 +107,6 @@ def find_items(text: str) -> list[tuple[int, int, str]]:
             if sum(c.isdigit() for c in m[0]) >= 9:
                 s = m.start() + next(i for i, c in enumerate(m[0]) if c.isdigit() or c == "+")
                 claim(s, m.end(), "phone")
-    marks = sorted(taken)
     for m in _TITLED.finditer(text):
         if m[1].casefold() not in _NOT_SURNAMES:
             first = _WORD.match(m[1])
@@ -111,7 +117,7 @@ def find_items(text: str) -> list[tuple[int, int, str]]:
         if w not in _GENDER:
             continue
         s, e = m.span()
-        if any(x <= s < y for x, y in marks) or (s and (text[s - 1] in "@_+-.’'" and text[s - 1 : s] != "-" or text[s - 1].isdigit())) or text[e : e + 1] in "@_+" and text[e : e + 1]:
+        if not free(s, s + 1) or (s and (text[s - 1] in "@_+-.’'" and text[s - 1 : s] != "-" or text[s - 1].isdigit())) or text[e : e + 1] in "@_+" and text[e : e + 1]:
             continue
         upper = m[0][0].isupper()
         if upper:
@@ -120,8 +126,8 @@ def find_items(text: str) -> list[tuple[int, int, str]]:
                 claim(s, after.end(), "person")
                 continue
             before = _BEFORE.search(text, max(0, s - 60), s)
-            if before and before[1].casefold() not in _NOT_SURNAMES and not any(x < before.end(1) and before.start(1) < y for x, y in taken):
-                middle = re.compile(rf"(?: {_INITIALS})*").match(text, e)
+            if before and before[1].casefold() not in _NOT_SURNAMES and free(before.start(1), before.end(1)):
+                middle = _MIDDLE.match(text, e)
                 claim(before.start(1), middle.end() if middle else e, "person")
                 continue
             if w not in _WEAK and not re.match(r"(?:’s|'s)? (?:Street|Road|Hospital|University|Institute|Lake)\b", text[e : e + 20]):
@@ -131,7 +137,7 @@ def find_items(text: str) -> list[tuple[int, int, str]]:
             if after:
                 claim(s, after.end(), "person")
             else:
-                before = re.compile(r"((?:[bcdfghjklmnprstvwz][aeiouíáéóúü][lnrsm]?){3,}), $").search(text, max(0, s - 60), s)
+                before = _BEFORE_LOWER.search(text, max(0, s - 60), s)
                 if before and w not in _WEAK:
                     claim(before.start(1), e, "person")
     for m in _INITIALED.finditer(text):

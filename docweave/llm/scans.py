@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..session import load_shared, materialize, share
 from .boost import Boosted
 
-SAMPLE, COMMON_SHARE, LEAST_COUNT, RATIO = 6000, 1e-5, 3, 30
+#: The fitting sample has at most SAMPLE chunks of fewer than LONGEST characters.
+SAMPLE, LONGEST, COMMON_SHARE, LEAST_COUNT, RATIO = 6000, 20_000, 1e-5, 3, 30
 #: What is printed and what it may be read as. Fixed values.
 CONFUSIONS = (("m", "rn"), ("d", "cl"), ("w", "vv"), ("h", "li"), ("n", "ri"), ("h", "b"), ("n", "u"), ("u", "n"), ("b", "6"), ("g", "9"), ("q", "9"), ("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("z", "2"), ("i", "!"), ("l", "!"), ("e", "€"), ("c", "©"), ("e", "c"), ("c", "e"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("m", "nn"), ("t", "f"), ("a", "�"))
 _ODD = "0123456789!€©�ﬀﬁﬂﬃﬄ"
@@ -81,8 +82,7 @@ def title_key(title: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", t))
 
 
-def _features(lines: list[str], i: int, scores: dict[str, float], page: int | None) -> list[float]:
-    full = [x for x in (y.strip() for y in lines) if x]
+def _features(lines: list[str], i: int, scores: dict[str, float], widest: int) -> list[float]:
     y = lines[i].strip()
     title = title_of(y)
     t = title[0] if title else y
@@ -91,7 +91,7 @@ def _features(lines: list[str], i: int, scores: dict[str, float], page: int | No
     words = _PLAIN.findall(t)
     long_words = [w for w in words if len(w) > 3] or words or [""]
     return [
-        len(words), len(t) / max(1, max(map(len, full), default=1)), float(t[-1:] in ".!?"), sum(w[0].isupper() for w in words) / max(1, len(words)), float(t.isupper()),
+        len(words), len(t) / max(1, widest), float(t[-1:] in ".!?"), sum(w[0].isupper() for w in words) / max(1, len(words)), float(t.isupper()),
         float(behind[:1].islower()), float(bool(behind)), float(before[-1:] in ".!?:"), float(bool(before)), float(before[-1:] in _SIGNS), float(title[1] if title else 0),
         float(any(c in t for c in "—(")), sum(c.isdigit() for c in t), sum(scores.get(w.casefold(), 0.0) for w in words) / max(1, len(words)), max((scores.get(w.casefold(), 0.0) for w in long_words), default=0.0), float(any(len(w) <= 3 and w.islower() for w in words)),
     ]
@@ -102,16 +102,16 @@ class LineModel:
 
     def __init__(self, rows: pd.DataFrame):
         seen: dict[tuple[str, str], set[str]] = {}
-        lines: list[tuple[list[str], int, str, str, int | None]] = []
-        for doc, text, page in zip(rows["_doc"], rows["_text"], rows["_page"]):
+        lines: list[tuple[list[str], int, str, str, int]] = []
+        for doc, text in zip(rows["_doc"], rows["_text"]):
             ls = lines_of(text)
-            page = None if page is None or page != page else int(page)
+            widest = max(len(x.strip()) for x in ls)
             for i, x in enumerate(ls):
                 t = title_of(x)
                 if t:
                     key = title_key(t[0])
                     seen.setdefault((doc, key), set()).add(surroundings(ls, i))
-                    lines.append((ls, i, doc, key, page))
+                    lines.append((ls, i, doc, key, widest))
         labels = [3 <= len(seen[d, k]) for _, _, d, k, _ in lines]
         # words of titles that recur in several documents mark a title that occurs but once; it is no example of text
         marks = Counter(w for d, k in {(d, k) for (_, _, d, k, _), y in zip(lines, labels) if y} for w in set(k.split()))
@@ -130,7 +130,7 @@ class LineModel:
             keep = ~np.array(doubt)
             self.model = Boosted().fit(x[keep], np.array(labels)[keep])
 
-    def score(self, lines: list[tuple[list[str], int, int | None]]) -> np.ndarray:
+    def score(self, lines: list[tuple[list[str], int, int]]) -> np.ndarray:
         if self.model is None or not lines:
             return np.zeros(len(lines))
         return self.model.predict(np.array([_features(ls, i, self.scores, p) for ls, i, p in lines]))
@@ -375,6 +375,7 @@ def _marks(words, model: LineModel):
                 table = k == "table" or bool(_TABLE.search(t))
                 if "\n" in t or "\r" in t:
                     ls = lines_of(t)
+                    widest = max(len(x.strip()) for x in ls)
                     if split_words(ls, page, table, plain):
                         rows.append((u, d, "hyphen", None, None, None))
                     for i, x in enumerate(ls):
@@ -385,7 +386,7 @@ def _marks(words, model: LineModel):
                             continue
                         title = title_of(x)
                         if title and not table:
-                            asked.append((ls, i, page))
+                            asked.append((ls, i, widest))
                             titles.append((u, d, "numbered" if title[1] else "title", title_key(title[0]), surroundings(ls, i)))
                     t = _without_halves(t)
                 rows += [(u, d, "token", w, None, None) for w in odd_tokens(t, known)]
@@ -422,7 +423,7 @@ class Scans:
         common = counts.where(F.col("n") >= max(LEAST_COUNT, COMMON_SHARE * total)).toPandas()
         self.words = WordModel(dict(zip(common["word"], common["n"].astype(int))), total)
         words = share(spark, self.words)
-        multi = self.src.where(F.col("_text").rlike("[\r\n]") & ~F.col("_text").rlike(r"(?m)^\s*\|.*\|\s*$"))
+        multi = self.src.where((F.length("_text") < LONGEST) & F.col("_text").rlike("[\r\n]") & ~F.col("_text").rlike(r"(?m)^\s*\|.*\|\s*$"))
         sample = multi.select("_doc", "_page", "_text", "_uid").orderBy(F.xxhash64("_doc"), "_doc", "_uid", "_text").limit(SAMPLE).toPandas()
         self.line_model = LineModel(sample.astype({"_page": object}))
         marks = self.src.mapInPandas(_marks(words, self.line_model), "_uid string, _doc string, mark string, key string, around string, score double")
