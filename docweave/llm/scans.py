@@ -25,6 +25,8 @@ from .boost import Boosted
 
 #: The fitting sample has at most SAMPLE chunks of fewer than LONGEST characters.
 SAMPLE, LONGEST, COMMON_SHARE, LEAST_COUNT, RATIO = 6000, 20_000, 1e-5, 3, 30
+#: A running header is on at least this share of the title-like lines of its document, and stands in three surroundings or more.
+SHARE = 0.02
 #: What is printed and what it may be read as. Fixed values.
 CONFUSIONS = (("m", "rn"), ("d", "cl"), ("w", "vv"), ("h", "li"), ("n", "ri"), ("h", "b"), ("n", "u"), ("u", "n"), ("b", "6"), ("g", "9"), ("q", "9"), ("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("z", "2"), ("i", "!"), ("l", "!"), ("e", "€"), ("c", "©"), ("e", "c"), ("c", "e"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("m", "nn"), ("t", "f"), ("a", "�"))
 _ODD = "0123456789!€©�ﬀﬁﬂﬃﬄ"
@@ -112,22 +114,34 @@ class LineModel:
                     key = title_key(t[0])
                     seen.setdefault((doc, key), set()).add(surroundings(ls, i))
                     lines.append((ls, i, doc, key, widest))
-        labels = [3 <= len(seen[d, k]) for _, _, d, k, _ in lines]
+        # a long document repeats lines of text too, but not on its every so many pages
+        whole = Counter(d for _, _, d, _, _ in lines)
+        labels = [len(seen[d, k]) >= max(3, SHARE * whole[d]) for _, _, d, k, _ in lines]
         # words of titles that recur in several documents mark a title that occurs but once; it is no example of text
-        marks = Counter(w for d, k in {(d, k) for (_, _, d, k, _), y in zip(lines, labels) if y} for w in set(k.split()))
-        other = Counter(w for (_, _, d, k, _), y in zip(lines, labels) if not y for w in set(k.split()))
-        marks = {w for w, n in marks.items() if n >= 3 and other[w] < 0.05 * len(lines)}
+        titles = {(d, k) for (_, _, d, k, _), y in zip(lines, labels) if y}
+        others = {(d, k) for (_, _, d, k, _), y in zip(lines, labels) if not y}
+        often = Counter(w for _, k in titles for w in set(k.split()))
+        else_ = Counter(w for _, k in others for w in set(k.split()))
+        marks = {w for w, n in often.items() if n >= 3 and n / len(titles) >= 20 * else_[w] / len(others)}
         doubt = [not y and (len(seen[d, k]) == 2 or len(set(k.split()) & marks) > 0) for (_, _, d, k, _), y in zip(lines, labels)]
-        yes, no = Counter(), Counter()
-        for (ls, i, _, k, _), y, z in zip(lines, labels, doubt):
+        # words are counted once per title, however often it recurs, and few of its lines teach the trees
+        yes, no, keys = Counter(), Counter(), {}
+        for (_, _, d, k, _), y, z in zip(lines, labels, doubt):
             if not z:
-                (yes if y else no).update(set(k.split()))
-        n, m = sum(labels) + 1, len(labels) - sum(labels) + 1
+                keys[d, k] = y
+        for (_, k), y in keys.items():
+            (yes if y else no).update(set(k.split()))
+        n = sum(keys.values()) + 1
+        m = len(keys) - n + 2
         self.scores = {w: float(np.log((yes[w] + 0.5) / n / ((no[w] + 0.5) / m))) for w in {*yes, *no}}
         self.model = None
         if sum(labels) >= 8 and len(labels) - sum(labels) >= 8:
             x = np.array([_features(ls, i, self.scores, p) for ls, i, _, _, p in lines])
-            keep = ~np.array(doubt)
+            met: Counter = Counter()
+            keep = np.zeros(len(lines), dtype=bool)
+            for r, ((_, _, d, k, _), z) in enumerate(zip(lines, doubt)):
+                met[d, k] += 1
+                keep[r] = not z and met[d, k] <= 20
             self.model = Boosted().fit(x[keep], np.array(labels)[keep])
 
     def score(self, lines: list[tuple[list[str], int, int]]) -> np.ndarray:
@@ -429,8 +443,9 @@ class Scans:
         marks = self.src.mapInPandas(_marks(words, self.line_model), "_uid string, _doc string, mark string, key string, around string, score double")
         self.marks = materialize(marks.distinct(), "scan-marks")
         titles = self.marks.where("mark in ('title', 'numbered')")
+        whole = titles.groupBy("_doc").agg(F.count(F.lit(1)).alias("_all"))
         seen = titles.groupBy("_doc", "key").agg(F.countDistinct("around").alias("_n"), F.max("score").alias("_s"), F.max(F.when(F.col("mark") == "numbered", 1).otherwise(0)).alias("_e"))
-        heads = seen.where("_s > 0.5 or (_n >= 2 and _s > 0.1) or _n >= 3")
+        heads = seen.join(whole, "_doc").where((F.col("_s") > 0.5) | ((F.col("_n") >= 2) & (F.col("_s") > 0.1)) | ((F.col("_n") >= 3) & (F.col("_n") >= SHARE * F.col("_all"))))
         self.heads = titles.join(heads.select("_doc", "key"), ["_doc", "key"]).select("_uid", "key", "mark").distinct()
         # few bytes but much work: spread by number, not by size
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
