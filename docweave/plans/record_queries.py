@@ -37,10 +37,10 @@ def s6_scan(spark: SparkSession, root: str) -> DataFrame:
     return p.groupBy("document_id", "graph_control_point").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("point_id").alias("n_ids"), F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).cast("bigint").alias("dim"))
 
 
-@query("select chunk_uid, chunk_id, text, page_no, count(*) as copies from points where document_id = 'shared-operations-handbook' and vector_point and graph_control_point is null group by all")
+@query("""select document_id, chunk_uid, chunk_id, text, page_no, count(*) as copies from points where coalesce(document_id, '') <> '' and vector_point and graph_control_point is null group by all""")
 def s7_document_scan(spark: SparkSession, root: str) -> DataFrame:
-    p = read_table(spark, root, "points").where("document_id = 'shared-operations-handbook' and vector_point and graph_control_point is null")
-    return p.groupBy("chunk_uid", "chunk_id", "text", "page_no").agg(F.count(F.lit(1)).alias("copies"))
+    p = read_table(spark, root, "points").where("coalesce(document_id, '') <> '' and vector_point and graph_control_point is null")
+    return p.groupBy("document_id", "chunk_uid", "chunk_id", "text", "page_no").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query(f"with {_USABLE} select document_id, count(*) as n, count(distinct chunk_uid) as n_chunks from usable where coalesce(point_id, '') <> '' group by 1")
@@ -171,11 +171,14 @@ def l9_control_proofs(spark: SparkSession, root: str) -> DataFrame:
     return L.control_proof(p.where("graph_tombstoned is not true"), R.point_set_digest(p))
 
 
-@query("""with n as (select *, document_generation + 1 as g from points where page_no % 3 = 0) select 'append' as mode, count(*) as n from points union all
+# what comes in is a new generation of the documents that are not available
+@query("""with n as (select point_id, document_id, document_generation + 1 as document_generation from points where document_id in (select document_id from document_entries where status <> 'available'))
+  select 'append' as mode, count(*) as n from points union all
   select 'replace-document', (select count(*) from points p where not exists (select 1 from n where n.document_id = p.document_id)) + (select count(*) from n) union all select 'replace-collection', (select count(*) from n)""")
 def l1_ingest_modes(spark: SparkSession, root: str) -> DataFrame:
-    old = read_table(spark, root, "points").select("point_id", "document_id", "document_generation", "page_no")
-    new = old.where("page_no % 3 = 0").withColumn("document_generation", F.col("document_generation") + 1)
+    old = read_table(spark, root, "points").select("point_id", "document_id", "document_generation")
+    due = read_table(spark, root, "document_entries").where("status <> 'available'").select("document_id")
+    new = old.join(due, "document_id", "left_semi").select("point_id", "document_id", (F.col("document_generation") + 1).alias("document_generation"))
     parts = [L.ingest(old, new, m).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("mode"), "n") for m in L.MODES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

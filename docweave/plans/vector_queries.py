@@ -101,12 +101,14 @@ def a1_filtered_counts(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "points").where("vector_point and document_id is not null").groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).withColumn("present", F.col("n") > 0)
 
 
-@query("""with u as (select *, 0 as batch from points union all select *, 1 as batch from points where page_no % 2 = 0), r as (select point_id, batch, document_generation + batch as generation, row_number() over (partition by point_id order by batch desc) as k from u)
-  select point_id, batch, generation from r where k = 1""")
+# the batch that comes in is a new generation of the documents that are not available
+@query("""with n as (select point_id, 1 as batch, document_generation + 1 as generation from points where document_id in (select document_id from document_entries where status <> 'available')), u as (select point_id, 0 as batch, document_generation as generation from points union all select * from n)
+  select point_id, max(batch) as batch, arg_max(generation, batch) as generation from u group by 1""")
 def s9_upserted(spark: SparkSession, root: str) -> DataFrame:
-    p = read_table(spark, root, "points").select("point_id", "page_no", "document_generation")
-    new = p.where("page_no % 2 = 0").withColumn("batch", F.lit(1)).withColumn("generation", F.col("document_generation") + 1)
-    old = p.withColumn("batch", F.lit(0)).withColumn("generation", F.col("document_generation"))
+    p = read_table(spark, root, "points").select("point_id", "document_id", "document_generation")
+    due = read_table(spark, root, "document_entries").where("status <> 'available'").select("document_id")
+    old = p.select("point_id", F.lit(0).alias("batch"), F.col("document_generation").alias("generation"))
+    new = p.join(due, "document_id", "left_semi").select("point_id", F.lit(1).alias("batch"), (F.col("document_generation") + 1).alias("generation"))
     return R.upsert(old, new, ["point_id"], "batch").select("point_id", "batch", "generation")
 
 

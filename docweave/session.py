@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def get_spark(app: str = "docweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
+def _sweep(spark: SparkSession, folder: str) -> None:
+    """Intermediate tables go with the application that wrote them, if it ends in order."""
+    try:
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:
+        pass
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
@@ -60,7 +71,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     smaller than a checkpoint because it is columnar and compressed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docweave/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/docweave/{app}"
+    if app not in _swept:
+        _swept.add(app)
+        atexit.register(_sweep, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)

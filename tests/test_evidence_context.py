@@ -93,3 +93,20 @@ def test_document_order_over_blocks(spark):
     df = spark.createDataFrame(rows, "document_id string, chunk_id bigint, chunk_uid string, hierarchy struct<sentence_index:int>")
     got = {r.chunk_uid: (r.ord, r.next_uid) for r in document_order(df, block=10).collect()}
     assert all(got[f"u{i:03d}"] == (i + 1, f"u{i + 1:03d}" if i < 94 else None) for i in range(95)) and got["y"] == (1, "x") and got["x"] == (2, None)
+
+
+def test_named_like_words_as_in_unicode(spark):
+    import re
+
+    texts = ["The NASA team met Éric and Zoë, then Paul in Ürümqi. It said ABC, However Bob.", "XÉROX naïve Ab2 Straße MÜNCHEN", ""]
+    got = [set(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.named_like(F.col("t"))).collect()]
+
+    def want(t):
+        out = set()
+        for m in re.finditer(r"\b[A-Z]{2,}\b|\b[A-Z][a-z]+\b", t):
+            if m[0].casefold() in T.NON_ENTITY_WORDS or not m[0].isupper() and t[m.end() :].lstrip().startswith(","):
+                continue
+            out.add(m[0].casefold())
+        return out
+
+    assert got == [want(t) for t in texts]
