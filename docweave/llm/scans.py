@@ -424,14 +424,14 @@ class Scans:
     """``found`` (id, kind): kind is hyphen, glyph, header or folio, one row per id and kind.
     ``repaired()`` (id, text): the texts with all of that put right and lines joined to paragraphs.
 
-    Null ids and texts are left out; rows repeated with the same id and text count once. An empty table gives empty results. Besides id and text,
+    Null ids and texts are left out; rows without a document form one; rows repeated with the same id and text count once. An empty table gives empty results. Besides id and text,
     ``document_id``, ``page_no``, and ``level`` are read if present; other columns are ignored.
     """
 
     def __init__(self, df: DataFrame, id_col: str = "chunk_uid", text_col: str = "text", doc_col: str = "document_id", page_col: str = "page_no", level_col: str = "level"):
         spark, self.id_col = df.sparkSession, id_col
         has = lambda c, kind: (F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind))
-        self.src = df.select(F.col(id_col).cast("string").alias("_uid"), has(doc_col, "string").alias("_doc"), has(page_col, "int").alias("_page"), F.lower(has(level_col, "string")).alias("_kind"), F.col(text_col).alias("_text")).where("_uid is not null and _text is not null")
+        self.src = df.select(F.col(id_col).cast("string").alias("_uid"), F.coalesce(has(doc_col, "string"), F.lit("")).alias("_doc"), has(page_col, "int").alias("_page"), F.lower(has(level_col, "string")).alias("_kind"), F.col(text_col).alias("_text")).where("_uid is not null and _text is not null")
         counts = materialize(self.src.select("_text").mapInPandas(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "scan-words")
         total = counts.agg(F.sum("n")).first()[0] or 0
         common = counts.where(F.col("n") >= max(LEAST_COUNT, COMMON_SHARE * total)).toPandas()
