@@ -247,8 +247,39 @@ def community_candidates(edges: DataFrame) -> DataFrame:
     return edges.groupBy("document_id").applyInPandas(_search([(r, s) for r in RESOLUTIONS for s in SEEDS]), _CANDIDATES)
 
 
-def candidate_metrics(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per document and candidate: sizes, quality, stability among the seeds of a resolution, and whether it is acceptable."""
+def _coherence(key, part, vecs):
+    """Mean cosine of the pairs inside the communities of each candidate of a document, from one sum of unit vectors per community."""
+    names = ["document_id", "resolution", "seed", "semantic_coherence"]
+    if not len(part) or not len(vecs):
+        return pd.DataFrame(columns=names)
+    vecs = vecs.sort_values("_node")
+    v = np.stack([np.asarray(x, dtype=np.float64) for x in vecs["_v"]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    at = {u: k for k, u in enumerate(vecs["_node"])}
+    rows = []
+    for (r, s), b in part[part["node"].isin(at)].sort_values("node").groupby(["resolution", "seed"]):
+        codes, groups = pd.factorize(b["community"])
+        x, total = v[[at[u] for u in b["node"]]], np.zeros((len(groups), v.shape[1]))
+        np.add.at(total, codes, x)
+        n = np.bincount(codes)
+        pairs = (n * (n - 1)).sum() / 2
+        if pairs:
+            rows.append((key[0], r, s, float(((total * total).sum() - n.sum()) / 2 / pairs)))
+    return pd.DataFrame(rows, columns=names)
+
+
+def semantic_coherence(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(document_id, resolution, seed, semantic_coherence): all pairs of a candidate weigh the same, whatever their community.
+
+    Nodes without a vector are passed over; a candidate without a pair of vectors inside any community has no row.
+    """
+    v = vectors.where(V.valid_vector(F.col("embedding"))).select(F.col("document_id").alias("_doc"), F.col("chunk_uid").alias("_node"), F.col("embedding").cast("array<double>").alias("_v")).dropDuplicates(["_doc", "_node"])
+    return candidates.groupBy("document_id").cogroup(v.groupBy("_doc")).applyInPandas(_coherence, "document_id string, resolution double, seed int, semantic_coherence double")
+
+
+def candidate_metrics(candidates: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Per document and candidate: sizes, quality, stability among the seeds of a resolution, coherence if there are vectors
+    (document_id, chunk_uid, embedding), and whether it is acceptable."""
     keys = ["document_id", "resolution", "seed"]
     sizes = candidates.groupBy(*keys, "community").agg(F.count(F.lit(1)).alias("n"))
     s = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_communities"), F.sum("n").alias("n_nodes"), F.max("n").alias("largest"), F.min("n").alias("smallest"), (F.count_if(F.col("n") == 1) / F.count(F.lit(1))).alias("singleton_rate"))
@@ -270,18 +301,25 @@ def candidate_metrics(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     nmi = F.when(ha + hb < 1e-12, 1.0).otherwise((ha + hb - F.log("n") + F.col("hij") / F.col("n")) / ((ha + hb) / 2))
     stable = t.groupBy(*keys).agg(((F.avg(F.coalesce(ari, F.lit(1.0))) + F.avg(nmi)) / 2).alias("stability"))
     m = s.join(quality, keys).join(stable, keys)
+    if vectors is not None:
+        m = m.join(semantic_coherence(candidates, vectors), keys, "left")
     bad = (F.col("n_communities") > F.greatest(F.lit(2), F.ceil(F.col("n_nodes") * 0.75))) | (F.col("singleton_rate") > 0.5) | ((F.col("n_communities") > 1) & (F.col("largest") / F.col("n_nodes") > 0.9))
     return m.withColumn("size_balance", F.col("smallest") / F.col("largest")).withColumn("accepted", ~bad)
 
 
-def select_communities(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+def select_communities(candidates: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(document_id, resolution, seed, score): the accepted candidate of the best mean of min-max scaled metrics, ties to
-    the lower resolution, then seed; a document without an acceptable one keeps resolution 1 and the baseline's seed, score null."""
+    the lower resolution, then seed; a document without an acceptable one keeps resolution 1 and the baseline's seed, score null.
+
+    The metrics are quality, stability, balance of sizes and, with vectors, coherence; a missing one counts 0. They are rounded
+    before they are scaled, so that equal partitions are not told apart by the order of a sum.
+    """
     candidates = materialize(candidates, "community-candidates")
-    m = candidate_metrics(candidates, edges)
+    m = candidate_metrics(candidates, edges, vectors)
     w = Window.partitionBy("document_id")
-    ok = m.where("accepted")
-    scaled = [F.when(F.max(c).over(w) == F.min(c).over(w), 1.0).otherwise((F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))) for c in ("graph_quality", "stability", "size_balance")]
+    names = ["graph_quality", "stability", "size_balance"] + (["semantic_coherence"] if vectors is not None else [])
+    ok = m.where("accepted").withColumns({c: F.round(c, 12) for c in names})
+    scaled = [F.when(F.col(c).isNull(), 0.0).when(F.max(c).over(w) == F.min(c).over(w), 1.0).otherwise((F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))) for c in names]
     scored = ok.withColumn("score", F.round(sum(scaled[1:], scaled[0]) / len(scaled), 9))
     best = scored.groupBy("document_id").agg(F.min_by(F.struct("resolution", "seed", "score"), F.struct(-F.col("score"), "resolution", "seed")).alias("b"))
     docs = candidates.select("document_id").distinct().join(best, "document_id", "left")

@@ -43,7 +43,7 @@ def document_graph(points: DataFrame, mentions: DataFrame, evidence: DataFrame,
     vec = materialize(V.usable_points(points), "pipeline-vectors")
     edges = materialize(G.adaptive_topology(vec, k, above, least, most), "pipeline-edges")
     candidates = materialize(G.community_candidates(edges), "pipeline-communities")
-    best = G.select_communities(candidates, edges)
+    best = G.select_communities(candidates, edges, vec)
     e = M.normal_evidence(evidence)
     support = M.entity_support(mentions, e)
     return {"edges": edges, "communities": candidates.join(best.select("document_id", "resolution", "seed"), ["document_id", "resolution", "seed"]).select("document_id", "node", "community"), "entities": M.cleaned_entities(support), "relations": M.coalesced_edges(M.active(e))}

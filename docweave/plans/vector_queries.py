@@ -218,7 +218,7 @@ def g7_communities(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def g8_selected_communities(spark: SparkSession, root: str) -> DataFrame:
-    return G.select_communities(G.community_candidates(_fixed(spark, root)), _fixed(spark, root))
+    return G.select_communities(G.community_candidates(_fixed(spark, root)), _fixed(spark, root), _vec(spark, root))
 
 
 @query()

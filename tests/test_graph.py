@@ -65,6 +65,20 @@ def test_communities_of_two_triangles(spark):
     assert best.resolution == 0.5 and best.score == 1.0
 
 
+def test_coherence_inside_communities_decides(spark):
+    ring = edges(spark, [("a", "b", 1.0), ("c", "d", 1.0), ("a", "c", 1.0), ("b", "d", 1.0)])
+    parts = {0.5: {"a": 0, "b": 0, "c": 1, "d": 1}, 1.0: {"a": 0, "c": 0, "b": 1, "d": 1}}
+    rows = [("x", r, s, n, c) for r, p in parts.items() for s in (17, 29) for n, c in p.items()]
+    cand = spark.createDataFrame(rows, "document_id string, resolution double, seed int, node string, community int")
+    vec = spark.createDataFrame([("x", n, v) for n, v in zip("abcd", ([1.0, 0.0], [0.0, 2.0], [0.8, 0.6], [0.0, 1.0]))], "document_id string, chunk_uid string, embedding array<double>")
+    got = {(r.resolution, r.seed): round(r.semantic_coherence, 9) for r in G.candidate_metrics(cand, ring, vec).collect()}
+    assert got == {(0.5, 17): 0.3, (0.5, 29): 0.3, (1.0, 17): 0.9, (1.0, 29): 0.9}
+    best = G.select_communities(cand, ring, vec).first()
+    assert (best.resolution, best.seed, best.score) == (1.0, 17, 1.0)
+    few = G.select_communities(cand, ring, vec.where("chunk_uid = 'a'")).first()
+    assert (few.resolution, few.score) == (0.5, 0.75)
+
+
 def test_agreement(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (2, 2), (3, 3)], "a int, b int")
     r = G.partition_agreement(df, df.a, df.b).first()
