@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 #: Weights of kinds of evidence, sources that count as weak, the widest gap that still is near.
 WEIGHTS = {"verified": 1.0, "explicit": 1.0, "same_sentence": 0.6, "nearby_window": 0.4, "same_chunk": 0.2}
 WEAK_SOURCES, ACTIVE_KINDS, NEAR = ("rule-based", "fallback"), ("explicit", "verified"), 120
 NEIGHBOURHOOD_CAP = 16
+#: Candidates of an entity, of a chunk and of a document.
+ENTITY_CAP, CHUNK_CAP, TOTAL_CAP = 4, 6, 24
 
 
 def valid_mentions(mentions: DataFrame) -> DataFrame:
@@ -171,11 +175,8 @@ def neighbourhoods(chunks: DataFrame, mentions: DataFrame, semantic: DataFrame)
     return every.groupBy("document_id", "a", "b").agg(F.sort_array(F.collect_set("t")).alias("triggers"))
 
 
-def recovery_candidates(near: DataFrame, mentions: DataFrame, support: DataFrame, cap: int = NEIGHBOURHOOD_CAP) -> DataFrame:
-    """(document_id, head, tail, n_support, triggers): entity pairs across near chunks of which one holds a weakly supported entity.
-
-    The cap is the operator's own rule: the first ``cap`` pairs of each pair of chunks, in order of their ids.
-    """
+def _recovery_pairs(near: DataFrame, mentions: DataFrame, support: DataFrame) -> DataFrame:
+    """(document_id, a, b, triggers, l, r, _k): entity pairs across near chunks of which one holds a weakly supported entity, numbered within the chunks."""
     ent = canonical_mentions(mentions).groupBy("document_id", "chunk_uid", "canonical").agg(F.min("label").alias("label"))
     weak = support.where("support <> 'strongly_supported'").select("document_id", "canonical")
     weak_chunks = ent.join(weak, ["document_id", "canonical"], "left_semi").select("document_id", "chunk_uid").distinct()
@@ -184,6 +185,85 @@ def recovery_candidates(near: DataFrame, mentions: DataFrame, support: DataFrame
     left = ent.select("document_id", F.col("chunk_uid").alias("a"), F.col("canonical").alias("l"), F.col("label").alias("_ll"))
     right = ent.select("document_id", F.col("chunk_uid").alias("b"), F.col("canonical").alias("r"), F.col("label").alias("_lr"))
     p = n.join(left, ["document_id", "a"]).join(right, ["document_id", "b"]).where("l <> r and _ll = _lr")
-    p = p.withColumn("_k", F.row_number().over(Window.partitionBy("document_id", "a", "b").orderBy("l", "r"))).where(F.col("_k") <= cap)
+    return p.withColumn("_k", F.row_number().over(Window.partitionBy("document_id", "a", "b").orderBy("l", "r")))
+
+
+def recovery_candidates(near: DataFrame, mentions: DataFrame, support: DataFrame, cap: int = NEIGHBOURHOOD_CAP) -> DataFrame:
+    """(document_id, head, tail, n_support, triggers): entity pairs across near chunks of which one holds a weakly supported entity.
+
+    The cap is the operator's own rule: the first ``cap`` pairs of each pair of chunks, in order of their ids.
+    """
+    p = _recovery_pairs(near, mentions, support).where(F.col("_k") <= cap)
     g = p.groupBy("document_id", F.least("l", "r").alias("head"), F.greatest("l", "r").alias("tail")).agg(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))).alias("_s"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("triggers")))).alias("triggers"))
     return g.select("document_id", "head", "tail", F.size("_s").cast("bigint").alias("n_support"), F.array_join("triggers", ",").alias("triggers"))
+
+
+def _capped(entity_cap: int, chunk_cap: int, total_cap: int):
+    def run(key, b):
+        entities: dict[str, int] = {}
+        chunks: dict[str, int] = {}
+        reasons, total = [], 0
+        b = b.sort_values(["head", "tail"])
+        for head, tail, support in zip(b["head"], b["tail"], b["support_chunk_uids"]):
+            if max(entities.get(head, 0), entities.get(tail, 0)) >= entity_cap:
+                reasons.append("per_entity_cap")
+            elif any(chunks.get(c, 0) >= chunk_cap for c in support):
+                reasons.append("per_chunk_cap")
+            elif total >= total_cap:
+                reasons.append("total_cap")
+            else:
+                reasons.append(None)
+                total += 1
+                for e in (head, tail):
+                    entities[e] = entities.get(e, 0) + 1
+                for c in support:
+                    chunks[c] = chunks.get(c, 0) + 1
+        return b.assign(reason=pd.array(reasons, dtype="object"))
+
+    return run
+
+
+def capped_candidates(near: DataFrame, mentions: DataFrame, support: DataFrame, cap: int = NEIGHBOURHOOD_CAP, entity_cap: int = ENTITY_CAP, chunk_cap: int = CHUNK_CAP, total_cap: int = TOTAL_CAP) -> DataFrame:
+    """(document_id, head, tail, support_chunk_uids, triggers, reason): recovery candidates, and with a reason what a cap turned away.
+
+    A pair beyond the cap of its two chunks is a row of its own; the others are merged, then taken per document in the order of
+    their ids as long as both entities, all chunks and the document have room.
+    """
+    # the triggers of a candidate name the rules it came by besides the ones of its chunks
+    also = F.array(F.lit("compatible_entity_label"), F.lit("weak_orphan_recovery"))
+    p = materialize(_recovery_pairs(near, mentions, support).select("document_id", F.least("l", "r").alias("head"), F.greatest("l", "r").alias("tail"), F.array("a", "b").alias("_s"), F.concat("triggers", also).alias("_t"), "_k"), "recovery-pairs")
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    g = p.where(F.col("_k") <= cap).groupBy("document_id", "head", "tail").agg(merged("_s").alias("support_chunk_uids"), merged("_t").alias("triggers"))
+    shape = "document_id string, head string, tail string, support_chunk_uids array<string>, triggers array<string>, reason string"
+    taken = g.groupBy("document_id").applyInPandas(_capped(entity_cap, chunk_cap, total_cap), shape)
+    beyond = p.where(F.col("_k") > cap).select("document_id", "head", "tail", F.array_sort("_s").alias("support_chunk_uids"), F.array_sort("_t").alias("triggers"), F.lit("per_neighborhood_cap").alias("reason"))
+    return taken.unionByName(beyond)
+
+
+def recovered_evidence(candidates: DataFrame, mentions: DataFrame, verified: DataFrame | None = None) -> DataFrame:
+    """Raw evidence of candidates under their names, by the verifier's rows (document_id, head, tail, status, relation, confidence, support_chunk_uids);
+    a candidate that no row speaks of is unavailable. Only accepted ones get active; one without a relation, with a confidence beyond [0, 1]
+    or with support outside the candidate's chunks is insufficient.
+    """
+    if verified is None:
+        verified = candidates.sparkSession.createDataFrame([], "document_id string, head string, tail string, status string, relation string, confidence double, support_chunk_uids array<string>")
+    names = canonical_mentions(mentions).groupBy("document_id", "canonical").agg(F.min("surface").alias("_name"))
+    # one answer a candidate: the least by its fields
+    v = verified.groupBy("document_id", "head", "tail").agg(F.min(F.struct(F.col("status").alias("s"), F.col("relation").alias("r"), F.col("confidence").cast("double").alias("c"), F.col("support_chunk_uids").alias("u"))).alias("_v"))
+    e = candidates.join(v, ["document_id", "head", "tail"], "left")
+    for end in ("head", "tail"):
+        e = e.join(names.select("document_id", F.col("canonical").alias(end), F.col("_name").alias(f"_{end}")), ["document_id", end])
+    sound = (F.trim("_v.r") != "") & F.col("_v.c").between(0.0, 1.0) & (F.size("_v.u") > 0) & (F.size(F.array_except("_v.u", "support_chunk_uids")) == 0)
+    status = F.when(F.col("_v.s").isNull(), "unavailable").when(F.col("_v.s") == "accepted", F.when(F.coalesce(sound, F.lit(False)), "accepted").otherwise("insufficient")).when(F.col("_v.s") == "rejected", "rejected").otherwise("insufficient")
+    e = e.withColumn("status", status)
+    yes = F.col("status") == "accepted"
+    return e.select(
+        "document_id", F.col("_head").alias("head"), F.when(yes, F.trim("_v.r")).alias("relation"), F.col("_tail").alias("tail"), F.lit("recovery").alias("source"), F.lit("cross_chunk").alias("scope"), F.when(yes, F.col("_v.c")).alias("confidence"),
+        F.when(yes, F.col("_v.u")).otherwise(F.col("support_chunk_uids")).alias("support_chunk_uids"), F.when(yes, "verified").otherwise("unverified").alias("evidence_type"), F.when(yes, "verified").otherwise(F.col("status")).alias("verification_state"), "status",
+    )
+
+
+def mention_edges(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(document_id, chunk_uid, entity, weight): the canonical entities of each of the chunks."""
+    m = canonical_mentions(mentions).join(chunks.select("chunk_uid"), "chunk_uid", "left_semi")
+    return m.select("document_id", "chunk_uid", F.col("canonical").alias("entity"), F.lit(1.0).alias("weight")).distinct()

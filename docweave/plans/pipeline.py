@@ -38,15 +38,39 @@ def ingest(points: DataFrame, chunks: DataFrame, mode: str, generation: int, mod
     return L.ingest(points, made, mode)
 
 
-def document_graph(points: DataFrame, mentions: DataFrame, evidence: DataFrame, k: int = 3, above: float = 0.3, least: int = 1, most: int = 5) -> dict[str, DataFrame]:
-    """Semantic edges, communities, entities worth keeping and relation edges of every document, all documents at once."""
+def document_graph(points: DataFrame, mentions: DataFrame, evidence: DataFrame, chunks: DataFrame, verify=None, k: int = 3, above: float = 0.3, least: int = 1, most: int = 5) -> dict[str, DataFrame]:
+    """The graph of every document, all documents at once, in two passes: semantic edges and local evidence; candidates for lost
+    relations between near chunks, within their caps; then entities, relations and mentions from local and recovered evidence.
+
+    ``verify`` takes the candidates (document_id, head, tail, support_chunk_uids, triggers) and gives the rows ``recovered_evidence`` reads;
+    without it all candidates are unavailable. What a cap turned away is in ``candidates``, with the reason.
+    """
     vec = materialize(V.usable_points(points), "pipeline-vectors")
     edges = materialize(G.adaptive_topology(vec, k, above, least, most), "pipeline-edges")
+    own = chunks.where("not coalesce(context_only, false)") if "context_only" in chunks.columns else chunks
+    protected = chunks.where("query_protected").select("chunk_uid") if "query_protected" in chunks.columns else None
+    local = M.normal_evidence(evidence)
+    near = M.neighbourhoods(own, mentions, edges)
+    # chunks of context only and chunks that are unknown are no place to recover from
+    known = own.select("chunk_uid").distinct()
+    for end in ("a", "b"):
+        near = near.join(known.withColumnRenamed("chunk_uid", end), end, "left_semi")
+    tried = materialize(M.capped_candidates(near, mentions, M.entity_support(mentions, local, protected)), "pipeline-candidates")
+    pending = tried.where("reason is null").drop("reason")
+    found = materialize(M.normal_evidence(M.recovered_evidence(pending, mentions, verify(pending) if verify else None)), "pipeline-recovered")
+    # what was not accepted stays on record, but supports nothing
+    e = local.unionByName(M.active(found))
+    entities = M.cleaned_entities(M.entity_support(mentions, e, protected))
+    men = M.mention_edges(own, mentions).join(entities.select("document_id", F.col("canonical").alias("entity")), ["document_id", "entity"], "left_semi")
     candidates = materialize(G.community_candidates(edges), "pipeline-communities")
     best = G.select_communities(candidates, edges, vec)
-    e = M.normal_evidence(evidence)
-    support = M.entity_support(mentions, e)
-    return {"edges": edges, "communities": candidates.join(best.select("document_id", "resolution", "seed"), ["document_id", "resolution", "seed"]).select("document_id", "node", "community"), "entities": M.cleaned_entities(support), "relations": M.coalesced_edges(M.active(e))}
+    every = local.withColumn("_from", F.lit("local")).unionByName(found.withColumn("_from", F.lit("recovered")))
+    counts = every.groupBy("document_id", F.col("_from").alias("source"), "status").agg(F.count(F.lit(1)).alias("n"))
+    turned = tried.where("reason is not null").groupBy("document_id", F.lit("caps").alias("source"), F.col("reason").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return {
+        "edges": edges, "communities": candidates.join(best.select("document_id", "resolution", "seed"), ["document_id", "resolution", "seed"]).select("document_id", "node", "community"),
+        "entities": entities, "relations": M.coalesced_edges(M.active(e)), "mentions": men.select("document_id", "chunk_uid", "entity", "weight"), "candidates": tried, "evidence": every.drop("_from"), "diagnostics": counts.unionByName(turned),
+    }
 
 
 @dataclass

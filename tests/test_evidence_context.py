@@ -31,6 +31,45 @@ def test_ambiguous_ends_resolve_to_nothing(spark):
     assert [(r.head_id, r.tail_id) for r in M.resolved_endpoints(ev, ent).collect()] == [("e3", "e4")]
 
 
+def test_candidate_caps_keep_what_they_turn_away(spark):
+    rows = [(f"c{k}", f"Entity {x}{k}", "ORG", 0, 5, None, None, 0, "d") for k in (0, 1) for x in "abcde"]
+    m = spark.createDataFrame(rows, MENTION)
+    near = spark.createDataFrame([("d", "c0", "c1", ["semantic_neighbor"])], "document_id string, a string, b string, triggers array<string>")
+    support = M.entity_support(m, M.normal_evidence(spark.createDataFrame([], EVIDENCE)))
+    got = M.capped_candidates(near, m, support, chunk_cap=99).collect()
+    why = {}
+    for r in got:
+        why.setdefault(r.reason, []).append((r.head[-2:], r.tail[-2:]))
+    # 25 pairs: 9 beyond the 16 of the two chunks; no entity is in more than four of those taken
+    assert len(got) == 25 and len(why["per_neighborhood_cap"]) == 9
+    assert why["per_entity_cap"] and all(sum(e in p for p in why[None]) <= 4 for e in {x for p in why[None] for x in p})
+    few = M.capped_candidates(near, m, support).collect()
+    assert sum(r.reason is None for r in few) == 6 and {r.reason for r in few} >= {None, "per_chunk_cap", "per_neighborhood_cap"} and len(few) == 25
+    least = M.capped_candidates(near, m, support, total_cap=2).collect()
+    assert sorted((r.head[-2:], r.tail[-2:]) for r in least if r.reason is None) == [("a0", "a1"), ("a0", "b1")] and any(r.reason == "total_cap" for r in least)
+
+
+def test_document_graph_recovers_relations(spark):
+    from docweave.plans import pipeline
+
+    vec = [[1.0] + [0.0] * 63, [0.9, 0.1] + [0.0] * 62, [0.8, 0.2] + [0.0] * 62]
+    points = spark.createDataFrame([(f"p{k}", "d", f"c{k}", v, True, None, None) for k, v in enumerate(vec)], "point_id string, document_id string, chunk_uid string, embedding array<double>, vector_point boolean, graph_control_point string, graph_tombstoned boolean")
+    h = "struct<section_id:string,paragraph_id:string,parent_chunk_uid:string>"
+    chunks = spark.createDataFrame([("d", k, f"c{k}", ("s", None, None), k == 2) for k in range(3)], f"document_id string, chunk_id bigint, chunk_uid string, hierarchy {h}, context_only boolean")
+    m = spark.createDataFrame([("c0", "Alpha Works", "ORG", 0, 11, None, None, 0, "d"), ("c1", "Beta Institute", "ORG", 0, 14, None, None, 0, "d"), ("c2", "Gamma House", "ORG", 0, 11, None, None, 0, "d")], MENTION)
+    ev = spark.createDataFrame([], EVIDENCE)
+    args = (points, m, ev, chunks)
+    bare = pipeline.document_graph(*args, above=0.0)
+    assert [(r.head, r.tail) for r in bare["candidates"].collect()] == [("ent_alpha_works", "ent_beta_institute")]
+    assert bare["entities"].count() == bare["relations"].count() == bare["mentions"].count() == 0
+    assert [(r.source, r.status, r.n) for r in bare["diagnostics"].collect()] == [("recovered", "unavailable", 1)]
+    say = lambda up: lambda c: c.select("document_id", "head", "tail", F.lit("accepted").alias("status"), F.lit("funds").alias("relation"), F.lit(0.7).alias("confidence"), F.array(F.lit(up)).alias("support_chunk_uids"))
+    full = pipeline.document_graph(*args, verify=say("c1"), above=0.0)
+    assert [(r.src, r.dst, r.weight) for r in full["relations"].collect()] == [("ent_alpha_works", "ent_beta_institute", 1.0)]
+    assert {(r.chunk_uid, r.entity) for r in full["mentions"].collect()} == {("c0", "ent_alpha_works"), ("c1", "ent_beta_institute")}
+    assert {r.status for r in pipeline.document_graph(*args, verify=say("c2"), above=0.0)["evidence"].collect()} == {"insufficient"}
+
+
 def row(i, community, base, rank, cost, tokens, importance=1.0, relevant=True, protected=False):
     return dict(id=str(i), community=community, importance=importance, relevant=relevant, rank=rank, cost=cost, protected=protected, base=base, tokens=set(tokens.split()))
 
