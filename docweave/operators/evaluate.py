@@ -42,18 +42,30 @@ def overlap_metrics(summaries: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def sentence_support(summaries: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, sentence_index, source_id, score): the source that shares most of each sentence's words, ties to the smaller id."""
+def sentence_citations(summaries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, sentence_index, source_id, score, citation_score): the source that shares most of each sentence's words, ties to the smaller id,
+    and the best share of a source that has an id, for only such a source can be cited."""
     s = summaries.select("id", F.posexplode(T.sentences(F.col("summary"))).alias("sentence_index", "_t")).select("id", "sentence_index", T.metric_tokens(F.col("_t")).alias("_w"))
     b = sources.select("id", "source_id", T.metric_tokens(F.col("text")).alias("_s"))
     score = F.coalesce(_share(F.col("_s"), F.col("_w")), F.lit(0.0))
-    best = s.join(b, "id").groupBy("id", "sentence_index").agg(F.min(F.struct((-score).alias("s"), "source_id")).alias("_b"))
-    return best.select("id", F.col("sentence_index").cast("bigint").alias("sentence_index"), F.col("_b.source_id").alias("source_id"), (-F.col("_b.s")).alias("score"))
+    best = s.join(b, "id").groupBy("id", "sentence_index").agg(F.min(F.struct((-score).alias("s"), F.col("source_id").isNull().alias("n"), "source_id")).alias("_b"), F.max(F.when(F.col("source_id").isNotNull(), score)).alias("citation_score"))
+    return best.select("id", F.col("sentence_index").cast("bigint").alias("sentence_index"), F.col("_b.source_id").alias("source_id"), (-F.col("_b.s")).alias("score"), "citation_score")
+
+
+def sentence_support(summaries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, sentence_index, source_id, score): the source that shares most of each sentence's words, ties to the smaller id."""
+    return sentence_citations(summaries, sources).drop("citation_score")
 
 
 def support_metrics(support: DataFrame) -> DataFrame:
+    """Per summary: share of supported sentences, sources cited, and of ``sentence_citations`` also the share of sentences that can be traced
+    to a source with an id, null where none can."""
     ok = F.col("score") >= SUPPORTED
-    return support.groupBy("id").agg(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("sentence_support"), F.countDistinct(F.when(ok, F.col("source_id"))).alias("n_cited"))
+    more = []
+    if "citation_score" in support.columns:
+        cited = F.count_if(F.col("citation_score") >= SUPPORTED)
+        more = [F.when(cited > 0, cited / F.count(F.lit(1))).alias("citation_coverage")]
+    return support.groupBy("id").agg(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("sentence_support"), F.countDistinct(F.when(ok, F.col("source_id"))).alias("n_cited"), *more)
 
 
 def redundancy(summaries: DataFrame) -> DataFrame:
@@ -112,13 +124,21 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "candidate", "reference").mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, f double")
 
 
+def gate_metrics(summaries: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per summary with every metric ``decide`` looks at; null where one cannot be had."""
+    m = overlap_metrics(summaries, sources).join(support_metrics(sentence_citations(summaries, sources)), "id", "left")
+    return m.join(redundancy(summaries), "id", "left").join(evidence_diversity(sources), "id", "left")
+
+
 def decide(metrics: DataFrame) -> DataFrame:
-    """Status, issues and the step to take: what fails decides where to start again, a warning asks for review."""
+    """Status and the step to take: what fails decides where to start again, a warning asks for review.
+
+    Repeated sentences and sources of one group only warn; a metric that is null decides nothing.
+    """
     low = lambda c, t: F.coalesce(F.col(c) < t, F.lit(False))
     ground = low("lexical_overlap", LEAST_OVERLAP) | low("qa_coverage", LEAST_OVERLAP) | low("query_relevance", LEAST_OVERLAP)
-    prompt = low("entity_consistency", LEAST_OVERLAP) | low("number_date_consistency", 1.0) | low("sentence_support", LEAST_OVERLAP)
-    other = low("redundancy", LEAST_OVERLAP)
-    warn = (F.col("n_words") < SHORT) | (F.col("n_words") > LONG)
-    status = F.when(ground | prompt | other, "FAIL").when(warn, "WARN").otherwise("PASS")
-    action = F.when(status == "PASS", "accept").when(status == "WARN", "review").when(ground, "retry_retrieval").when(prompt, "retry_prompt").otherwise("manual_review")
+    prompt = low("entity_consistency", LEAST_OVERLAP) | low("number_date_consistency", 1.0) | low("sentence_support", LEAST_OVERLAP) | (low("citation_coverage", LEAST_OVERLAP) if "citation_coverage" in metrics.columns else F.lit(False))
+    warn = (F.col("n_words") < SHORT) | (F.col("n_words") > LONG) | low("redundancy", LEAST_OVERLAP) | (low("diversity", 1.0) if "diversity" in metrics.columns else F.lit(False))
+    status = F.when(ground | prompt, "FAIL").when(warn, "WARN").otherwise("PASS")
+    action = F.when(status == "PASS", "accept").when(status == "WARN", "review").when(ground, "retry_retrieval").otherwise("retry_prompt")
     return metrics.select("*", status.alias("status"), action.alias("action"))

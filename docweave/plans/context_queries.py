@@ -143,8 +143,7 @@ def e12_rouge_l(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def e15_decisions(spark: SparkSession, root: str) -> DataFrame:
     p, s = _pairs(spark, root)
-    m = V.overlap_metrics(p, s).join(V.support_metrics(V.sentence_support(p, s)), "id").join(V.redundancy(p), "id")
-    return V.decide(m).select("id", "status", "action")
+    return V.decide(V.gate_metrics(p, s)).select("id", "status", "action")
 
 
 @query(f"""with c as (select distinct document_id, hierarchy.section_id as section, chunk_uid, text from chunks where text is not null and hierarchy.section_id is not null and not coalesce(context_only, false)),

@@ -106,8 +106,9 @@ def full_pipeline(spark: SparkSession, points: DataFrame, entries: DataFrame, ch
         asked = spark.createDataFrame([("query", "", query)], "id string, summary string, query string")
         summary = materialize(S.extractive_summaries(asked, sources, k=4), "run-summary")
         judged = summary.join(asked.select("id", "query"), "id")
-        metrics = E.overlap_metrics(judged, sources).join(E.support_metrics(E.sentence_support(judged, sources)), "id", "left").join(E.redundancy(judged), "id", "left")
-        decision = materialize(E.decide(metrics), "run-decision")
+        # a chunk without a section is of no group
+        grouped = sources.withColumn("group", F.nullif("group", F.lit("")))
+        decision = materialize(E.decide(E.gate_metrics(judged, grouped)), "run-decision")
         row = decision.select("status", "action").first()
         status, action = (row.status, row.action) if row else ("FAIL", "manual_review")
         log.append(f"turn {turn}: {status}, {action}")

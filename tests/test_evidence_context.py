@@ -113,6 +113,26 @@ def test_grounded_metrics(spark):
     assert half.number_date_consistency == 0.5 and half.status == "FAIL" and half.action == "retry_prompt"
 
 
+def test_gate_warns_of_narrow_sources_and_repetition(spark):
+    text = "NASA reported that the growth of the reef under the warm water of the bay went on for a year and then it came to an end in the cold of a long winter"
+    other = "ESA confirmed the outcome after a review of the images which the team took from above"
+
+    def gate(summary, groups):
+        src = spark.createDataFrame([("s", f"c{k}" if g != "?" else None, t, g) for k, (g, t) in enumerate(zip(groups, (text, other)))], "id string, source_id string, text string, group string")
+        s = spark.createDataFrame([("s", summary, "growth of the reef")], "id string, summary string, query string")
+        return E.decide(E.gate_metrics(s, src)).first()
+
+    whole = f"{text}. {other}."
+    good, narrow, twice = gate(whole, "xy"), gate(whole, "xx"), gate(f"{text}. {text}. {other}.", "xy")
+    assert (good.status, good.action, good.citation_coverage, good.diversity) == ("PASS", "accept", 1.0, 1.0)
+    assert (narrow.status, narrow.action, narrow.diversity) == ("WARN", "review", 0.5)
+    assert (twice.status, twice.action, twice.redundancy) == ("WARN", "review", 0.0)
+    # every sentence is supported, but one in four by a source that can be cited
+    lost = gate(f"{text}. {text}. {text}. {other}.", ["?", "y"])
+    assert (lost.sentence_support, lost.citation_coverage, lost.status, lost.action) == (1.0, 0.25, "FAIL", "retry_prompt")
+    assert gate(text + ".", ["?", "y"]).citation_coverage is None
+
+
 def test_dates_are_whole(spark):
     f = lambda t: set(spark.createDataFrame([(t,)], "t string").select(T.numbers_and_dates(F.col("t"))).first()[0])
     assert f("On August 15, 2026 and 03/04/2021, 1,250 of 3.5%") == {"aug 15 2026", "3-4-2021", "1250", "3.5%"}
