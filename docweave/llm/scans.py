@@ -194,13 +194,14 @@ def explain(seen: str, meant: str) -> tuple[int, int, float]:
     # a confusion may begin or end with a letter that is equal by chance
     i, j = max(0, i - 1), max(0, j - 1)
     seen, meant = seen[i : len(seen) - j], meant[i : len(meant) - j]
-    if max(len(seen), len(meant)) > 8:
-        return 0, 9, 9.0
     n, m = len(seen), len(meant)
-    best = {(0, 0): (0.0, 0, 0)}
+    # over a long difference, ways with more than one other edit are given up: no reading has them, and what is left is few
+    most = 9 if max(n, m) <= 8 else 1
+    best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+    best[0][0] = (0.0, 0, 0)
     for i in range(n + 1):
-        for j in range(m + 1):
-            at = best.get((i, j))
+        for j in range(m + 1) if best[i] else ():
+            at = best[i].get(j)
             if at is None:
                 continue
             c, p, q = at
@@ -220,9 +221,9 @@ def explain(seen: str, meant: str) -> tuple[int, int, float]:
                     steps.append((i, j + 1, 1.0, 0, 1))
             for x, y, d, e, f in steps:
                 z = (c + d, p + e, q + f)
-                if (x, y) not in best or z < best[x, y]:
-                    best[x, y] = z
-    c, p, q = best[n, m]
+                if z[2] <= most and (y not in best[x] or z < best[x][y]):
+                    best[x][y] = z
+    c, p, q = best[n].get(m, (9.0, 0, 9))
     return p, q, c
 
 

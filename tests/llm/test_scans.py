@@ -18,6 +18,8 @@ def test_lines():
 
 
 def test_confusions():
+    assert explain("rneasurecl", "measured")[:2] == explain("clioxicle", "dioxide")[:2] == explain("1nformati0n", "information")[:2] == (2, 0)
+    assert explain("xnformatixn", "information")[:2] == (0, 9) and explain("1nformatixn", "information")[:2] == (1, 1)
     assert explain("cornmunity", "community")[:2] == (1, 0) and explain("fo1lovvs", "follows")[:2] == (2, 0) and explain("abc", "abd")[1] == 1
 
 
