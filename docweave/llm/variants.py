@@ -24,6 +24,8 @@ from .names import GIVEN_NAMES, SHORT_FORMS, TITLES
 _FOLD = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d", "’": "", "'": ""})
 #: Stems of this length or more may be two edits apart.
 TWO_EDITS_FROM = 8
+#: A spelling found this many times as often as another may be what the other, itself found more than once, is a slip of.
+RARER = 5
 #: Words that tell the kind of an organisation; an abbreviation stands for the kind it begins.
 ORG_KINDS = {
     "institute": "institute inst instituto institut", "university": "university univ universitat universite universidad", "ministry": "ministry min ministerium ministere", "laboratory": "laboratory laboratories lab labs laboratorium",
@@ -169,11 +171,11 @@ def spelling_forms(text: str) -> list[tuple[str, str, str, str]]:
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = set()
-        for i, names in zip(b["_id"], b["_names"]):
+        for i, seen, names in zip(b["_id"], b["_seen"], b["_names"]):
             for n in names:
                 if n:
-                    rows.update((i, *f) for f in spelling_forms(n))
-        yield pd.DataFrame(sorted(rows), columns=["_id", "type", "stem", "rest", "strength"])
+                    rows.update((i, seen, *f) for f in spelling_forms(n))
+        yield pd.DataFrame(sorted(rows), columns=["_id", "_seen", "type", "stem", "rest", "strength"])
 
 
 def edits(a: str, b: str) -> int:
@@ -192,13 +194,15 @@ def edits(a: str, b: str) -> int:
 
 
 def _left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each stem whole and with one character left out; long ones beside a full name also with two."""
+    """Each stem whole and with one character left out; long ones beside a full name also with two, short ones beside an equal full given name only."""
     for b in batches:
         rows = []
         for t, s, r, n in zip(b["type"], b["stem"], b["rest"], b["_n"]):
+            one = {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+            if t == "person" and 3 <= len(s) <= 5 and len(r) > 1 and "|" not in r:
+                rows += [(t, "0" + r, v, s, r, n) for v in one]
             if len(s) < 5:
                 continue
-            one = {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
             rows += [(t, "1" + (r[:1] if t == "person" else r), v, s, r, n) for v in one]
             if len(s) >= TWO_EDITS_FROM and len(r) > 1:
                 rows += [(t, "2" + r, v, s, r, n) for v in one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v)) if len(v) < len(s)}]
@@ -217,16 +221,21 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(d=pd.array(d, dtype="int32"))[[x < 3 for x in d]]
 
 
-def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str = "original_mention", text_col: str = "canonical_text", aliases_col: str = "aliases") -> DataFrame:
+def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str = "original_mention", text_col: str = "canonical_text", aliases_col: str = "aliases", chunks_col: str = "chunk_uids") -> DataFrame:
     """(id, component): every row that names a person or organisation, with the smallest id that names the same.
 
     The spellings of a row are its mention and aliases, or its canonical text where there are none. Rows without a
     readable spelling, and places, get no component; rows repeated with one id count once, null ids are left out.
+    Where a spelling's rarity counts, rows with the same spellings in the same chunks but for the document are copies of one.
     """
-    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.array_distinct(F.concat(F.array(mention_col), F.coalesce(aliases_col, F.array().cast("array<string>")))).alias("_all"), F.col(text_col).alias("_text"))
+    # what follows the document in a chunk's id
+    places = F.transform(chunks_col, lambda x: F.regexp_extract(x, "[^:]*$", 0)) if chunks_col in df.columns else F.array().cast("array<string>")
+    src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.array_distinct(F.concat(F.array(mention_col), F.coalesce(aliases_col, F.array().cast("array<string>")))).alias("_all"), F.col(text_col).alias("_text"), places.alias("_places"))
     names = F.filter("_all", lambda x: F.length(F.trim(x)) > 0)
-    src = src.select("_id", F.when(F.size(names) > 0, names).otherwise(F.array("_text")).alias("_names"))
-    forms = materialize(src.mapInPandas(_forms, "_id string, type string, stem string, rest string, strength string").distinct(), "variant-forms")
+    src = src.select("_id", F.when(F.size(names) > 0, names).otherwise(F.array("_text")).alias("_names"), "_places")
+    seen = F.when(F.size("_places") > 0, F.concat_ws("\x1f", F.array_sort("_names"), F.array_sort("_places"))).otherwise(F.col("_id"))
+    src = src.select("_id", F.sha2(seen, 256).alias("_seen"), "_names")
+    forms = materialize(src.mapInPandas(_forms, "_id string, _seen string, type string, stem string, rest string, strength string").distinct(), "variant-forms")
     # a class is a rewriting; its members form a star around the smallest id, never all pairs
     full = forms.where("strength = 'full'")
     star = lambda f, by: f.join(f.groupBy(*by).agg(F.min("_id").alias("_hub")), by).select(F.col("_id").alias("src"), F.col("_hub").alias("dst"))
@@ -245,14 +254,15 @@ def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str
     edges = edges.unionByName(initials.join(clear, ["stem", "letter"]).join(hubs, ["stem", "rest"]).select(F.col("_id").alias("src"), F.col("_hub").alias("dst")))
     edges = edges.unionByName(star(initials.join(names_of.where("_low <> _high"), ["stem", "letter"], "left_anti").select("_id", "stem", "letter"), ["stem", "letter"]))
     # misspelt stems: classes, not rows, are compared
-    classes = materialize(forms.groupBy("type", "stem", "rest").agg(F.min("_id").alias("_hub"), F.countDistinct("_id").alias("_n")), "variant-classes")
+    classes = materialize(forms.groupBy("type", "stem", "rest").agg(F.min("_id").alias("_hub"), F.countDistinct("_seen").alias("_n")), "variant-classes")
     v = materialize(classes.select("type", "stem", "rest", "_n").mapInPandas(_left_out, "type string, key string, variant string, stem string, rest string, _n bigint"), "variant-left-out")
     a = v.select("type", "key", "variant", F.col("stem").alias("stem_a"), F.col("rest").alias("rest_a"), F.col("_n").alias("_na"))
     b = v.select("type", "key", "variant", F.col("stem").alias("stem_b"), F.col("rest").alias("rest_b"), F.col("_n").alias("_nb"))
     fits = (F.col("rest_a") == F.col("rest_b")) | ((F.col("type") == "person") & ((F.length("rest_a") == 1) | (F.length("rest_b") == 1)))
-    # two edits count only where one of the spellings stands in a single row, as a slip does and a name seldom
+    # two edits count only where one of the spellings stands in a single row but for copies, as a slip does and a name seldom, or is far the rarer
+    slip = lambda x, y: (F.col(x) == 1) | (F.col(x) * RARER <= F.col(y))
     two = F.col("key").startswith("2")
-    pairs = a.join(b, ["type", "key", "variant"]).where((F.col("stem_a") < F.col("stem_b")) & fits & (~two | (F.least("_na", "_nb") == 1)))
+    pairs = a.join(b, ["type", "key", "variant"]).where((F.col("stem_a") < F.col("stem_b")) & fits & (~two | slip("_na", "_nb") | slip("_nb", "_na")))
     pairs = pairs.groupBy("type", "stem_a", "rest_a", "stem_b", "rest_b").agg(F.max(two).alias("_two"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
     shape = "type string, stem_a string, rest_a string, stem_b string, rest_b string, _two boolean, _na bigint, _nb bigint, d int"
     pairs = materialize(pairs.mapInPandas(_alike, shape), "variant-pairs")
@@ -263,7 +273,7 @@ def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str
     ends = ("type", "stem_a", "rest_a", "stem_b", "rest_b")
     for x in "ab":
         far = far.join(placed.select("type", F.col("stem").alias(f"stem_{x}"), F.col("rest").alias(f"rest_{x}"), F.lit(True).alias(f"_p{x}")), ["type", f"stem_{x}", f"rest_{x}"], "left")
-    far = far.where("(_na = 1 and _pa is null) or (_nb = 1 and _pb is null)")
+    far = far.where((slip("_na", "_nb") & F.col("_pa").isNull()) | (slip("_nb", "_na") & F.col("_pb").isNull()))
     pairs = slips.select(*ends).unionByName(far.select(*ends))
     hub = classes.groupBy("type", "stem", "rest").agg(F.min("_hub").alias("_hub"))
     ha = hub.select("type", F.col("stem").alias("stem_a"), F.col("rest").alias("rest_a"), F.col("_hub").alias("src"))

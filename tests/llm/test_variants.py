@@ -36,3 +36,23 @@ def test_short_forms_of_several_names(spark):
     rows = [("a", "Edward Mokalis"), ("b", "Theodore Mokalis"), ("c", "Ted Mokalis"), ("d", "Ted Bunorel"), ("e", "Edward Bunorel"), ("f", "Ted Fanukor"), ("g", "Fanukor, Ted"), ("h", "Weii Sorbenal"), ("i", "W. Sorbenal"), ("j", "Wei Sorbenal"), ("k", "ED Sorbenal")]
     df = spark.createDataFrame([(i, m, None, None) for i, m in rows], "canonical_id string, original_mention string, canonical_text string, aliases array<string>")
     assert {tuple(r) for r in variant_pairs(link_variants(df)).collect()} == {("d", "e"), ("f", "g"), ("h", "i"), ("h", "j"), ("i", "j")}
+
+
+def test_copies_do_not_undo_links(spark):
+    # hetazilo and heazlio are two edits apart
+    once = [("n1", "William Hetaziloru", ["d:chunk:1"]), ("n2", "William Hetaziloru", ["e:chunk:7"]), ("s", "William Heazlioru", ["f:chunk:3"]), ("o", "William Heazlioqq", ["f:chunk:4"])]
+    shape = "canonical_id string, original_mention string, chunk_uids array<string>, canonical_text string, aliases array<string>"
+    groups = lambda rows: {tuple(r) for r in variant_pairs(link_variants(spark.createDataFrame([(*r, None, None) for r in rows], shape))).collect()}
+    assert {("n1", "n2"), ("n1", "s"), ("n2", "s")} <= groups(once)
+    copies = [(f"{i}-copy", m, [c.replace(":", "-copy:", 1) for c in u]) for i, m, u in once]
+    got = groups(once + copies)
+    assert all(p in got for p in (("n1", "s"), ("n2", "s"), ("n1", "s-copy"), ("n1-copy", "s"), ("s", "s-copy")))
+    # the same slip in two texts that are no copies is far the rarer of the two
+    often = [(f"n{k}", "William Hetaziloru", [f"d{k}:chunk:{k}"]) for k in range(10)] + [("s1", "William Heazlioru", ["x:chunk:50"]), ("s2", "William Heazlioru", ["y:chunk:60"])]
+    assert ("n0", "s1") in groups(often) and ("n0", "s1") not in groups(often[5:])
+
+
+def test_short_surnames_with_one_slip(spark):
+    rows = [("a", "William Meier"), ("b", "William Meir"), ("c", "Marta Meir"), ("d", "William Kolt"), ("e", "William Kotl"), ("f", "W. Kelt"), ("g", "William Li"), ("h", "William Lu")]
+    df = spark.createDataFrame([(i, m, None, None) for i, m in rows], "canonical_id string, original_mention string, canonical_text string, aliases array<string>")
+    assert {tuple(r) for r in variant_pairs(link_variants(df)).collect()} == {("a", "b"), ("d", "e")}
