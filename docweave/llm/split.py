@@ -34,8 +34,8 @@ def _token_ends(text: str) -> np.ndarray:
 def split_points(text: str, level: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, kind of end) of the pieces of ``text``; consecutive ones overlap by at most ``overlap`` characters.
 
-    A piece ends at the last boundary of the strongest kind in its second half, else at the last word
-    boundary, else after exactly ``limit`` characters (moved back so that no combining mark is cut off).
+    A piece ends at the last boundary of the strongest kind in its second half, else at the last one of any kind
+    beyond the overlap, else at the last word boundary, else after exactly ``limit`` characters (moved back so that no combining mark is cut off).
     The next piece begins at a sentence or, failing that, a word within the last ``overlap`` characters.
     """
     n = len(text)
@@ -50,13 +50,18 @@ def split_points(text: str, level: str | None, limit: int = LIMIT, overlap: int
             pieces.append((start, n, "end"))
             return pieces
         least = start + max(limit // 2, overlap + 1)
-        for kind in (*order, "word"):
-            b = ends[kind]
+        last = 0
+        for name in order:
+            b = ends[name]
             k = bisect_right(b, start + limit) - 1
             if k >= 0 and b[k] >= least:
-                end = b[k]
+                end, kind = b[k], name
                 break
+            if k >= 0 and b[k] > max(last, start + overlap):
+                last, kind = b[k], name
         else:
+            end = last
+        if not end:
             b = ends["word"]
             k = bisect_right(b, start + limit) - 1
             if k >= 0 and b[k] > start + overlap:

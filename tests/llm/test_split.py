@@ -28,6 +28,15 @@ def test_ends_at_the_strongest_boundary():
     assert all(e[2] in ("line", "end") for e in split_points(rows.strip(), "table", 100, 20))
 
 
+def test_natural_end_in_the_first_half_before_a_mere_word():
+    text = "One, two three four five. " + "word " * 60
+    points = check(text.strip())
+    assert points[0] == (0, 26, "sentence") and points[1][2] == "word"
+    # what lies within the overlap is no end, a boundary of the second half comes first
+    assert check(("Too short. " + "word " * 60).strip())[0][2] == "word"
+    assert check(("A first sentence of its own. " + "word " * 9 + "word, " + "word " * 40).strip())[0][2] == "clause"
+
+
 def test_table(spark):
     rows = [("a", "  " + "One sentence here. " * 100, "paragraph", 1), ("a", "  " + "One sentence here. " * 100, "PARAGRAPH", 1), ("b", "short", None, 2), ("c", None, "table", 3), ("d", " ", None, 4), (None, "y" * 1300, None, 5), ("e", "", None, 6), ("f", "z " * 30_000, "sentence", 7)]
     df = spark.createDataFrame(rows, "chunk_uid string, text string, level string, piece int")
