@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -262,21 +263,48 @@ class WordModel:
             for p in set(_pairs(w)):
                 index.setdefault(p, []).append(i)
         self.index = {p: np.array(v, dtype=np.int32) for p, v in index.items()}
+        self.letters = sorted({c for w in self.words for c in w})
+
+    def undone(self, token: str) -> list[int]:
+        """All words that confusions alone turn into the token, however many: read sign by sign, as long as some word begins so."""
+        out, todo, met = set(), [(0, "")], {(0, "")}
+        while todo:
+            i, head = todo.pop()
+            if i == len(token):
+                k = bisect_left(self.words, head)
+                if head != token and k < len(self.words) and self.words[k] == head:
+                    out.add(k)
+                continue
+            steps = [(1, token[i])] + [(len(b), a) for a, b in _BY_SIGN.get(token[i], ()) if token.startswith(b, i)]
+            if token[i] == "�":
+                steps += [(1, c) for c in self.letters]
+            for n, more in steps:
+                at = (i + n, head + more)
+                if at not in met:
+                    met.add(at)
+                    k = bisect_left(self.words, at[1])
+                    if k < len(self.words) and self.words[k].startswith(at[1]):
+                        todo.append(at)
+        return sorted(out)
 
     def candidates(self, token: str, k: int = 8) -> list[tuple[str, float]]:
+        """The words most like the token by letter pairs, best first, and behind them all others that confusions alone explain."""
         # a short token shares few letter pairs with the word it was, so more words are looked at
         k, t = (k if len(token) > 4 else 4 * k), token
         for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
             t = t.replace(a, b)
         lists = [self.index[p] for p in set(_pairs(t)) if p in self.index]
+        exact = self.undone(token)
         if not lists:
-            return []
+            return [(self.words[i], 0.0) for i in exact]
         shared = np.bincount(np.concatenate(lists), minlength=len(self.words))
         near = np.where(np.abs(self.lengths - len(t)) <= 2, shared / (self.lengths + 1 + len(t) + 1 - shared), 0)
         near += np.where(near > 0, 1e-3 * self.weights, 0)
         top = np.argpartition(-near, k)[:k] if k < len(near) else np.arange(len(near))
         top = top[np.argsort(-near[top], kind="stable")]
-        return [(self.words[i], float(near[i])) for i in top if near[i] > 0]
+        out = [(self.words[i], float(near[i])) for i in top if near[i] > 0]
+        got = {w for w, _ in out}
+        return out + [(self.words[i], float(near[i])) for i in exact if self.words[i] not in got]
 
     def features(self, token: str, count: int, word: str, overlap: float) -> list[float]:
         p, q, c = explain(token, word)

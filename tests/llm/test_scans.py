@@ -1,7 +1,7 @@
 import numpy as np
 
 from docweave.llm.boost import Boosted
-from docweave.llm.scans import Scans, explain, is_folio, lines_of, repair_text, split_words, title_of
+from docweave.llm.scans import Scans, WordModel, explain, is_folio, lines_of, repair_text, split_words, title_of
 
 BODY = "the residual harvest follows each measured current and the coastal network reduces annual inflation because the optical tunnel was compared with a ceramic detector over several hundred hours".split()
 
@@ -23,6 +23,15 @@ def test_confusions():
     assert explain("cornmunity", "community")[:2] == (1, 0) and explain("fo1lovvs", "follows")[:2] == (2, 0) and explain("abc", "abd")[1] == 1
 
 
+def test_candidates_by_confusions_know_no_cap():
+    like = ("rake", "snake", "wake", "lake", "take", "cake", "bake", "fake", "sake", "brake", "shake", "awake")
+    m = WordModel({**dict.fromkeys(like, 900), "make": 5, "minimum": 7}, 20_000)
+    got = [w for w, _ in m.candidates("rnake")]
+    assert "make" in got and len(got) == len(set(got)) and "make" in [w for w, _ in m.candidates("rn�ke")]
+    # any number of confusions, ends included
+    assert "minimum" in [m.words[i] for i in m.undone("rn1nirnurn")] and not m.undone("xyz")
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
