@@ -66,7 +66,7 @@ _GENDER = {g.casefold(): k for k, v in GIVEN_NAMES.items() for g in v}
 _GENDER |= {s.casefold(): _GENDER[g.casefold()] for g, v in SHORT_FORMS.items() for s in v.split()}
 _TITLES = {t.casefold() for t in TITLES}
 #: Short forms that are also everyday words stand for persons only before a surname.
-_WEAK = {s.casefold() for v in SHORT_FORMS.values() for s in v.split()}
+_WEAK = set("bas bill billy bob dan dick drew ed fran jo kit lex mick memo nick pat patty rich rick rob sandy sue ted teddy tori will".split())
 _INITIALS = rf"(?:[{_UP}]\.[ -]?)"
 _SURNAME = rf"[{_UP}](?:[a-zß-öø-ÿāăąćčđďęěēğīıłńňőœřśşšťūůűźżž]{{2,}}|[{_UP}]{{2,}})(?:[’'-](?:[{_UP}][^\W\d_]+))*"
 _AFTER = re.compile(rf" {_INITIALS}*({_SURNAME})")

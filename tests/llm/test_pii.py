@@ -29,6 +29,12 @@ def test_replacement_keeps_coreference_and_form():
     assert mask(t, b"k") == (masked, made, n) != mask(t, b"other")
 
 
+def test_short_forms_alone_unless_everyday_words():
+    found = lambda t: [t[a:b] for a, b, k in find_items(t) if k == "person"]
+    assert found("Then Katya called, and Andy answered.") == ["Katya", "Andy"]
+    assert found("Will Bill pay? Pat the dog. A Rich Kit.") == [] and found("Will Fokanir came.") == ["Will Fokanir"]
+
+
 def test_tables(spark):
     rows = [(1, "mail a.b@example.org"), (1, "mail a.b@example.org"), (2, None), (3, ""), (None, "call 020 7946 0378"), (4, "word " * 30_000 + "Ms Vukastikel")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, kind string")
