@@ -4,7 +4,8 @@ Every node has at most one parent, so each connected component holds one root or
 1. Nodes are brought together by document, in blocks of bounded size, and each partition contracts the links within it.
 2. What is left, the links between partitions, is a far smaller graph of the same kind; pointer doubling labels it.
 3. Components are co-located by label and walked depth first with node colouring. A component of more than
-   ``giant`` nodes is never put into one task: pointer doubling resolves it in place.
+   ``giant`` nodes is never put into one task: pointer doubling resolves it in place. The walk streams its rows,
+   so a task holds the nodes of one component and one path, never all paths.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-BLOCK, GIANT = 50_000, 100_000
+BLOCK, GIANT = 50_000, 20_000
+#: Path entries of one batch of output; the paths of a component are never held together.
+ENTRIES = 200_000
+_COLUMNS = ["node", "root", "depth", "path", "ring", "state"]
 _SHAPE = "node string, root string, depth int, path array<string>, ring string, state string"
 
 
@@ -27,17 +31,35 @@ def chunk_links(chunks: DataFrame) -> DataFrame:
     chunk_id in the same document. Rows repeated with one uid count once; rows without a uid are left out."""
     uid = F.col("hierarchy.parent_chunk_uid")
     by_id = F.concat(F.col("document_id"), F.lit(":chunk:"), F.col("hierarchy.parent_chunk_id").cast("string"))
-    block = F.concat_ws("/", "document_id", F.floor(F.col("chunk_id") / BLOCK).cast("string"))
+    # rows without a document or a number are spread by their uid
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("chunk_uid"), F.lit(65_521)).cast("string"))
+    block = F.when(F.col("document_id").isNull() | F.col("chunk_id").isNull(), spread).otherwise(F.concat_ws("/", "document_id", F.floor(F.col("chunk_id") / BLOCK).cast("string")))
     rows = chunks.where(F.col("chunk_uid").isNotNull()).select(F.col("chunk_uid").alias("node"), F.when(uid != "", uid).otherwise(by_id).alias("parent"), block.alias("block"))
     return rows.groupBy("node").agg(F.max("parent").alias("parent"), F.max("block").alias("block"))
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Labels the nodes of a partition with the node their links end at inside it; ``exit`` is a parent elsewhere."""
-    parts = list(batches)
-    if not parts:
-        return
-    b = pd.concat(parts, ignore_index=True)
+    """Labels the nodes of each block with the node their links end at inside it; ``exit`` is a parent elsewhere.
+
+    Rows come sorted by block. Small blocks are contracted together, up to BLOCK rows at a time.
+    """
+    parts: list[pd.DataFrame] = []
+    held = 0
+    for b in batches:
+        at = 0
+        blocks = b["block"].to_numpy(dtype=object)
+        for cut in [*(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(b)]:
+            if parts and held + cut - at > BLOCK and parts[-1]["block"].iloc[-1] != blocks[at]:
+                yield _contracted(pd.concat(parts, ignore_index=True))
+                parts, held = [], 0
+            parts.append(b.iloc[at:cut])
+            held += cut - at
+            at = cut
+    if held:
+        yield _contracted(pd.concat(parts, ignore_index=True))
+
+
+def _contracted(b: pd.DataFrame) -> pd.DataFrame:
     node, parent = b["node"], b["parent"]
     up = pd.Index(node).get_indexer(parent.where(parent.notna(), None))
     up[parent.isna().to_numpy()] = -1
@@ -52,7 +74,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     by_rank[lowest] = own
     end = np.where(ringed, by_rank[low[to]], to)
     leaves = (up < 0) & parent.notna().to_numpy()
-    yield pd.DataFrame({"node": node, "parent": parent, "label": node.to_numpy()[end], "exit": parent.where(pd.Series(leaves, index=b.index), None)})
+    return pd.DataFrame({"node": node, "parent": parent, "label": node.to_numpy()[end], "exit": parent.where(pd.Series(leaves, index=b.index), None)})
 
 
 def resolve_by_doubling(links: DataFrame, with_path: bool = True) -> DataFrame:
@@ -103,43 +125,60 @@ def _with_rings(state: DataFrame, named: DataFrame, on: DataFrame, with_path: bo
     return done.unionByName(ring).unionByName(tail)
 
 
-def walk(nodes: list, parents: list) -> list[tuple]:
+def walk(nodes: list, parents: list) -> Iterator[tuple]:
     """Depth-first traversal with colours over whole components; a grey node met again closes a ring.
 
-    Goes up from each white node to the first coloured one, then comes back down the way it went.
+    Goes up from each white node until a coloured one tells a ring from a tree, then down from every root and from every node of a
+    ring, with the way there as the only path that is held.
     """
     at = {n: i for i, n in enumerate(nodes)}
     up = [at.get(p, -1) if p is not None else -1 for p in parents]
+    below: list[list[int]] = [[] for _ in nodes]
+    for i, p in enumerate(up):
+        if p >= 0:
+            below[p].append(i)
     colour = bytearray(len(nodes))
-    out: list = [None] * len(nodes)
+    tops: list[tuple[int, object]] = [(i, None) for i in range(len(nodes)) if up[i] < 0]
+    ringed: set[int] = set()
     for first in range(len(nodes)):
-        if colour[first]:
-            continue
         way, i = [], first
         while i >= 0 and not colour[i]:
             colour[i] = 1
             way.append(i)
             i = up[i]
         if i >= 0 and colour[i] == 1:
-            k = way.index(i)
-            ring = min(nodes[j] for j in way[k:])
-            for j in way[k:]:
-                out[j] = (nodes[j], None, 0, [nodes[j]], ring, "ring")
-                colour[j] = 2
-            way = way[:k]
-        for j in reversed(way):
-            above = out[up[j]] if up[j] >= 0 else None
-            if above is None:
-                out[j] = (nodes[j], nodes[j], 0, [nodes[j]], None, "tree")
-            else:
-                out[j] = (nodes[j], above[1], above[2] + 1, [*above[3], nodes[j]], above[4], "tree" if above[4] is None else "leads to ring")
+            circle = way[way.index(i) :]
+            ring = min(nodes[j] for j in circle)
+            ringed.update(circle)
+            tops += [(j, ring) for j in circle]
+        for j in way:
             colour[j] = 2
-    return out
+    for top, ring in tops:
+        path: list = []
+        todo = [(top, 0)]
+        while todo:
+            i, depth = todo.pop()
+            del path[depth:]
+            path.append(nodes[i])
+            root = nodes[top] if ring is None else None
+            yield nodes[i], root, depth, list(path), ring, "tree" if ring is None else "leads to ring" if depth else "ring"
+            todo += [(j, depth + 1) for j in below[i] if j not in ringed]
+
+
+def _walked(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    rows, entries = [], 0
+    for r in walk(b["node"].tolist(), b["parent"].where(b["parent"].notna(), None).tolist()):
+        rows.append(r)
+        entries += len(r[3])
+        if entries >= ENTRIES:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+            rows, entries = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _walk_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by component; the last, perhaps unfinished, one of a batch waits for the next batch."""
-    columns = ["node", "root", "depth", "path", "ring", "state"]
     rest: pd.DataFrame | None = None
     for b in batches:
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
@@ -149,9 +188,9 @@ def _walk_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = int(b["label"].searchsorted(last)) if b["label"].is_monotonic_increasing else int(np.flatnonzero((b["label"] != last).to_numpy())[-1] + 1 if (b["label"] != last).any() else 0)
         ready, rest = b.iloc[:cut], b.iloc[cut:]
         if len(ready):
-            yield pd.DataFrame(walk(ready["node"].tolist(), ready["parent"].where(ready["parent"].notna(), None).tolist()), columns=columns)
+            yield from _walked(ready)
     if rest is not None and len(rest):
-        yield pd.DataFrame(walk(rest["node"].tolist(), rest["parent"].where(rest["parent"].notna(), None).tolist()), columns=columns)
+        yield from _walked(rest)
 
 
 def resolve_hierarchy(links: DataFrame, giant: int = GIANT) -> DataFrame:
@@ -162,7 +201,7 @@ def resolve_hierarchy(links: DataFrame, giant: int = GIANT) -> DataFrame:
     none, a node that is its own parent is a ring of one. ``block`` groups nodes that are likely linked, in groups of bounded
     size; it never changes the result. An empty table gives an empty result.
     """
-    local = links.repartition("block").mapInPandas(_contract, "node string, parent string, label string, exit string")
+    local = links.repartition("block").sortWithinPartitions("block").mapInPandas(_contract, "node string, parent string, label string, exit string")
     local = materialize(local, "hierarchy-local")
     exits = local.where("exit is not null").select("label", "exit")
     over = exits.join(local.select(F.col("node").alias("exit"), F.col("label").alias("to")), "exit").select("label", "to")

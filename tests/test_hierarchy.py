@@ -38,3 +38,25 @@ def test_chunks(spark):
     got = {r.node: (r.root, r.depth, r.state) for r in resolve_hierarchy(chunk_links(df)).collect()}
     assert got == {"d:chunk:0": ("d:chunk:0", 0, "tree"), "d:chunk:1": ("d:chunk:0", 1, "tree"), "d:chunk:2": (None, 0, "ring"), "d:chunk:3": ("d:chunk:3", 0, "tree"), "d:chunk:4": ("d:chunk:4", 0, "tree"), "x": ("x", 0, "tree")}
     assert resolve_hierarchy(chunk_links(df.limit(0))).count() == 0
+
+
+def test_paths_of_a_chain_are_not_held_together():
+    import tracemalloc
+
+    n = 6000
+    tracemalloc.start()
+    last = None
+    for last in walk([f"{i:05d}" for i in range(n)], [f"{i - 1:05d}" if i else None for i in range(n)]):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert last[2] == n - 1 and len(last[3]) == n and most < 20e6
+
+
+def test_rows_without_document_are_spread(spark):
+    h = "struct<parent_chunk_uid:string,parent_chunk_id:bigint>"
+    rows = [(None, None, f"u{i:03d}", (f"u{i - 1:03d}" if i % 10 else None, None)) for i in range(300)]
+    links = chunk_links(spark.createDataFrame(rows, f"document_id string, chunk_id bigint, chunk_uid string, hierarchy {h}"))
+    assert links.select("block").distinct().count() > 200
+    got = resolve_hierarchy(links)
+    assert got.agg({"depth": "max"}).first()[0] == 9 and got.select("root").distinct().count() == 30
