@@ -4,7 +4,8 @@ A text is its set of words. Every word toggles one bit of a sparse sketch of 2^3
 sketches never exceeds the size of the sets' symmetric difference. A Jaccard similarity of at least t allows a set of n
 words at most n - ceil(t n) words of its own, hence few set bits of its own: by the pigeonhole principle two similar sketches share
 one of their so many plus one rarest set bits. Those bits, within bands of set sizes, are the join keys; a bit held
-by more than HOT texts is no key by itself but only together with another of the (one longer) list. Partners are
+by more than HOT texts is no key by itself but only together with another of the (one longer) list. A pair of hot bits that more
+than TILE classes share is cut into tiles before the shuffle, and every two tiles meet in a task of their own. Partners are
 compared by dense sketches folded to the band's width, whose distance is a lower bound too; what passes is verified on the words.
 Equal word sets are one class throughout: links are found between class representatives.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 THRESHOLD, LEAST_WORDS = 0.75, 25
-BITS, BUCKETS, HOT = 31, 20, 4096
+BITS, BUCKETS, HOT, TILE = 31, 20, 4096, 4096
 _WORDS = re.compile(r"[^\W_]+")
 _MIX, _LOW, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 55) - 1), np.uint64(1 << 55)
 
@@ -201,6 +202,24 @@ def _partners(t: float):
     return run
 
 
+def spread_hot(post: DataFrame, tile: int = TILE) -> DataFrame:
+    """The postings with the keys of more than ``tile`` rows split: rows get a tile by their id and meet those of each other tile once.
+
+    Keys of a single bit hold at most HOT rows by construction, so only pairs of bits are counted.
+    """
+    paired = F.col("_key").bitwiseAND(1 << 55) != 0
+    large = post.where(paired).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > tile)
+    large = materialize(large.select("_key", F.ceil(F.col("_rows") / tile * 2).cast("int").alias("_tiles")), "neardup-hot")
+    if large.isEmpty():
+        return post
+    hot = post.where(paired).join(large, "_key", "left")
+    own = F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int")
+    split = hot.where("_tiles is not null").withColumn("_t", own).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).where("_t <> _u")
+    # the band stays in the highest bits
+    key = F.col("_key").bitwiseAND(~((1 << 56) - 1)).bitwiseOR(F.xxhash64("_key", F.least("_t", "_u"), F.greatest("_t", "_u")).bitwiseAND((1 << 55) - 1)).bitwiseOR(F.lit(1 << 55))
+    return post.where(~paired).unionByName(hot.where("_tiles is null").drop("_tiles")).unionByName(split.withColumn("_key", key).drop("_tiles", "_t", "_u"))
+
+
 def _verify(t: float):
     f = Fraction(t).limit_denominator(10_000)
 
@@ -226,7 +245,7 @@ class NearDuplicates:
     two named columns are read. All similar pairs are found; there is no cap on partners.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "chunk_uid", text_col: str = "text", threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, hot: int = HOT):
+    def __init__(self, df: DataFrame, id_col: str = "chunk_uid", text_col: str = "text", threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, hot: int = HOT, tile: int = TILE):
         if not 0 < threshold <= 1:
             raise ValueError("the threshold must be above 0 and at most 1")
         spark, self.id_col = df.sparkSession, id_col
@@ -246,6 +265,8 @@ class NearDuplicates:
         lost = classes.agg(F.max(F.col("_n") - F.size("_bits"))).first()[0] or 0
         shared = spark.sparkContext.broadcast(often)
         post = classes.select("_id", "_n", "_bits").mapInPandas(_postings(shared, threshold, lost // 2, hot), "_key bigint, _id bigint, _n int, _guest boolean, _sk binary")
+        if int(often.max()) > hot:
+            post = spread_hot(materialize(post, "neardup-postings"), tile)
         pairs = post.repartition("_key").sortWithinPartitions("_key").mapInPandas(_partners(threshold), "_a bigint, _b bigint").distinct()
         pairs = materialize(pairs, "neardup-pairs")
         ids = pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct()

@@ -43,6 +43,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_uid_a"), F.col("b").alias("chunk_uid_b"))
 
 
+def p3_classes(spark: SparkSession, root: str) -> DataFrame:
+    """One row per chunk: its class of equal word sets and the number of other classes similar to that."""
+    return NearDuplicates(read_table(spark, root, "chunks")).summary()
+
+
 def usable_points(points: DataFrame) -> DataFrame:
     """Vector rows that a search may return: no control rows, nothing tombstoned."""
     return points.where("vector_point and graph_control_point is null and graph_tombstoned is not true").select("chunk_uid", "embedding")
@@ -79,7 +84,7 @@ def p9_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_classes, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
 
 
 #: Words as maximal runs of letters and digits, in lower case.
@@ -95,6 +100,14 @@ def oracle_sql() -> dict[str, str]:
             r as (select e.*, row_number() over (partition by chunk_uid order by df, x) as k from e join f using (x)), p as (select * from r where k <= n - ceil(0.75 * n) + 1),
             c as (select distinct a.chunk_uid as a, b.chunk_uid as b from p a join p b on a.x = b.x and a.chunk_uid < b.chunk_uid and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n))
             select c.a as chunk_uid_a, c.b as chunk_uid_b from c join s x on x.chunk_uid = c.a join s y on y.chunk_uid = c.b where len(list_intersect(x.w, y.w)) >= 0.75 * (x.n + y.n - len(list_intersect(x.w, y.w)))""",
+        "p3_classes": f"""with t as (select distinct chunk_uid, list_sort(list_distinct({_WORDS.format("text")})) as w from chunks where text is not null), m as (select chunk_uid, w, min(chunk_uid) over (partition by w) as rep from t where len(w) >= 25),
+            s as (select w, rep, len(w) as n, row_number() over (order by rep, w) as id from (select distinct w, rep from m)),
+            e as (select id, n, unnest(w) as x from s), f as (select x, count(*) as df from e group by 1),
+            r as (select e.*, row_number() over (partition by id order by df, x) as k from e join f using (x)), p as (select * from r where k <= n - ceil(0.75 * n) + 1),
+            c as (select distinct a.id as a, b.id as b from p a join p b on a.x = b.x and a.id < b.id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)),
+            l as (select x.rep as ra, y.rep as rb from c join s x on x.id = c.a join s y on y.id = c.b where len(list_intersect(x.w, y.w)) >= 0.75 * (x.n + y.n - len(list_intersect(x.w, y.w)))),
+            g as (select rep, count(*) as n from (select ra as rep from l union all select rb from l) group by 1)
+            select distinct m.chunk_uid, m.rep, coalesce(g.n, 0)::bigint as n_links from m left join g using (rep)""",
         "p5_found": """with u as (select chunk_uid, arg_min(embedding, embedding::varchar) as v from points where vector_point and graph_control_point is null and graph_tombstoned is not true and len(embedding) = 64
               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
             p as (select a.chunk_uid as a, b.chunk_uid as b, round(list_cosine_similarity(a.v, b.v), 9) as c from u a join u b on a.chunk_uid <> b.chunk_uid),

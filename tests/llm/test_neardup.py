@@ -34,8 +34,8 @@ def test_all_pairs_are_found(spark):
     want = brute(rows, 0.75, 25)
     assert len(want) > 60
     df = spark.createDataFrame([(u, x, 1) for u, x in rows], "chunk_uid string, text string, rep int")
-    for hot in (4096, 3):
-        n = NearDuplicates(df, hot=hot)
+    for hot, tile in ((4096, 4096), (3, 4096), (3, 4)):
+        n = NearDuplicates(df, hot=hot, tile=tile)
         assert {tuple(r) for r in n.pairs().collect()} == want
     members = n.summary().collect()
     assert {r.chunk_uid for r in members} >= {a for p in want for a in p}
@@ -48,3 +48,16 @@ def test_empty(spark):
 
 def test_bound_on_own_words():
     assert most_own(40, 0.75) == 10 and most_own(41, 0.75) == 10 and most_own(10, 1.0) == 0
+
+
+def test_hot_pairs_of_bits_are_cut_into_tiles(spark):
+    from pyspark.sql import functions as F
+
+    from docweave.llm.neardup import spread_hot
+
+    band = (2 << 56) | (1 << 55)
+    rows = [(band | 5, i) for i in range(100)] + [(band | 6, i) for i in range(3)] + [((2 << 56) | 5, i) for i in range(50)]
+    out = spread_hot(spark.createDataFrame(rows, "_key bigint, _id bigint"), tile=10).groupBy("_key").agg(F.collect_set("_id").alias("ids")).collect()
+    assert max(len(r.ids) for r in out if r["_key"] & (1 << 55)) < 30 and all(r["_key"] >> 56 == 2 for r in out)
+    met = {p for r in out if r["_key"] & (1 << 55) for p in combinations(sorted(r.ids), 2)}
+    assert met == set(combinations(range(100), 2))
