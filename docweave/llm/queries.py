@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,12 +76,17 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items")).select("doc_id", "item_id")
 
 
+def _key(spark: SparkSession) -> str:
+    """The secret of the surrogates: the session's, or one drawn for this call, after which nobody can repeat them."""
+    return spark.conf.get("spark.docweave.surrogate.key", None) or secrets.token_hex(32)
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return find_personal(read_table(spark, root, "documents")).select("doc_id", "kind", "start_char")
+    return find_personal(read_table(spark, root, "documents"), _key(spark)).select("doc_id", "kind", "start_char")
 
 
 def p9_texts(spark: SparkSession, root: str) -> DataFrame:
-    return replace_personal(read_table(spark, root, "documents"), key="docweave")
+    return replace_personal(read_table(spark, root, "documents"), _key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
