@@ -56,3 +56,20 @@ def test_short_surnames_with_one_slip(spark):
     rows = [("a", "William Meier"), ("b", "William Meir"), ("c", "Marta Meir"), ("d", "William Kolt"), ("e", "William Kotl"), ("f", "W. Kelt"), ("g", "William Li"), ("h", "William Lu")]
     df = spark.createDataFrame([(i, m, None, None) for i, m in rows], "canonical_id string, original_mention string, canonical_text string, aliases array<string>")
     assert {tuple(r) for r in variant_pairs(link_variants(df)).collect()} == {("a", "b"), ("d", "e")}
+
+
+def test_names_outside_the_tables(spark):
+    assert spelling_forms("Toyota Motor Corp")[0][:2] == ("org", "toyota") == spelling_forms("Toyota Motors")[0][:2]
+    assert spelling_forms("Acme Widgets", "ORG") == [("org", "acme widgets", " ", "full")] and spelling_forms("Apple", "ORG") == [("org", "apple", "", "bare")] and spelling_forms("Apple") == []
+    assert spelling_forms("Anna Schmidt", "ORG")[0][0] == "person" and spelling_forms("San Miguel Lopez") != []
+    four = spelling_forms("José María García López")
+    assert four and four[0][:2] == ("person", "mariagarcialopez")
+    rows = [
+        ("a", "John Smith", "PERSON"), ("b", "Smith, John", "PERSON"), ("c", "J. Smith", "PERSON"), ("d", "Mary Jones", "PERSON"), ("e", "Michael Jones", "PERSON"), ("f", "M. Jones", "PERSON"),
+        ("g", "Apple Inc", "ORG"), ("h", "Apple", "ORG"), ("i", "Acme Widgets", "ORG"), ("j", "Widgets Acme", "ORG"), ("k", "Delta Airlines", "ORG"), ("l", "Delta Software", "ORG"), ("m", "Delta", "ORG"),
+    ]
+    df = spark.createDataFrame([(i, m, None, None, t) for i, m, t in rows], "canonical_id string, original_mention string, canonical_text string, aliases array<string>, label string")
+    links = link_variants(df)
+    assert {tuple(r) for r in variant_pairs(links).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("g", "h"), ("i", "j")}
+    got = {r.canonical_id: (r.score, r.rarity) for r in links.collect()}
+    assert got["a"][0] == 1.0 and all(s >= 0.6 and r >= 0 for s, r in got.values())
