@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .knn import similar_pairs
+from .knn import knn, similar_pairs
 from .leak import find_leaks
 from .neardup import NearDuplicates
 from .pii import find_personal, replace_personal
@@ -59,6 +59,13 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_uid_a"), F.col("b").alias("chunk_uid_b"))
 
 
+def p5_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The 10 most similar chunks, whatever their cosine, of every chunk whose number is divisible by 50, searched among all rows."""
+    points = read_table(spark, root, "points")
+    asked = points.where("vector_point and graph_control_point is null and graph_tombstoned is not true and chunk_id % 50 = 0").select("chunk_uid")
+    return knn(usable_points(points), queries=asked)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = variant_pairs(link_variants(read_table(spark, root, "entities")))
     return pairs.select(F.col("a").alias("canonical_id_a"), F.col("b").alias("canonical_id_b"))
@@ -90,7 +97,7 @@ def p9_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_classes, p5_found, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_classes, p5_found, p5_neighbours, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
 
 
 #: Words as maximal runs of letters and digits, in lower case.

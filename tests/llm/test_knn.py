@@ -45,3 +45,14 @@ def test_many_copies_and_few_rows(spark):
         near.setdefault(r.chunk_uid, []).append(r.neighbour)
     assert sorted(near["c000"]) == [f"c{i:03d}" for i in range(1, 11)] and sorted(near["c040"]) == [f"c{i:03d}" for i in range(10)]
     assert knn(df.limit(0)).count() == 0 and knn(df.limit(1)).count() == 0
+
+
+def test_long_lists_are_divided_and_queries_chosen(spark):
+    v = data(6000, 9)
+    df = spark.createDataFrame([(u, x.tolist()) for u, x in v.items()], "chunk_uid string, embedding array<double>")
+    asked = df.where("int(substring(chunk_uid, 2)) % 50 = 0").select("chunk_uid")
+    want = {p: c for p, c in brute(v, 10).items() if int(p[0][1:]) % 50 == 0}
+    # 40 lists of which 6 are visited; 100 lists of which those of more than 100 rows are divided
+    for kw in ({"list_rows": 150}, {"list_rows": 60, "split": 100, "probes": 40}):
+        near = {(r.chunk_uid, r.neighbour) for r in knn(df, queries=asked, **kw).collect()}
+        assert len(near) == len(want) == 1200 and len(near & set(want)) >= 0.9 * len(want), kw
