@@ -467,7 +467,10 @@ class Scans:
         self.words = WordModel(dict(zip(common["word"], common["n"].astype(int))), total)
         words = share(spark, self.words)
         multi = self.src.where((F.length("_text") < LONGEST) & F.col("_text").rlike("[\r\n]") & ~F.col("_text").rlike(r"(?m)^\s*\|.*\|\s*$"))
-        sample = multi.select("_doc", "_page", "_text", "_uid").orderBy(F.xxhash64("_doc"), "_doc", "_uid", "_text").limit(SAMPLE).toPandas()
+        # documents whose hash lets a little more than SAMPLE chunks pass; no task sends the driver more than its share of them
+        n = multi.count()
+        drawn = multi.where(F.pmod(F.xxhash64("_doc"), F.lit(1_000_003)) / 1_000_003 * max(1, n) < 1.5 * SAMPLE) if n > 2 * SAMPLE else multi
+        sample = drawn.select("_doc", "_page", "_text", "_uid").orderBy(F.xxhash64("_doc"), "_doc", "_uid", "_text").limit(SAMPLE).toPandas()
         self.line_model = LineModel(sample.astype({"_page": object}))
         marks = self.src.mapInPandas(_marks(words, self.line_model), "_uid string, _doc string, mark string, key string, around string, score double")
         self.marks = materialize(marks.distinct(), "scan-marks")
@@ -495,10 +498,15 @@ class Scans:
 
 def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int | None, table: bool, known) -> str:
     """The text without furniture, split words joined, misreadings replaced, lines of a paragraph on one line."""
+    # all at once, so that the work is linear and no replacement is replaced again
+    seen = re.compile(rf"(?<![^\W_])(?:{'|'.join(re.escape(w) for w in sorted(readings, key=len, reverse=True))})(?![^\W_])") if readings else None
+
+    def meant(m: re.Match) -> str:
+        w = readings[m[0]]
+        return w[0].upper() + w[1:] if m[0][0].isupper() else w
+
     def read(t: str) -> str:
-        for seen, meant in readings.items():
-            t = re.sub(rf"(?<![^\W_]){re.escape(seen)}(?![^\W_])", meant[0].upper() + meant[1:] if seen[0].isupper() else meant, t)
-        return t
+        return seen.sub(meant, t) if seen else t
 
     if table or not _LINES.search(text):
         return read(text)
