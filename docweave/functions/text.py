@@ -151,3 +151,5 @@ def uuid5(namespace: str, name: Column) -> Column:
 
 #: The namespace of URLs, a fixed value of RFC 9562.
 URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+#: What stands before a chunk's uid in the name its point id is made of.
+POINT_PREFIX = "docweave:"

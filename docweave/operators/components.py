@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(new, "components")
-        e, before, last = new, last, sign(new)
+        before, last = last, sign(new)
+        release(e)
+        e = new
         if last == before:
             break
     else:

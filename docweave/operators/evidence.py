@@ -11,6 +11,7 @@ from ..session import materialize
 
 #: Weights of kinds of evidence, sources that count as weak, the widest gap that still is near.
 WEIGHTS = {"verified": 1.0, "explicit": 1.0, "same_sentence": 0.6, "nearby_window": 0.4, "same_chunk": 0.2}
+LABEL_ALIASES = {"organization": "org", "company": "org", "institution": "org", "location": "loc", "geopolitical_entity": "gpe", "facility": "fac"}
 WEAK_SOURCES, ACTIVE_KINDS, NEAR = ("rule-based", "fallback"), ("explicit", "verified"), 120
 NEIGHBOURHOOD_CAP = 16
 #: Candidates of an entity, of a chunk and of a document.
@@ -76,6 +77,18 @@ def evidence_tiers(mentions: DataFrame) -> DataFrame:
     return best.select("document_id", "chunk_uid", "head", "tail", kind.alias("evidence_type")).withColumn("weight", weight(F.col("evidence_type")))
 
 
+def label_key(label: Column) -> Column:
+    """A label in lower case under its short name; nothing for none."""
+    low = F.coalesce(F.lower(F.trim(label)), F.lit(""))
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LABEL_ALIASES.items() for x in kv])[low], low)
+
+
+def labels_fit(left: Column, right: Column) -> Column:
+    """Whether two entities may be of one kind: by their label keys, of which an empty one fits any."""
+    a, b = label_key(left), label_key(right)
+    return (a == "") | (b == "") | (a == b)
+
+
 def weight(kind: Column) -> Column:
     w = F.lit(0.0)
     for k, v in WEIGHTS.items():
@@ -184,7 +197,7 @@ def _recovery_pairs(near: DataFrame, mentions: DataFrame, support: DataFrame) ->
     n = near.join(w.select("document_id", F.col("chunk_uid").alias("a"), F.col("_w").alias("_wa")), ["document_id", "a"], "left").join(w.select("document_id", F.col("chunk_uid").alias("b"), F.col("_w").alias("_wb")), ["document_id", "b"], "left").where("_wa or _wb")
     left = ent.select("document_id", F.col("chunk_uid").alias("a"), F.col("canonical").alias("l"), F.col("label").alias("_ll"))
     right = ent.select("document_id", F.col("chunk_uid").alias("b"), F.col("canonical").alias("r"), F.col("label").alias("_lr"))
-    p = n.join(left, ["document_id", "a"]).join(right, ["document_id", "b"]).where("l <> r and _ll = _lr")
+    p = n.join(left, ["document_id", "a"]).join(right, ["document_id", "b"]).where((F.col("l") != F.col("r")) & labels_fit(F.col("_ll"), F.col("_lr")))
     return p.withColumn("_k", F.row_number().over(Window.partitionBy("document_id", "a", "b").orderBy("l", "r")))
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from . import vectors as V
 
 #: Resolutions and seeds of the community search, and the baseline's seed.
@@ -92,11 +92,15 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     nodes = share.select("document_id", F.col("src").alias("node")).distinct()
     nodes = materialize(nodes.join(nodes.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n")), "document_id"), "pagerank-nodes")
     rank = nodes.select("document_id", "node", (F.lit(1.0) / F.col("_n")).alias("pagerank"))
+    kept = None
     for k in range(rounds):
         came = share.join(rank.withColumnRenamed("node", "src"), ["document_id", "src"]).groupBy("document_id", F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("_in"))
         rank = nodes.join(came, ["document_id", "node"], "left").select("document_id", "node", ((1 - damping) / F.col("_n") + damping * F.coalesce("_in", F.lit(0.0))).alias("pagerank"))
         if k % 5 == 4 and k + 1 < rounds:
-            rank = materialize(rank, "pagerank")
+            before, rank = kept, materialize(rank, "pagerank")
+            kept = rank
+            if before is not None:
+                release(before)
     return rank
 
 

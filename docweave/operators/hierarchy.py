@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 
 BLOCK, GIANT = 50_000, 20_000
 #: Path entries of one batch of output; the paths of a component are never held together.
@@ -93,8 +93,10 @@ def resolve_by_doubling(links: DataFrame, with_path: bool = True) -> DataFrame:
         far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("last").alias("last2"), F.col("n").alias("n2"), F.col("low").alias("low2"))
         step = state.join(far, "up", "left")
         moved = F.col("up").isNotNull()
+        last_state = state
         state = materialize(step.select("node", F.col("up2").alias("up"), F.when(moved, F.concat("path2", "path")).otherwise(F.col("path")).alias("path"), F.when(moved, F.col("last2")).otherwise(F.col("last")).alias("last"), F.when(moved, F.col("n") + F.col("n2") + 1).otherwise(F.col("n")).alias("n"), F.when(moved, F.least("low", "low2")).otherwise(F.col("low")).alias("low"), "parent"), "doubling")
         now = state.where("up is not null").count()
+        release(last_state)
         if now == left:
             open_ = state.where("up is not null")
             on = open_.select(F.col("up").alias("node")).distinct()

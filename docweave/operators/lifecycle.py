@@ -50,3 +50,13 @@ def backfilled(points: DataFrame, entries: DataFrame) -> DataFrame:
     rows = points.where("vector_point").join(now, "document_id").where("not (document_generation <=> _g)")
     made = rows.withColumn("source_point_id", F.col("point_id")).withColumn("document_generation", F.col("_g")).withColumn("document_attempt_id", F.col("_a"))
     return made.drop("_g", "_a").withColumn("backfill_retired", F.lit(False))
+
+
+def active_generations(entries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(document_id, status, active_generation): the generation whose rows a query may see. A pending document shows the one its active version was
+    made with, a tombstoned one none, one that is partial, unavailable or stale its own only if its vectors are ready."""
+    made = ledger.where("version is not null").groupBy("document_id", F.col("version").alias("active_version")).agg(F.max("document_generation").alias("_g"))
+    e = entries.join(made, ["document_id", "active_version"], "left")
+    unready = F.col("status").isin("partial", "unavailable", "stale") & ~F.coalesce("vector_ready", F.lit(False))
+    active = F.when((F.col("status") == "tombstoned") | unready, None).when(F.col("status") == "pending", F.col("_g")).otherwise(F.col("document_generation"))
+    return e.select("document_id", "status", active.alias("active_generation"))

@@ -5,6 +5,8 @@ A model is a function from a prompt to a text; ``extractive_summaries`` is the d
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from .evaluate import joined_sources
 
 #: Limits of a prompt in tokens and characters, chunks of a prompt, size of a group.
 TOKENS, RESERVED, CHUNK_CHARS, CHUNKS, GROUP = 4096, 400, 1200, 8, 4
+#: What a merging prompt asks for, by style.
+REDUCE_STYLES = {"concise": "Merge the summaries into a few sentences.", "bullet": "Merge the summaries into a list of points.", "detailed": "Merge the summaries into full paragraphs."}
 
 
 def section_prompts(chunks: DataFrame) -> DataFrame:
@@ -39,29 +43,58 @@ def extractive_summaries(summaries: DataFrame, sources: DataFrame, k: int = 2) -
 
 
 def group_similar(ids: list[str], words: list[set], size: int = GROUP) -> list[list[int]]:
-    """Groups of ``size``: the first left anchors a group and takes the most similar ones left, ties to the smaller id."""
-    left, out = sorted(range(len(ids)), key=lambda i: ids[i]), []
-    while left:
-        a = left.pop(0)
-        near = sorted(left, key=lambda b: (-(len(words[a] & words[b]) / len(words[a] | words[b]) if words[a] | words[b] else 0.0), ids[b]))[: size - 1]
-        out.append([a, *near])
-        left = [b for b in left if b not in near]
+    """Groups of ``size`` around the smallest id left, of those nearest to it, ties to the smaller id.
+
+    Only texts that share a word with the anchor are scored, found by the word; where they do not fill the group, the smallest ids left do.
+    """
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    holders: dict[str, set[int]] = {}
+    for i in order:
+        for w in words[i]:
+            holders.setdefault(w, set()).add(i)
+    free, out = dict.fromkeys(order), []
+    while free:
+        anchor = next(iter(free))
+        shared = Counter(i for w in words[anchor] for i in holders[w] if i != anchor)
+        close = sorted(shared, key=lambda i: (-shared[i] / (len(words[anchor]) + len(words[i]) - shared[i]), ids[i]))[: size - 1]
+        fill = (i for i in free if i != anchor and i not in shared)
+        group = [anchor, *close, *(x for _, x in zip(range(size - 1 - len(close)), fill))]
+        for i in group:
+            del free[i]
+            for w in words[i]:
+                holders[w].discard(i)
+        out.append(group)
     return out
 
 
+def _first_sentence(text: str) -> str:
+    return text.split(". ")[0].rstrip(".") + "."
+
+
 def _reduce(key, b):
-    ids, texts, level = b["id"].tolist(), b["summary"].tolist(), 0
-    rows = []
-    while len(ids) > 1:
-        level += 1
-        groups = group_similar(ids, [set(t.lower().split()) for t in texts])
-        first = [" ".join(texts[i].split(". ")[0].rstrip(".") + "." for i in sorted(g, key=lambda i: ids[i])) for g in groups]
-        ids, texts = [ids[g[0]] for g in groups], first
-        rows.append((key[0], level, len(groups), None))
-    rows.append((key[0], level + 1, 1, texts[0] if texts else None))
-    return pd.DataFrame(rows, columns=["document_id", "level", "n_groups", "final"])
+    now, level, rows = dict(zip(b["id"], b["summary"])), 0, []
+    if len(now) > GROUP:
+        while len(now) > 1:
+            level += 1
+            ids = sorted(now)
+            groups = group_similar(ids, [set(now[i].lower().split()) for i in ids])
+            now = {ids[g[0]]: " ".join(_first_sentence(now[ids[k]]) for k in sorted(g)) for g in groups}
+            rows.append((key[0], level, len(groups), None))
+        final = next(iter(now.values()))
+    else:
+        # few summaries are merged at once, without rounds
+        final = " ".join(_first_sentence(now[i]) for i in sorted(now)) if len(now) > 1 else next(iter(now.values()), None)
+    return pd.DataFrame([*rows, (key[0], level + 1, 1, final)], columns=["document_id", "level", "n_groups", "final"])
 
 
 def reduce_summaries(summaries: DataFrame) -> DataFrame:
-    """(document_id, level, n_groups, final): the rounds by which a document's summaries become one."""
+    """(document_id, level, n_groups, final): the rounds by which a document's summaries become one; up to GROUP of them are merged at once."""
     return summaries.groupBy("document_id").applyInPandas(_reduce, "document_id string, level int, n_groups int, final string")
+
+
+def reduce_prompts(summaries: DataFrame, styles: dict[str, str] | None = None) -> DataFrame:
+    """(scope, style, n, prompt): the summaries (scope, community, summary) of a scope as blocks headed by their community, for each style of merging."""
+    block = F.concat(F.lit("[Community "), "community", F.lit("]\n"), F.trim("summary"))
+    g = summaries.where("trim(summary) <> ''").groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("community", block.alias("b")))).alias("_b"))
+    style = F.explode(F.array(*[F.struct(F.lit(k).alias("style"), F.lit(v).alias("task")) for k, v in (styles or REDUCE_STYLES).items()])).alias("_s")
+    return g.select("scope", "n", "_b", style).select("scope", F.col("_s.style").alias("style"), "n", F.concat("_s.task", F.lit("\n\n"), F.array_join(F.transform("_b", lambda x: x["b"]), "\n\n")).alias("prompt"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context as C
 from ..operators import evaluate as V
+from ..operators import evidence as E
 from ..operators import graph as G
+from ..operators import lifecycle as L
 from ..operators import summarize as S
 from ..sources.tables import read_table
-from .evidence_queries import j3_mention_edges
+from .evidence_queries import _CANON, _EVIDENCE, _SURFACE_ID, j3_mention_edges
 from .text_queries import _SENTENCES, WS
 from .vector_queries import _FIXED, _fixed
 
@@ -30,24 +32,42 @@ def query(sql: str | None = None):
 
 
 def _members(spark: SparkSession, root: str) -> DataFrame:
-    return C.members_of(read_table(spark, root, "chunks"), G.degrees(_fixed(spark, root)))
+    return C.members_of(read_table(spark, root, "chunks"), G.degrees(_fixed(spark, root)), j13_relation_support(spark, root))
 
 
-@query("""with c as (select chunk_uid, max(coalesce(nullif(hierarchy.parent_chunk_uid, ''), document_id || ':chunk:' || hierarchy.parent_chunk_id)) as p from chunks group by 1),
-  one as (select c.chunk_uid, c.p as parent_uid from c where c.p in (select chunk_uid from c) and c.p <> c.chunk_uid)
+_RELATIONS = _CANON + ", " + _EVIDENCE + f""", verified as (select document_id, least({_SURFACE_ID.format('head')}, {_SURFACE_ID.format('tail')}) as a, greatest({_SURFACE_ID.format('head')}, {_SURFACE_ID.format('tail')}) as b from evidence where evidence_type = 'verified' or verification_state = 'verified'),
+vends as (select document_id, unnest([a, b]) as entity, count(*) as n from verified where a <> b group by document_id, a, b), ventity as (select document_id, entity, sum(n)::double as n from vends group by 1, 2),
+medges as (select distinct c.document_id, c.chunk_uid, c.canonical as entity from canon c join chunks k on c.chunk_uid = k.chunk_uid where not coalesce(k.context_only, false)),
+relsup as (select document_id, chunk_uid, sum(n)::double as support from medges join ventity using (document_id, entity) group by 1, 2)"""
+
+
+@query(f"with {_RELATIONS} select * from relsup")
+def j13_relation_support(spark: SparkSession, root: str) -> DataFrame:
+    return C.relation_support(j3_mention_edges(spark, root), E.normal_evidence(read_table(spark, root, "relation_evidence")))
+
+
+_PARENTS = """c as (select chunk_uid, max(document_id) as doc, max(chunk_id) as number, max(level) as level, max(hierarchy.section_id) as section_id, max(hierarchy.paragraph_id) as paragraph_id, max(hierarchy.parent_chunk_uid) as by_uid, max(hierarchy.parent_id) as by_place, max(hierarchy.parent_chunk_id) as by_number from chunks where chunk_uid is not null group by 1),
+  place as (select doc, 'section' as kind, section_id as id, max_by(chunk_uid, {'n': number, 'u': chunk_uid}) as u from c where level = 'section' and section_id is not null group by 1, 3 union all select doc, 'paragraph', paragraph_id, max_by(chunk_uid, {'n': number, 'u': chunk_uid}) from c where level = 'paragraph' and paragraph_id is not null group by 1, 3),
+  num as (select doc, number, min(chunk_uid) as u from c where number is not null group by 1, 2),
+  found as (select c.chunk_uid, coalesce(u.chunk_uid, p.u, n.u, z.u) as p from c left join c u on u.chunk_uid = c.by_uid left join place p on p.doc = c.doc and p.id = c.by_place and p.kind = case when starts_with(c.by_place, 'paragraph:') then 'paragraph' else 'section' end
+    left join num n on n.doc = c.doc and n.number = c.by_number left join num z on z.doc is null and z.number = c.by_number),
+  one as (select chunk_uid, p as parent_uid from found where p <> chunk_uid)"""
+
+
+@query(f"""with {_PARENTS}
   select c.chunk_uid, o.parent_uid, case when t.parent_uid <> c.chunk_uid then t.parent_uid end as grandparent_uid, (case when o.parent_uid is null then 0 when t.parent_uid is null or t.parent_uid = c.chunk_uid then 1 else 2 end)::bigint as depth from c left join one o on o.chunk_uid = c.chunk_uid left join one t on t.chunk_uid = o.parent_uid""")
 def j9_parent_context(spark: SparkSession, root: str) -> DataFrame:
     return C.parents(read_table(spark, root, "chunks"))
 
 
-_MEMBERS = _FIXED + """, d as (select node, count(*) as degree from (select i as node from fixed union all select j from fixed) group by 1),
+_MEMBERS = _RELATIONS + ", " + _FIXED + """, d as (select node, count(*) as degree from (select i as node from fixed union all select j from fixed) group by 1),
 mem as (select chunk_uid, max({'score': score, 'document_id': document_id, 'text': text, 'section': coalesce(hierarchy.section_id, ''), 'protected': coalesce(query_protected, false)}) as m from chunks where score is not null and not isnan(score) and text is not null group by 1),
-members as (select m.document_id as scope, m.section as community, mem.chunk_uid, m.score as query, greatest(m.score, 0) as retrieval, coalesce(degree, 0)::double as graph, 0.0::double as relation, m.text as text, m.section as section, m.protected as protected from mem left join d on d.node = mem.chunk_uid),
+members as (select m.document_id as scope, m.section as community, mem.chunk_uid, m.score as query, greatest(m.score, 0) as retrieval, coalesce(degree, 0)::double as graph, coalesce(s.support, 0)::double as relation, m.text as text, m.section as section, m.protected as protected from mem left join d on d.node = mem.chunk_uid left join (select chunk_uid, max(support) as support from relsup group by 1) s on s.chunk_uid = mem.chunk_uid),
 g as (select scope, community, count(*) as n, bool_or(protected) as protected, max(greatest(query, 0)) as q, sum(retrieval) as r, avg(graph) as gs, avg(relation) as rs, count(distinct case when text <> '' then lower(text) end)::double as u, count(distinct case when section <> '' then section end)::double as sd from members group by 1, 2),
-x as (select scope, community, n, protected, coalesce(q / nullif(max(q) over w, 0), 0) as q, coalesce(r / nullif(max(r) over w, 0), 0) as r, coalesce(gs / nullif(max(gs) over w, 0), 0) as gs, coalesce(u / nullif(max(u) over w, 0), 0) as u, coalesce(sd / nullif(max(sd) over w, 0), 0) as sd from g window w as (partition by scope))"""
+x as (select scope, community, n, protected, coalesce(q / nullif(max(q) over w, 0), 0) as q, coalesce(r / nullif(max(r) over w, 0), 0) as r, coalesce(gs / nullif(max(gs) over w, 0), 0) as gs, coalesce(rs / nullif(max(rs) over w, 0), 0) as rs, coalesce(u / nullif(max(u) over w, 0), 0) as u, coalesce(sd / nullif(max(sd) over w, 0), 0) as sd from g window w as (partition by scope))"""
 
 
-@query(f"with {_MEMBERS} select scope, community, n, round(0.25 * q + 0.20 * r + 0.20 * gs + 0.10 * u + 0.10 * sd, 6)::double as importance, (q >= 0.05 or r >= 0.05 or gs >= 0.2 or protected) as relevant from x")
+@query(f"with {_MEMBERS} select scope, community, n, round(0.25 * q + 0.20 * r + 0.20 * gs + 0.15 * rs + 0.10 * u + 0.10 * sd, 6)::double as importance, (q >= 0.05 or r >= 0.05 or gs >= 0.2 or rs > 0 or protected) as relevant from x")
 def a15_community_importance(spark: SparkSession, root: str) -> DataFrame:
     i = C.community_importance(_members(spark, root))
     return i.select("scope", "community", "n", F.round("importance", 6).alias("importance"), "relevant")
@@ -60,7 +80,7 @@ def e7_selected_context(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def g11_selected_paths(spark: SparkSession, root: str) -> DataFrame:
-    m = _members(spark, root).where("query > 0.5").select("scope", F.col("chunk_uid").alias("node"), F.col("query").alias("score"))
+    m = _members(spark, root).select("scope", F.col("chunk_uid").alias("node"), F.col("query").alias("score"))
     e = _fixed(spark, root).select(F.col("document_id").alias("scope"), F.col("i").alias("src"), F.col("j").alias("dst"))
     e = e.unionByName(j3_mention_edges(spark, root).select(F.col("document_id").alias("scope"), F.col("chunk_uid").alias("src"), F.col("entity").alias("dst")))
     return C.graph_paths(m, e)
@@ -174,12 +194,11 @@ def w9_versions(spark: SparkSession, root: str) -> DataFrame:
     return v.select("document_id", "version", (F.max("version").over(w) + 1).alias("next_version"), F.lag("version").over(order).alias("previous_version"))
 
 
-@query("""select document_id, status, case when status = 'available' then document_generation when status = 'pending' and active_version is not null then document_generation - 1 when status in ('partial', 'unavailable', 'stale') and vector_ready then document_generation end as active_generation from document_entries""")
+@query("""with l as (select document_id, version, max(document_generation) as g from version_ledger where version is not null group by 1, 2)
+  select e.document_id, status, case when status = 'tombstoned' then null when status = 'pending' then l.g when status in ('partial', 'unavailable', 'stale') and not coalesce(vector_ready, false) then null else document_generation end as active_generation
+  from document_entries e left join l on l.document_id = e.document_id and l.version = e.active_version""")
 def l12_active_generations(spark: SparkSession, root: str) -> DataFrame:
-    e = read_table(spark, root, "document_entries")
-    g = F.col("document_generation")
-    active = F.when(F.col("status") == "available", g).when((F.col("status") == "pending") & F.col("active_version").isNotNull(), g - 1).when(F.col("status").isin("partial", "unavailable", "stale") & F.col("vector_ready"), g)
-    return e.select("document_id", "status", active.alias("active_generation"))
+    return L.active_generations(read_table(spark, root, "document_entries"), read_table(spark, root, "version_ledger"))
 
 
 @query("""with t as (select document_id from document_entries where status = 'tombstoned'), c as (select distinct document_id from points where graph_control_point = 'tombstone')
@@ -199,13 +218,13 @@ def n20_owned_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("select user_id, date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 4)::double as total from events group by 1, 2, 3")
-def l1_event_rollup(spark: SparkSession, root: str) -> DataFrame:
+def event_rollup(spark: SparkSession, root: str) -> DataFrame:
     e = read_table(spark, root, "events")
     return e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("""select n_name as nation, l_returnflag as flag, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2)::double as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2""")
-def j11_join_rollup(spark: SparkSession, root: str) -> DataFrame:
+def revenue_rollup(spark: SparkSession, root: str) -> DataFrame:
     t = lambda n: read_table(spark, root, n)
     x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return x.groupBy(F.col("n_name").alias("nation"), F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))

@@ -38,6 +38,7 @@ _EVIDENCE = f"""n0 as (select *, coalesce(nullif(source, ''), 'llm') as src, low
 n1 as (select *, coalesce(nullif(evidence_type, ''), case when weak then 'same_chunk' else 'explicit' end) as kind, coalesce(nullif(status, ''), case when weak then 'unverified' else 'accepted' end) as st from n0),
 evidence as (select document_id, head, relation, tail, src as source, coalesce(nullif(scope, ''), 'local') as scope, case when confidence is null or isnan(confidence) or isinf(confidence) then {_WEIGHT.format('kind')} else greatest(0.0::double, least(1.0::double, confidence)) end as confidence,
   list_sort(list_distinct(list_filter(coalesce(support_chunk_uids, []), lambda x: x is not null and x <> ''))) as support_chunk_uids, kind as evidence_type, coalesce(nullif(verification_state, ''), st) as verification_state, st as status, {_WEIGHT.format('kind')} as resolved_weight from n1)"""
+_SURFACE_ID = "'ent_' || replace(trim(regexp_replace(regexp_replace(lower({0}), '[,.;:()\\[\\]{{}}_-]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ', '_')"
 _KEY = "'ent_' || replace(lower(trim({0})), ' ', '_')"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ def ingest(points: DataFrame, chunks: DataFrame, mode: str, generation: int, mod
     rows = chunks.where("not coalesce(context_only, false)") if "context_only" in chunks.columns else chunks
     v = models.embed(rows, "chunk_uid", model=model)
     new = rows.select("document_id", "chunk_id", "chunk_uid", "text").dropDuplicates(["chunk_uid"]).join(v.dropDuplicates(["chunk_uid"]), "chunk_uid")
-    from ..functions.text import URL_NAMESPACE, uuid5
+    from ..functions.text import POINT_PREFIX, URL_NAMESPACE, uuid5
 
-    made = new.select(uuid5(URL_NAMESPACE, F.concat(F.lit("graph-rag:"), "chunk_uid")).alias("point_id"), "document_id", "chunk_id", "chunk_uid", "text", "embedding", F.lit(generation).alias("document_generation"), F.lit(True).alias("vector_point"))
+    made = new.select(uuid5(URL_NAMESPACE, F.concat(F.lit(POINT_PREFIX), "chunk_uid")).alias("point_id"), "document_id", "chunk_id", "chunk_uid", "text", "embedding", F.lit(generation).alias("document_generation"), F.lit(True).alias("vector_point"))
     missing = [c for c in points.columns if c not in made.columns]
     made = made.select("*", *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in missing]).select(*[F.col(c).cast(points.schema[c].dataType) for c in points.columns])
     return L.ingest(points, made, mode)
@@ -86,21 +87,26 @@ class Run:
     log: list[str] = field(default_factory=list)
 
 
-def full_pipeline(spark: SparkSession, points: DataFrame, entries: DataFrame, chunks: DataFrame, query: str, vector: list[float], k: int = 10, most_retries: int = 2) -> Run:
+def full_pipeline(spark: SparkSession, points: DataFrame, entries: DataFrame, chunks: DataFrame, query: str, vector: list[float], k: int = 10, most_retries: int = 2, mentions: DataFrame | None = None, evidence: DataFrame | None = None) -> Run:
     """Retrieve, build the graph of what was found, choose context within the budget, summarise, judge; where the gate fails for want of
-    grounding, retrieve two chunks more and try again. If the graph cannot be built, everything found forms one community."""
+    grounding, retrieve two chunks more and try again. If the graph cannot be built, everything found forms one community.
+    With mentions and evidence, verified relations support the chunks that mention their ends."""
     log: list[str] = []
+    support = spark.createDataFrame([], "chunk_uid string, support double")
+    if mentions is not None and evidence is not None:
+        support = C.relation_support(M.mention_edges(chunks, mentions).select("document_id", "chunk_uid", "entity").distinct(), M.normal_evidence(evidence)).groupBy("chunk_uid").agg(F.max("support").alias("support"))
     for turn in range(most_retries + 1):
         found = materialize(query_only(points, entries, vector, k + 2 * turn), "run-retrieved")
         try:
             edges = V.either(V.group_neighbours(found.join(points.select("chunk_uid", "embedding").dropDuplicates(["chunk_uid"]), "chunk_uid").withColumn("all", F.lit("query")), "all", "chunk_uid", 3), "all", 0.3)
             degree = G.degrees(edges.withColumnRenamed("all", "document_id")).select("node", "degree")
-        except Exception as e:
+        except AnalysisException as e:
+            # a table without the columns a graph needs; a lost executor or any other fault is not covered up
             log.append(f"graph unavailable: {e}")
             degree = spark.createDataFrame([], "node string, degree bigint")
         section = chunks.groupBy("chunk_uid").agg(F.max("hierarchy.section_id").alias("section"))
-        m = found.join(section, "chunk_uid", "left").join(degree.withColumnRenamed("node", "chunk_uid"), "chunk_uid", "left")
-        members = m.select(F.lit("query").alias("scope"), F.concat_ws("/", "document_id", "section").alias("community"), "chunk_uid", F.col("score").alias("query"), F.greatest("score", F.lit(0.0)).alias("retrieval"), F.coalesce("degree", F.lit(0)).cast("double").alias("graph"), F.lit(0.0).alias("relation"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("section", F.lit("")).alias("section"), (F.col("rank") == 1).alias("protected"))
+        m = found.join(section, "chunk_uid", "left").join(degree.withColumnRenamed("node", "chunk_uid"), "chunk_uid", "left").join(support, "chunk_uid", "left")
+        members = m.select(F.lit("query").alias("scope"), F.concat_ws("/", "document_id", "section").alias("community"), "chunk_uid", F.col("score").alias("query"), F.greatest("score", F.lit(0.0)).alias("retrieval"), F.coalesce("degree", F.lit(0)).cast("double").alias("graph"), F.coalesce("support", F.lit(0.0)).alias("relation"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("section", F.lit("")).alias("section"), (F.col("rank") == 1).alias("protected"))
         chosen = materialize(C.select_context(members), "run-context")
         sources = members.join(chosen.where("status = 'selected'").select(F.col("id").alias("chunk_uid")), "chunk_uid").select(F.lit("query").alias("id"), F.col("chunk_uid").alias("source_id"), "text", F.col("section").alias("group"))
         asked = spark.createDataFrame([("query", "", query)], "id string, summary string, query string")

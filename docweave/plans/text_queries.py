@@ -122,10 +122,11 @@ def x18_digests(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(f"""with c as (select distinct chunk_uid, sha1(unhex('{T.URL_NAMESPACE.replace("-", "")}') || encode('{T.POINT_PREFIX}' || chunk_uid)) as h from chunks)
+  select chunk_uid, case when chunk_uid is not null then substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1)::int % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) end as point_id from c""")
 def x18_point_ids(spark: SparkSession, root: str) -> DataFrame:
     c = read_table(spark, root, "chunks").select("chunk_uid").distinct()
-    return c.select("chunk_uid", T.uuid5(T.URL_NAMESPACE, F.concat(F.lit("graph-rag:"), "chunk_uid")).alias("point_id"))
+    return c.select("chunk_uid", T.uuid5(T.URL_NAMESPACE, F.concat(F.lit(T.POINT_PREFIX), "chunk_uid")).alias("point_id"))
 
 
 @query("select document_id, url_encode(document_id || '/v 1~*') as key, count(*) as n from chunks group by all")

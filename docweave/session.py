@@ -35,8 +35,8 @@ def get_spark(app: str = "docweave", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder of its own (tests); a cluster
-    falls back to the warehouse folder, which all executors can reach, never to a machine's own disk.
+    Where it is unset, a local session gets a temporary folder of its own (tests); a cluster is refused, for
+    its executors share no folder that could be guessed.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
             _own_dirs[app] = tempfile.mkdtemp(prefix="docweave-")
             atexit.register(shutil.rmtree, _own_dirs[app], True)
         return "file://" + _own_dirs[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def _sweep(spark: SparkSession, folder: str) -> None:
@@ -81,7 +81,16 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docweave_table = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind what ``materialize`` gave, once nothing is to be read from it again."""
+    path = getattr(df, "_docweave_table", None)
+    if path:
+        _sweep(df.sparkSession, path)
 
 
 def share(spark: SparkSession, value: object):

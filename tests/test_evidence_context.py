@@ -1,9 +1,14 @@
+import itertools
+import math
+import random
+
 import pytest
 
 from docweave.functions import text as T
 from docweave.operators import context as C
 from docweave.operators import evaluate as E
 from docweave.operators import evidence as M
+from docweave.operators import summarize as S
 from pyspark.sql import functions as F
 
 MENTION = "chunk_uid string, text string, label string, start_char int, end_char int, sentence_start_char int, sentence_end_char int, sentence_index int, document_id string"
@@ -91,11 +96,90 @@ def test_allocation_spends_everything_it_may():
     assert C.allocate([], 100) == {} and C.allocate([("a", 1.0, 0)], 0) == {"a": 0}
 
 
-def test_paths():
-    edges = [("chunk_1", "ent_alpha"), ("ent_alpha", "chunk_2"), ("ent_alpha", "ent_beta"), ("ent_beta", "chunk_2")]
-    out = C.choose_paths({"chunk_1": 0.9, "chunk_2": 0.8}, edges, {})
-    assert {p["id"]: p["status"] for p in out} == {"path:chunk_1>ent_alpha>ent_beta>chunk_2": "selected", "path:chunk_1>ent_alpha>chunk_2": "duplicate_path_evidence"}
-    assert out == C.choose_paths({"chunk_2": 0.8, "chunk_1": 0.9}, [(b, a) for a, b in reversed(edges)], {})
+def test_paths(spark):
+    edges = [("q", "chunk_1", "ent_alpha"), ("q", "ent_alpha", "chunk_2"), ("q", "ent_alpha", "ent_beta"), ("q", "ent_beta", "chunk_2")]
+    hits = [("q", "chunk_1", 0.9), ("q", "chunk_2", 0.8)]
+    e, h = spark.createDataFrame(edges, "scope string, src string, dst string"), spark.createDataFrame(hits, "scope string, node string, score double")
+    want = {"path:chunk_1>ent_alpha>ent_beta>chunk_2": "selected", "path:chunk_1>ent_alpha>chunk_2": "duplicate_path_evidence"}
+    assert {r.path_id: r.status for r in C.graph_paths(h, e).collect()} == want
+    # neither the tiles nor the direction of edges change what is found
+    c = C.path_candidates(h, e.select("scope", F.col("dst").alias("src"), F.col("src").alias("dst")), tile=1)
+    assert {r.path_id for r in c.collect()} == set(want)
+
+
+def test_first_paths_are_the_first_by_name():
+    rng = random.Random(5)
+    for _ in range(60):
+        nodes = [f"n{i}" for i in range(8)]
+        near = {}
+        for a in nodes:
+            for b in nodes:
+                if a < b and rng.random() < 0.35:
+                    near.setdefault(a, []).append(b)
+                    near.setdefault(b, []).append(a)
+        near = {k: sorted(v) for k, v in near.items()}
+        every = sorted(["n0", *p, "n7"] for n in range(4) for p in itertools.permutations(nodes[1:7], n) if all(y in near.get(x, ()) for x, y in zip(["n0", *p], [*p, "n7"])))
+        assert C.first_paths(near, "n0", "n7", C.steps_to(near, "n7", 4)) == every[:2]
+
+
+def test_allocation_equals_single_characters_in_turn():
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = [(f"c{i}", rng.choice([0.0, 0.1, 0.5, 0.9]), rng.choice([0, 0, 50, 300])) for i in range(rng.randint(1, 6))]
+        budget, most, least, share = rng.randint(1, 2000), rng.randint(50, 900), rng.randint(0, 200), 0.8
+        if sum(r for _, _, r in rows) > budget:
+            continue
+        cap = min(most, int(budget * share))
+        given = {c: max(r, max(0, min(least, cap, (budget - sum(r for _, _, r in rows)) // len(rows)))) for c, _, r in rows}
+        caps = {c: max(cap, r) for c, _, r in rows}
+        order = sorted(rows, key=lambda x: (-x[1], x[0]))
+        left, total = budget - sum(given.values()), math.fsum(w for _, w, _ in rows)
+        for c, w, _ in order:
+            given[c] += max(0, min(caps[c] - given[c], int(left * (w / total if total else 1 / len(rows)))))
+        left = budget - sum(given.values())
+        while left > 0 and any(given[c] < caps[c] for c in given):
+            for c, _, _ in order:
+                if left > 0 and given[c] < caps[c]:
+                    given[c] += 1
+                    left -= 1
+        assert C.allocate(rows, budget, most, least, share) == given
+
+
+def test_lazy_choice_equals_choosing_the_best_each_time():
+    rng = random.Random(7)
+    for _ in range(80):
+        rows = [dict(id=f"k{i}", community="x", importance=0.5, relevant=True, rank=i + 1, cost=rng.randint(10, 60), protected=rng.random() < 0.1, base=rng.random(), tokens=set(rng.choices("abcdefgh", k=rng.randint(0, 6)))) for i in range(12)]
+        got = [(r["id"], r["status"]) for r in C.choose(rows, budget=300, most=240, least=40) if r["status"] == "selected"]
+        budget = C.allocate([("x", 0.5, sum(r["cost"] for r in rows if r["protected"]))], 300, 240, 40)["x"]
+        rest, chosen, used = list(rows), [], 0
+        while rest:
+            gain = lambda r: r["base"] * (1 - max((len(r["tokens"] & c["tokens"]) / len(r["tokens"] | c["tokens"]) for c in chosen if r["tokens"]), default=0.0))
+            r = max(rest, key=lambda r: (r["protected"], gain(r), -r["rank"], r["id"]))
+            rest.remove(r)
+            if (r["protected"] or gain(r) >= 0.05) and used + r["cost"] <= budget:
+                chosen.append(r)
+                used += r["cost"]
+        if sum(r["cost"] for r in rows if r["protected"]) <= 300:
+            assert [i for i, _ in got] == [r["id"] for r in chosen]
+
+
+def test_parents_step_by_step(spark):
+    h = "struct<parent_chunk_uid:string,parent_id:string,parent_chunk_id:bigint,section_id:string,paragraph_id:string>"
+    rows = [
+        ("d", 1, "s", "section", (None, None, None, "section:1", None)), ("d", 2, "p", "paragraph", (None, "section:1", None, "section:1", "paragraph:1")),
+        ("d", 3, "a", "sentence", ("gone", "paragraph:1", 1, None, None)), ("d", 4, "b", "sentence", ("gone", None, 1, None, None)), (None, 9, "z", "section", (None, None, None, None, None)),
+        ("d", 5, "c", "sentence", (None, "section:7", 9, None, None)), ("d", 6, "e", "sentence", ("e", None, None, None, None)), ("d", 7, "f", "sentence", None),
+    ]
+    df = spark.createDataFrame(rows, f"document_id string, chunk_id bigint, chunk_uid string, level string, hierarchy {h}")
+    got = {r.chunk_uid: (r.parent_uid, r.grandparent_uid, r.depth) for r in C.parents(df).collect()}
+    assert got == {"s": (None, None, 0), "p": ("s", None, 1), "a": ("p", "s", 2), "b": ("s", None, 1), "z": (None, None, 0), "c": ("z", None, 1), "e": (None, None, 0), "f": (None, None, 0)}
+
+
+def test_few_summaries_are_merged_at_once(spark):
+    df = spark.createDataFrame([("d", f"s{i}", f"Alpha {i % 3} beta. More.") for i in range(9)] + [("e", "t1", "One. Two."), ("e", "t2", "Three.")], "document_id string, id string, summary string")
+    rows = sorted((r.document_id, r.level, r.n_groups, r.final) for r in S.reduce_summaries(df).collect())
+    assert [r[1:3] for r in rows if r[0] == "d"] == [(1, 3), (2, 1), (3, 1)] and rows[-1] == ("e", 1, 1, "One. Three.")
+    assert S.group_similar(["b", "a", "c", "d", "e"], [{"x"}, {"y"}, {"y", "z"}, set(), {"y"}], 3) == [[1, 4, 2], [0, 3]]
 
 
 def judged(spark, summary, query="NASA ESA outcome"):

@@ -75,8 +75,8 @@ def test_control_proof(spark):
 def test_ids_match_the_standard(spark):
     from docweave.functions.text import URL_NAMESPACE, uuid5
 
-    df = spark.createDataFrame([("graph-rag:d:chunk:1",), ("é",)], "x string")
-    assert [r[0] for r in df.select(uuid5(URL_NAMESPACE, F.col("x"))).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_URL, x)) for x in ("graph-rag:d:chunk:1", "é")]
+    df = spark.createDataFrame([("docweave:d:chunk:1",), ("é",)], "x string")
+    assert [r[0] for r in df.select(uuid5(URL_NAMESPACE, F.col("x"))).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_URL, x)) for x in ("docweave:d:chunk:1", "é")]
 
 
 def test_router():
