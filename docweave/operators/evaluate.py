@@ -138,7 +138,20 @@ def decide(metrics: DataFrame) -> DataFrame:
     low = lambda c, t: F.coalesce(F.col(c) < t, F.lit(False))
     ground = low("lexical_overlap", LEAST_OVERLAP) | low("qa_coverage", LEAST_OVERLAP) | low("query_relevance", LEAST_OVERLAP)
     prompt = low("entity_consistency", LEAST_OVERLAP) | low("number_date_consistency", 1.0) | low("sentence_support", LEAST_OVERLAP) | (low("citation_coverage", LEAST_OVERLAP) if "citation_coverage" in metrics.columns else F.lit(False))
+    # against a reference text, what says too little of it is merged again
+    merge = low("rouge_l", LEAST_ROUGE_L) if "rouge_l" in metrics.columns else F.lit(False)
     warn = (F.col("n_words") < SHORT) | (F.col("n_words") > LONG) | low("redundancy", LEAST_OVERLAP) | (low("diversity", 1.0) if "diversity" in metrics.columns else F.lit(False))
-    status = F.when(ground | prompt, "FAIL").when(warn, "WARN").otherwise("PASS")
-    action = F.when(status == "PASS", "accept").when(status == "WARN", "review").when(ground, "retry_retrieval").otherwise("retry_prompt")
+    status = F.when(ground | prompt | merge, "FAIL").when(warn, "WARN").otherwise("PASS")
+    action = F.when(status == "PASS", "accept").when(status == "WARN", "review").when(ground, "retry_retrieval").when(prompt, "retry_prompt").otherwise("retry_reduce")
     return metrics.select("*", status.alias("status"), action.alias("action"))
+
+
+def simple_decision(metrics: DataFrame, least_rouge_l: float = LEAST_ROUGE_L, least_bertscore: float = 0.80, least_overlap: float = LEAST_OVERLAP) -> DataFrame:
+    """The metrics with ``passed`` and ``reason``: against a reference text by ``rouge_l`` and ``bertscore``, where those columns hold a value, else by lexical overlap."""
+    low = lambda c, t: F.coalesce(F.col(c) < t, F.lit(False)) if c in metrics.columns else F.lit(False)
+    against = F.lit(False)
+    for c in ("rouge_l", "bertscore"):
+        against = against | F.col(c).isNotNull() if c in metrics.columns else against
+    faults = [(against & low("rouge_l", least_rouge_l), "ROUGE-L below threshold"), (against & low("bertscore", least_bertscore), "BERTScore F1 below threshold"), (~against & low("lexical_overlap", least_overlap), "Lexical overlap below threshold")]
+    reason = F.concat_ws("; ", *[F.when(f, t) for f, t in faults])
+    return metrics.select("*", (reason == "").alias("passed"), F.when(reason == "", "Quality check passed").otherwise(reason).alias("reason"))

@@ -14,6 +14,8 @@ WEIGHTS = {"verified": 1.0, "explicit": 1.0, "same_sentence": 0.6, "nearby_windo
 LABEL_ALIASES = {"organization": "org", "company": "org", "institution": "org", "location": "loc", "geopolitical_entity": "gpe", "facility": "fac"}
 WEAK_SOURCES, ACTIVE_KINDS, NEAR = ("rule-based", "fallback"), ("explicit", "verified"), 120
 NEIGHBOURHOOD_CAP = 16
+#: What a verifier is shown of a candidate, and what is asked of an extractor at once.
+WINDOW_CHUNKS, WINDOW_CHARS, WINDOW_RELATIONS, ASKED_ENTITIES, ASKED_RELATIONS = 8, 600, 8, 20, 8
 #: Candidates of an entity, of a chunk and of a document.
 ENTITY_CAP, CHUNK_CAP, TOTAL_CAP = 4, 6, 24
 
@@ -280,3 +282,51 @@ def mention_edges(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
     """(document_id, chunk_uid, entity, weight): the canonical entities of each of the chunks."""
     m = canonical_mentions(mentions).join(chunks.select("chunk_uid"), "chunk_uid", "left_semi")
     return m.select("document_id", "chunk_uid", F.col("canonical").alias("entity"), F.lit(1.0).alias("weight")).distinct()
+
+
+def recovery_support(near: DataFrame, mentions: DataFrame, support: DataFrame, cap: int = NEIGHBOURHOOD_CAP) -> DataFrame:
+    """(document_id, head, tail, chunk_uid): the chunks each recovery candidate stands on."""
+    p = _recovery_pairs(near, mentions, support).where(F.col("_k") <= cap)
+    return p.select("document_id", F.least("l", "r").alias("head"), F.greatest("l", "r").alias("tail"), F.explode(F.array("a", "b")).alias("chunk_uid")).distinct()
+
+
+def evidence_windows(support: DataFrame, chunks: DataFrame, semantic: DataFrame, evidence: DataFrame, most: int = WINDOW_CHUNKS, chars: int = WINDOW_CHARS, relations: int = WINDOW_RELATIONS) -> DataFrame:
+    """(document_id, head, tail, chunk_uids, texts, n_chunks, n_chars, relations, n_relations): what a verifier is shown of each candidate: its own chunks, semantic neighbours of theirs as
+    long as there are fewer than ``most``, the beginning of each text, and the first relations that any of the chunks supports. The limits are the window's own."""
+    key = ["document_id", "head", "tail"]
+    sides = semantic.select("document_id", F.col("i").alias("chunk_uid"), F.col("j").alias("v")).unionByName(semantic.select("document_id", F.col("j").alias("chunk_uid"), F.col("i").alias("v")))
+    beside = support.join(sides, ["document_id", "chunk_uid"]).select(*key, F.col("v").alias("chunk_uid")).distinct().join(support, [*key, "chunk_uid"], "left_anti")
+    every = support.withColumn("_far", F.lit(0)).unionByName(beside.withColumn("_far", F.lit(1)))
+    order = Window.partitionBy(*key).orderBy("_far", "chunk_uid")
+    win = every.withColumn("_k", F.row_number().over(order)).where((F.col("_far") == 0) | (F.col("_k") <= most))
+    texts = chunks.where("text is not null").groupBy("chunk_uid").agg(F.max("text").alias("_t"))
+    shown = win.join(texts, "chunk_uid", "left").withColumn("_t", F.substring(F.coalesce("_t", F.lit("")), 1, chars))
+    w = shown.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_k", "chunk_uid", "_t"))).alias("_w"), F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("_t")).cast("bigint").alias("n_chars"))
+    told = evidence.select("document_id", F.explode("support_chunk_uids").alias("chunk_uid"), F.struct(F.col("head").alias("head"), F.col("relation").alias("relation"), F.col("tail").alias("tail")).alias("_r"))
+    told = win.join(told, ["document_id", "chunk_uid"]).select(*key, "_r").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_r"))).where(F.col("_n") <= relations)
+    told = told.groupBy(*key).agg(F.array_sort(F.collect_list("_r")).alias("relations"))
+    names = lambda f: F.transform("_w", lambda x: x[f])
+    return w.join(told, key, "left").select(*key, names("chunk_uid").alias("chunk_uids"), names("_t").alias("texts"), "n_chunks", "n_chars", "relations", F.coalesce(F.size("relations"), F.lit(0)).cast("bigint").alias("n_relations"))
+
+
+def relation_requests(mentions: DataFrame, entities: int = ASKED_ENTITIES, relations: int = ASKED_RELATIONS) -> DataFrame:
+    """(chunk_uid, n_entities, asked, most_relations) of chunks with two entities or more: the first ``entities`` names that relations are asked for."""
+    m = mentions.where("trim(text) <> ''").groupBy("chunk_uid", F.lower(F.trim("text")).alias("name")).agg(F.min(F.coalesce("start_char", F.lit(2**31 - 1))).alias("pos"))
+    n = m.groupBy("chunk_uid").agg(F.count(F.lit(1)).alias("n_entities")).where("n_entities >= 2")
+    first = m.withColumn("_k", F.row_number().over(Window.partitionBy("chunk_uid").orderBy("pos", "name"))).where(F.col("_k") <= entities)
+    asked = first.groupBy("chunk_uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "name"))), lambda x: x["name"]), "; ").alias("asked"))
+    return n.join(asked, "chunk_uid").select("chunk_uid", "n_entities", "asked", F.lit(relations).alias("most_relations"))
+
+
+def united(local: DataFrame, recovered: DataFrame) -> DataFrame:
+    """(document_id, head, relation, tail, n, recovered): relations told in place or recovered, names in lower case, and whether any piece was recovered."""
+    low = [F.lower(c).alias(c) for c in ("head", "relation", "tail")]
+    u = local.select("document_id", *low, F.lit(False).alias("_r")).unionByName(recovered.select("document_id", *low, F.lit(True).alias("_r")))
+    return u.groupBy("document_id", "head", "relation", "tail").agg(F.count(F.lit(1)).alias("n"), F.max("_r").alias("recovered"))
+
+
+def extracted_entities(chunks: DataFrame, extract=None) -> DataFrame:
+    """(chunk_uid, sentence_index, entity) of chunks (chunk_uid, text). ``extract`` gives the entities of a text column as an array; without it they are
+    its acronyms and title-case words."""
+    s = chunks.select("chunk_uid", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "_s"))
+    return s.select("chunk_uid", "sentence_index", F.explode((extract or T.named_like)(F.col("_s"))).alias("entity"))

@@ -395,3 +395,20 @@ def centralities(edges: DataFrame) -> DataFrame:
     c = edges.groupBy("document_id").applyInPandas(_central, "document_id string, node string, degree double, betweenness double, eigenvector double, pagerank double, composite_score double")
     w = Window.partitionBy("document_id").orderBy(F.desc(F.round("composite_score", 9)), "node")
     return c.withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def graph_summaries(nodes: DataFrame, top: int = 10, shown: int = 20) -> DataFrame:
+    """(document_id, n_nodes, n_communities, top_nodes, largest) of nodes (document_id, node, degree, community): the nodes of most edges and the first
+    members of the largest community, ties to the smaller name. The lists are the report's own limits; windows keep no more rows than that per partition."""
+    order = [F.desc("degree"), "node"]
+    whole = nodes.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("community").alias("n_communities"))
+    first = lambda by, n: nodes.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "node"))), lambda x: x["node"]), ",").alias("_names"))
+    size = nodes.groupBy("document_id", "community").agg(F.count(F.lit(1)).alias("_n")).groupBy("document_id").agg(F.min_by("community", F.struct(-F.col("_n"), "community")).alias("community"))
+    most = first(["document_id", "community"], shown).join(size, ["document_id", "community"]).select("document_id", F.col("_names").alias("largest"))
+    return whole.join(first(["document_id"], top).withColumnRenamed("_names", "top_nodes"), "document_id").join(most, "document_id")
+
+
+def retrieved_view(components: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(node, component, retrieved) of the components (node, component) that hold a retrieved node."""
+    marked = components.join(retrieved.select("node").distinct().withColumn("retrieved", F.lit(True)), "node", "left").withColumn("retrieved", F.coalesce("retrieved", F.lit(False)))
+    return marked.join(marked.where("retrieved").select("component").distinct(), "component", "left_semi").select("node", "component", "retrieved")

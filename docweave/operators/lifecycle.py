@@ -60,3 +60,77 @@ def active_generations(entries: DataFrame, ledger: DataFrame) -> DataFrame:
     unready = F.col("status").isin("partial", "unavailable", "stale") & ~F.coalesce("vector_ready", F.lit(False))
     active = F.when((F.col("status") == "tombstoned") | unready, None).when(F.col("status") == "pending", F.col("_g")).otherwise(F.col("document_generation"))
     return e.select("document_id", "status", active.alias("active_generation"))
+
+
+def reservations(entries: DataFrame, ledger: DataFrame, requests: DataFrame) -> DataFrame:
+    """(document_id, outcome, version, document_generation, fence_token, n_burned) of requests (document_id, operation_id, mode), one a document.
+
+    The operation that already holds the pending version resumes it; appending refuses a document that is there; all else reserves the version after the highest
+    that ever was, with the next generation and fence, and burns versions that other operations had reserved.
+    """
+    top = ledger.where("version is not null").groupBy("document_id").agg(F.max("version").alias("_top"))
+    open_ = ledger.where("state = 'reserved'").select("document_id", "version", F.col("operation_id").alias("_held")).distinct()
+    e = entries.select("document_id", F.lit(True).alias("_known"), "pending_version", F.col("document_generation").alias("_g"), F.col("document_fence_token").alias("_f"))
+    r = requests.join(e, "document_id", "left").join(top, "document_id", "left")
+    held = r.select("document_id", "operation_id", "pending_version").join(open_, "document_id")
+    held = held.groupBy("document_id").agg(F.max((F.col("_held") == F.col("operation_id")) & (F.col("version") == F.col("pending_version"))).alias("_mine"), F.count_if(F.col("_held") != F.col("operation_id")).alias("_others"))
+    r = r.join(held, "document_id", "left")
+    mine = F.coalesce("_mine", F.lit(False))
+    outcome = F.when(mine, "resumed").when((F.col("mode") == "append") & F.col("_known"), "refused").otherwise("reserved")
+    new = outcome == "reserved"
+    return r.select(
+        "document_id", outcome.alias("outcome"), F.when(mine, F.col("pending_version")).when(new, F.coalesce("_top", F.lit(0)) + 1).cast("int").alias("version"), F.when(mine, F.col("_g")).when(new, F.coalesce("_g", F.lit(0)) + 1).cast("int").alias("document_generation"),
+        F.when(mine, F.col("_f")).when(new, F.coalesce("_f", F.lit(0)) + 1).cast("int").alias("fence_token"), F.when(new, F.coalesce("_others", F.lit(0))).otherwise(0).cast("bigint").alias("n_burned"),
+    )
+
+
+def published(entries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The ledger after every pending version whose vectors are ready was published: it is available, the version before it retired. ``new_state`` beside ``state``."""
+    e = entries.where("pending_version is not null and vector_ready and status = 'pending'").select("document_id", "pending_version", "active_version")
+    new = F.when(F.col("version") == F.col("pending_version"), "published_available").when((F.col("version") == F.col("active_version")) & (F.col("state") == "published_available"), "retired").otherwise(F.col("state"))
+    return ledger.join(e, "document_id").select("document_id", "version", "operation_id", "state", new.alias("new_state"))
+
+
+def failed(entries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(document_id, status, new_status, n_failed): what becomes of pending documents whose build failed. One with an artifact stays in part, one without is unavailable;
+    its reserved versions fail."""
+    n = ledger.where("state = 'reserved'").select("document_id", "version", "operation_id").distinct().groupBy("document_id").agg(F.count(F.lit(1)).alias("n_failed"))
+    e = entries.where("status = 'pending'").join(n, "document_id", "left")
+    return e.select("document_id", "status", F.when(F.col("active_artifact_key").isNotNull(), "partial").otherwise("unavailable").alias("new_status"), F.coalesce("n_failed", F.lit(0)).cast("bigint").alias("n_failed"))
+
+
+def denials(points: DataFrame, entries: DataFrame) -> DataFrame:
+    """(document_id, n_points, n_controls, proof): for each tombstoned document the rows still to be deleted, its deny controls, and the digest
+    of the claim a cleanup must show."""
+    t = entries.where("status = 'tombstoned'")
+    text = F.concat_ws("|", "document_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("document_generation", "document_attempt_id", "document_fence_token")])
+    held = points.groupBy("document_id").agg(F.count_if(F.col("graph_control_point").isNull()).alias("n_points"), F.count_if(F.col("graph_control_point") == "tombstone").alias("n_controls"))
+    return t.select("document_id", F.sha2(text, 256).alias("proof")).join(held, "document_id", "left").select("document_id", F.coalesce("n_points", F.lit(0)).cast("bigint").alias("n_points"), F.coalesce("n_controls", F.lit(0)).cast("bigint").alias("n_controls"), "proof")
+
+
+def authorised(points: DataFrame, entries: DataFrame, ledger: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """The vector rows a query may return: of the generation that is active for their document. ``after`` are the entries as read once the search is done;
+    rows of a document whose generation, attempt or fence changed meanwhile are left out."""
+    now = active_generations(entries, ledger).where("active_generation is not null").select("document_id", "active_generation")
+    rows = points.where("vector_point and graph_control_point is null and graph_tombstoned is not true").join(now, "document_id").where("document_generation = active_generation").select(*points.columns)
+    if after is None:
+        return rows
+    claim = ("document_generation", "document_attempt_id", "document_fence_token", "status")
+    same = entries.select("document_id", *[F.col(c).alias(f"_{c}") for c in claim]).join(after.select("document_id", *claim), "document_id")
+    for c in claim:
+        same = same.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    return rows.join(same.select("document_id"), "document_id", "left_semi").select(*points.columns)
+
+
+def claims(entries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(document_id, version, same): whether a ledger row's claim is the entry's, field by field, nothing equal to nothing."""
+    e = entries.select("document_id", F.col("document_attempt_id").alias("_a"), F.col("document_generation").alias("_g"), F.col("active_version").alias("_v"), F.col("pending_version").alias("_p"))
+    same = F.col("attempt_id").eqNullSafe(F.col("_a")) & F.col("document_generation").eqNullSafe(F.col("_g")) & (F.col("version").eqNullSafe(F.col("_v")) | F.col("version").eqNullSafe(F.col("_p")))
+    return ledger.join(e, "document_id").select("document_id", "version", same.alias("same")).groupBy("document_id", "version").agg(F.max("same").alias("same"))
+
+
+def backfill_groups(points: DataFrame) -> DataFrame:
+    """(document_id, n, n_generations, n_sizes, valid): the vector rows of a document may be filled in anew if they are of one generation, their vectors of one size and usable."""
+    v = points.where("vector_point").select("document_id", "document_generation", F.size("embedding").alias("_n"), (F.size(F.filter("embedding", lambda x: x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf")))) > 0).alias("_bad"))
+    g = v.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("document_generation", F.lit(-1))).alias("n_generations"), F.countDistinct(F.coalesce("_n", F.lit(-1))).alias("n_sizes"), F.max(F.coalesce("_bad", F.lit(True))).alias("_bad"))
+    return g.select("document_id", "n", "n_generations", "n_sizes", ((F.col("n_generations") == 1) & (F.col("n_sizes") == 1) & ~F.col("_bad")).alias("valid"))

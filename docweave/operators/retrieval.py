@@ -69,3 +69,27 @@ def point_set_digest(points: DataFrame) -> DataFrame:
 def canonical_rank(rows: DataFrame, score: str, id_col: str) -> DataFrame:
     """Rank by score, ties by id."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), id_col)).cast("bigint"))
+
+
+def difference(existing: DataFrame, keep: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among those to keep; rows without a key are not."""
+    return existing.join(keep.select(key).distinct(), key, "left_anti").select(*existing.columns)
+
+
+def graph_chunks(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(node, document_id, chunk_uid) of graph nodes (node, document_id): by the node's name as a uid, else by what follows ``chunk_`` as a uid, else as a number, in the node's
+    document if it has one. A step that fits several chunks fits none."""
+    n = nodes.select("node", "document_id", F.when(F.col("node").startswith("chunk_"), F.substring("node", 7, 2**30)).alias("_tail"))
+    k = chunks.select("chunk_uid", F.col("document_id").alias("_doc"), F.col("chunk_id").cast("string").alias("_no")).distinct()
+    steps = [
+        n.join(k.select("chunk_uid"), F.col("node") == F.col("chunk_uid")).select("node", "document_id", "chunk_uid", F.lit(1).alias("_s")),
+        n.join(k.select("chunk_uid"), F.col("_tail") == F.col("chunk_uid")).select("node", "document_id", "chunk_uid", F.lit(2).alias("_s")),
+        n.where("document_id is not null").join(k, (F.col("_tail") == F.col("_no")) & (F.col("document_id") == F.col("_doc"))).select("node", "document_id", "chunk_uid", F.lit(3).alias("_s")),
+        # without a document only a number that a single chunk has will do, so each number is one row
+        n.where("document_id is null").join(k.where("_no is not null").groupBy("_no").agg(F.min("chunk_uid").alias("chunk_uid"), F.count_distinct("chunk_uid").alias("_c")).where("_c = 1"), F.col("_tail") == F.col("_no")).select("node", "document_id", "chunk_uid", F.lit(3).alias("_s")),
+    ]
+    every = steps[0]
+    for s in steps[1:]:
+        every = every.unionByName(s)
+    one = every.groupBy("node", "document_id", "_s").agg(F.min("chunk_uid").alias("chunk_uid"), F.count_distinct("chunk_uid").alias("_c")).where("_c = 1")
+    return one.groupBy("node", "document_id").agg(F.min_by("chunk_uid", "_s").alias("chunk_uid"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.hierarchy import chunk_links, descendants, resolve_hierarchy
 from ..sources.tables import read_table
-from . import context_queries, evidence_queries, record_queries, text_queries, vector_queries
+from . import context_queries, evidence_queries, lifecycle_queries, record_queries, text_queries, vector_queries
 
-MODULES = (text_queries, vector_queries, evidence_queries, context_queries, record_queries)
+MODULES = (text_queries, vector_queries, evidence_queries, context_queries, record_queries, lifecycle_queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
