@@ -330,3 +330,11 @@ def extracted_entities(chunks: DataFrame, extract=None) -> DataFrame:
     its acronyms and title-case words."""
     s = chunks.select("chunk_uid", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "_s"))
     return s.select("chunk_uid", "sentence_index", F.explode((extract or T.named_like)(F.col("_s"))).alias("entity"))
+
+
+def adjacent_occurrences(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document_id, canonical, chunk_uid, next_uid): each chunk that mentions an entity with the next one of the document that does."""
+    c = chunks.groupBy("document_id", "chunk_uid").agg(F.min("chunk_id").alias("chunk_id"))
+    o = canonical_mentions(mentions).select("document_id", "canonical", "chunk_uid").distinct().join(c, ["document_id", "chunk_uid"])
+    later = F.lead("chunk_uid").over(Window.partitionBy("document_id", "canonical").orderBy("chunk_id", "chunk_uid"))
+    return o.select("document_id", "canonical", "chunk_uid", later.alias("next_uid")).where("next_uid is not null")

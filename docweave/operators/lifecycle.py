@@ -134,3 +134,8 @@ def backfill_groups(points: DataFrame) -> DataFrame:
     v = points.where("vector_point").select("document_id", "document_generation", F.size("embedding").alias("_n"), (F.size(F.filter("embedding", lambda x: x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf")))) > 0).alias("_bad"))
     g = v.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("document_generation", F.lit(-1))).alias("n_generations"), F.countDistinct(F.coalesce("_n", F.lit(-1))).alias("n_sizes"), F.max(F.coalesce("_bad", F.lit(True))).alias("_bad"))
     return g.select("document_id", "n", "n_generations", "n_sizes", ((F.col("n_generations") == 1) & (F.col("n_sizes") == 1) & ~F.col("_bad")).alias("valid"))
+
+
+def once_published(entries: DataFrame) -> DataFrame:
+    """The entries as they are when every pending version has been published: their generation is the next one."""
+    return entries.withColumn("document_generation", F.col("document_generation") + F.col("pending_version").isNotNull().cast("int"))

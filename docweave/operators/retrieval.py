@@ -66,11 +66,6 @@ def point_set_digest(points: DataFrame) -> DataFrame:
     return g.select("document_id", "n", F.sha2(F.array_join("_ids", ","), 256).alias("digest"))
 
 
-def canonical_rank(rows: DataFrame, score: str, id_col: str) -> DataFrame:
-    """Rank by score, ties by id."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), id_col)).cast("bigint"))
-
-
 def difference(existing: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not among those to keep; rows without a key are not."""
     return existing.join(keep.select(key).distinct(), key, "left_anti").select(*existing.columns)

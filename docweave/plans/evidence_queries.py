@@ -66,10 +66,21 @@ def a3_canonical_entities(spark: SparkSession, root: str) -> DataFrame:
     return e.select("document_id", "canonical", F.size("aliases").cast("bigint").alias("n_aliases"), "n_chunks", "mention_count")
 
 
-@query(f"with {_CANON} select document_id, surface, count(distinct label) as n_labels from canon group by 1, 2 having count(distinct label) > 1")
+_BOTH = "with mentions as (select '*' as document_id, text, label from mentions union all select '*', original_mention, label from entities), " + _VALID.replace("cleaned as (select *,", "cleaned as (select document_id, text, label,") + ", " + _CANON[len(_VALID) + 2:]
+
+
+@query(f"{_BOTH} select surface, count(distinct label) as n_labels from canon group by 1 having count(distinct label) > 1")
 def a4_ambiguous_surfaces(spark: SparkSession, root: str) -> DataFrame:
-    m = E.canonical_mentions(_m(spark, root))
-    return m.groupBy("document_id", "surface").agg(F.countDistinct("label").alias("n_labels")).where("n_labels > 1")
+    """Surfaces that mentions and entities of the whole collection label in several ways."""
+    entities = read_table(spark, root, "entities").select(F.col("original_mention").alias("text"), "label")
+    m = E.valid_mentions(_m(spark, root).select("text", "label").unionByName(entities)).withColumn("surface", T.canonical_surface(F.col("entity"))).where("surface <> ''")
+    return m.groupBy("surface").agg(F.countDistinct("label").alias("n_labels")).where("n_labels > 1")
+
+
+@query(f"""with {_CANON}, o as (select distinct c.document_id, c.canonical, k.chunk_id, k.chunk_uid from canon c join (select document_id, chunk_uid, min(chunk_id) as chunk_id from chunks group by 1, 2) k on k.document_id = c.document_id and k.chunk_uid = c.chunk_uid)
+  select document_id, canonical, chunk_uid, lead(chunk_uid) over (partition by document_id, canonical order by chunk_id, chunk_uid) as next_uid from o qualify next_uid is not null""")
+def j7_adjacent_occurrences(spark: SparkSession, root: str) -> DataFrame:
+    return E.adjacent_occurrences(_m(spark, root), read_table(spark, root, "chunks"))
 
 
 @query(f"with {_PAIRS} select document_id, chunk_uid, head, tail from pairs")

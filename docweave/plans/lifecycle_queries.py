@@ -139,9 +139,10 @@ def u1_united_evidence(spark: SparkSession, root: str) -> DataFrame:
     return E.united(e.where("lower(source) <> 'recovery'"), e.where("lower(source) = 'recovery' and status = 'accepted'"))
 
 
-@query("""select p.document_id, p.point_id from points p anti join (select distinct chunk_uid from chunks where not coalesce(context_only, false)) k on k.chunk_uid = p.chunk_uid where p.graph_control_point is null""")
+@query("""select p.document_id, p.point_id from points p anti join (select distinct chunk_uid from chunks where score is not null and not isnan(score)) k on k.chunk_uid = p.chunk_uid where p.graph_control_point is null""")
 def u4_stale_points(spark: SparkSession, root: str) -> DataFrame:
-    keep = read_table(spark, root, "chunks").where("not coalesce(context_only, false)").select("chunk_uid").distinct()
+    """What goes if only the retrieved chunks are kept."""
+    keep = read_table(spark, root, "chunks").where("score is not null and not isnan(score)").select("chunk_uid").distinct()
     return R.difference(read_table(spark, root, "points").where("graph_control_point is null"), keep, "chunk_uid").select("document_id", "point_id")
 
 

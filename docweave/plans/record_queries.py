@@ -67,9 +67,11 @@ def f2_write_projection(spark: SparkSession, root: str) -> DataFrame:
     return p.select(F.concat("document_id", F.lit(":chunk:"), F.col("chunk_id").cast("string")).alias("chunk_uid"), "document_id", "chunk_id", "document_generation", F.coalesce("level", F.lit("paragraph")).alias("level"), F.coalesce("page_no", F.lit(0)).alias("page_no"), F.sha2(key, 256).alias("attempt_key"))
 
 
-@query("""select p.point_id from points p where graph_point and not coalesce(graph_tombstoned, false) and exists (select 1 from document_entries e where e.document_id = p.document_id and e.document_generation = p.document_generation and e.document_attempt_id = p.document_attempt_id and e.status = 'available')""")
+@query("""select p.point_id from points p where coalesce(graph_point, true) and graph_control_point is null and not coalesce(graph_tombstoned, false) and exists (select 1 from document_entries e where e.document_id = p.document_id and e.document_generation = p.document_generation and e.document_attempt_id = p.document_attempt_id and e.status = 'available')""")
 def f5_active_graph_points(spark: SparkSession, root: str) -> DataFrame:
-    return R.active_graph(read_table(spark, root, "points"), read_table(spark, root, "document_entries").where("status = 'available'")).select("point_id")
+    # a flag that was never set counts as set
+    points = read_table(spark, root, "points").where("graph_control_point is null").withColumn("graph_point", F.coalesce("graph_point", F.lit(True)))
+    return R.active_graph(points, read_table(spark, root, "document_entries").where("status = 'available'")).select("point_id")
 
 
 @query("select chunk_uid, max(score) as score from chunks where score is not null and not isnan(score) and score >= 0.5 and not coalesce(context_only, false) group by 1")
@@ -107,7 +109,7 @@ def x14_character_cost(spark: SparkSession, root: str) -> DataFrame:
     return c.groupBy("chunk_uid").agg(F.max(cost).cast("bigint").alias("cost"))
 
 
-@query()
+@query(r"""select doc_id, len(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}\x{24B6}-\x{24E9}'']+')))::int as n_tokens from documents where text is not null""")
 def x5_allocator_tokens(spark: SparkSession, root: str) -> DataFrame:
     d = read_table(spark, root, "documents").where("text is not null")
     return d.select("doc_id", F.size(T.allocator_tokens(F.col("text"))).alias("n_tokens"))
@@ -183,9 +185,10 @@ def l1_ingest_modes(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("select p.point_id, e.document_generation, e.document_attempt_id, p.point_id as source_point_id from points p join document_entries e on p.document_id = e.document_id where p.vector_point and p.document_generation is distinct from e.document_generation")
+@query("""with e as (select document_id, document_attempt_id, document_generation + (pending_version is not null)::int as g from document_entries)
+  select p.point_id, e.g as document_generation, e.document_attempt_id, p.point_id as source_point_id from points p join e on p.document_id = e.document_id where p.vector_point and p.document_generation is distinct from e.g""")
 def l10_backfilled(spark: SparkSession, root: str) -> DataFrame:
-    b = L.backfilled(read_table(spark, root, "points"), read_table(spark, root, "document_entries"))
+    b = L.backfilled(read_table(spark, root, "points"), L.once_published(read_table(spark, root, "document_entries")))
     return b.select("point_id", "document_generation", "document_attempt_id", "source_point_id")
 
 

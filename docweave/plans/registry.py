@@ -51,6 +51,12 @@ def oracle_sql() -> dict[str, str]:
           walk(node, place) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.place = u.node where u.parent is not null),
           on_ring as (select node from walk where node = place)
           select w.node as chunk_uid, min(w.place) as ring_uid from walk w join on_ring r on w.node = r.node group by 1""",
+        "p4_nodes": f"""with recursive {_LINKS},
+          walk(node, place) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.place = u.node where u.parent is not null),
+          on_ring as (select w.node, min(w.place) as ring from walk w join (select node from walk where node = place) r using (node) group by 1),
+          free as (select u.node, case when r.node is null then u.parent end as parent from up u left join on_ring r on u.node = r.node),
+          down(node, top, depth, path) as (select node, node, 0, [node] from free where parent is null union all select f.node, d.top, d.depth + 1, list_append(d.path, f.node) from down d join free f on f.parent = d.node)
+          select d.node, case when r.ring is null then d.top end as root, d.depth, d.path, r.ring, case when r.ring is null then 'tree' when d.depth = 0 then 'ring' else 'leads to ring' end as state from down d left join on_ring r on r.node = d.top""",
         "p4_descendants": f"""with recursive {_LINKS},
           walk(node, place) as (select node, parent from up where parent is not null union select w.node, u.parent from walk w join up u on w.place = u.node where u.parent is not null),
           on_ring as (select node from walk where node = place),

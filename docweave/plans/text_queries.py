@@ -166,5 +166,5 @@ def s19_page_images(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""with c as (select document_id, chunk_id, chunk_uid, min(lower(level)) as level from chunks group by all)
   select document_id, chunk_uid, row_number() over (partition by document_id order by chunk_id, chunk_uid)::bigint as ord, lead(chunk_uid) over (partition by document_id order by chunk_id, chunk_uid) as next_uid from c""")
-def j7_adjacent_chunks(spark: SparkSession, root: str) -> DataFrame:
+def w6_adjacent_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunking.document_order(read_table(spark, root, "chunks"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import lifecycle as L
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..operators.components import connected_components
@@ -118,9 +119,9 @@ def s11_deleted(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "points").join(gone, "document_id", "left_anti").select("point_id")
 
 
-@query("""select p.point_id from points p join document_entries e on p.document_id = e.document_id where p.graph_control_point is null and p.document_generation < e.document_generation""")
+@query("""select p.point_id from points p join document_entries e on p.document_id = e.document_id where p.graph_control_point is null and p.document_generation < e.document_generation + (e.pending_version is not null)::int""")
 def j16_stale_points(spark: SparkSession, root: str) -> DataFrame:
-    return R.stale(read_table(spark, root, "points"), read_table(spark, root, "document_entries")).select("point_id")
+    return R.stale(read_table(spark, root, "points"), L.once_published(read_table(spark, root, "document_entries"))).select("point_id")
 
 
 @query("""with r as (select source_point_id, chunk_uid, point_id, document_attempt_id, count(*) over w as n, row_number() over (partition by source_point_id, chunk_uid order by (p.document_attempt_id = e.document_attempt_id) desc nulls last, (p.source_point_id is null) desc, point_id) as k
@@ -201,7 +202,13 @@ def a12_partition_agreement(spark: SparkSession, root: str) -> DataFrame:
     return r.select(F.round("ari", 6).alias("ari"), F.round("nmi", 6).alias("nmi"))
 
 
-@query()
+_RANKS = _FIXED + """, arcs as (select document_id, i as src, j as dst, sim from fixed union all select document_id, j, i, sim from fixed), outs as (select document_id, src, sum(sim) as w from arcs group by 1, 2),
+share as (select a.document_id, a.src, a.dst, a.sim / o.w as share from arcs a join outs o on a.document_id = o.document_id and a.src = o.src), ns as (select document_id, src as node, count(*) over (partition by document_id) as n from (select distinct document_id, src from share)),
+r0 as (select document_id, node, 1.0::double / n as r from ns)""" + "".join(f""",
+r{k + 1} as (select ns.document_id, ns.node, 0.15::double / ns.n + 0.85::double * coalesce(c.r, 0) as r from ns left join (select s.document_id, s.dst as node, sum(x.r * s.share) as r from share s join r{k} x on x.document_id = s.document_id and x.node = s.src group by 1, 2) c on c.document_id = ns.document_id and c.node = ns.node)""" for k in range(10))
+
+
+@query(f"with {_RANKS} select document_id, node, round(r, 9) as pagerank from r10")
 def g15_pagerank(spark: SparkSession, root: str) -> DataFrame:
     return G.pagerank(_fixed(spark, root), rounds=10).withColumn("pagerank", F.round("pagerank", 9))
 
