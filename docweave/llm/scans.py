@@ -5,7 +5,8 @@ Tokens outside it get candidates through an inverted index of letter pairs; boos
 vocabulary itself, rank them by how well known confusions explain the difference. Page furniture is
 told from text line by line: by repetition within the document in changing surroundings, and by boosted trees fitted on a bounded
 sample of documents (SAMPLE chunks) whose repeated lines give the labels, which also judge lines that occur once.
-Two lines join over a hyphenation sign if their halves make one word, also over furniture between them.
+Boosted trees over the halves on two lines, fitted on the vocabulary's own words cut in two and on compounds that the corpus hyphenates within lines, say whether
+they are one word; they also meet over furniture. What is found and what is repaired rest on the same decisions.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ _EDGE_NUMBER = re.compile(r"^(?:(?P<a>\d{1,4})(?:\s{2,}|\t|\s*[|·•]\s*)(?P<x>
 _TITLE = re.compile(r"[^.!?;]*(?:, (?:vol|no|nr|bd)\. ?\d+|[^\W_)]|\))", re.I)
 _TABLE = re.compile(r"^\s*\|.*\|\s*$", re.M)
 _OPENING = re.compile(r"(?:^|[.!?]\s+)([^\W\d_]+)")
+_COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]{2,}-[^\W\d_]{2,}(?![\w-])")
 _HYPHEN_END = re.compile(rf"([^\W\d_]+)[{_SIGNS}][ \t]*$")
 
 
@@ -158,25 +160,70 @@ def surroundings(lines: list[str], i: int) -> str:
     return before[-12:] + "\x1f" + behind[:12]
 
 
-def split_words(lines: list[str], page: int | None, table: bool, known, furniture=None) -> list[tuple[int, int]]:
-    """(line, line) of every word split over a line end, also over furniture, by its halves making one word."""
-    out = []
+def split_candidates(lines: list[str], page: int | None, table: bool) -> Iterator[tuple[int, int, str, str, str, list[str]]]:
+    """(line, line, first half, second half, sign, titles between) of every line that ends in a hyphenation sign and the first line of text behind it.
+
+    Blank lines and page numbers are passed over; so are lines that look like titles, which must prove to be furniture for the halves to meet.
+    """
     for i, x in enumerate(lines):
         m = _HYPHEN_END.search(x)
         if not m:
             continue
-        for j in range(i + 1, min(i + 8, len(lines))):
+        between: list[str] = []
+        for j in range(i + 1, len(lines)):
             y = lines[j].strip()
-            if not y or is_folio(y, page, table) or (furniture(j) if furniture else title_of(y) is not None and j + 1 < len(lines)):
+            if not y or is_folio(y, page, table):
+                continue
+            title = title_of(y)
+            if title:
+                between.append(title_key(title[0]))
                 continue
             k = re.match(r"[^\W\d_]+", y)
             if k and k[0][0].islower():
-                a, b = m[1].lower(), k[0].lower()
-                # "well-" + "known" is a compound: both halves are words, the whole is none
-                if not (a in known and b in known and a + b not in known and len(a) > 2 and len(b) > 2 and x.rstrip()[-1] == "-"):
-                    out.append((i, j))
+                yield i, j, m[1].lower(), k[0].lower(), x.rstrip()[-1], between
             break
-    return out
+
+
+def _halves(a: str, b: str, sign: str, counts: dict[str, int], whole: int | None = None) -> list[float]:
+    n = counts.get(a + b, 0) if whole is None else whole
+    x, y, z = counts.get(a, 0), counts.get(b, 0), counts.get(f"{a}-{b}", 0)
+    return [float(x > 0), float(y > 0), float(n > 0), float(z > 0), np.log1p(n) - np.log1p(z), np.log1p(min(x, y)), len(a), len(b), float(sign != "-")]
+
+
+class JoinModel:
+    """Says whether the halves on two lines are one word. Fitted on words of the vocabulary cut in two, half of them as if the vocabulary lacked
+    them, and on compounds that the corpus writes with a hyphen within a line. Without compounds every pair joins but two words that make none."""
+
+    def __init__(self, counts: dict[str, int]):
+        rng = np.random.default_rng(11)
+        words = [w for w in sorted(counts) if len(w) >= 5 and "-" not in w]
+        pairs = [w.split("-") for w in sorted(counts) if w.count("-") == 1]
+        self.model = None
+        self.known: dict[tuple[str, str, str], bool] = {}
+        if len(words) >= 50 and pairs:
+            x, y = [], []
+            for w in [words[i] for i in rng.permutation(len(words))[:3000]]:
+                k = int(rng.integers(2, len(w) - 1))
+                for whole in (None, 0):
+                    x.append(_halves(w[:k], w[k:], "-", counts, whole))
+                    y.append(True)
+            for a, b in [pairs[i] for i in rng.permutation(len(pairs))[:3000]]:
+                x += [_halves(a, b, "-", counts)] * max(1, 3000 // min(3000, len(pairs)))
+                y += [False] * max(1, 3000 // min(3000, len(pairs)))
+            self.model = Boosted().fit(np.array(x), np.array(y))
+
+    def joins(self, a: str, b: str, sign: str, counts: dict[str, int]) -> bool:
+        key = a, b, sign
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            if sign != "-":
+                self.known[key] = True
+            elif self.model is None:
+                self.known[key] = not (a in counts and b in counts and a + b not in counts and len(a) > 2 and len(b) > 2)
+            else:
+                self.known[key] = bool(self.model.predict(np.array([_halves(a, b, sign, counts)]))[0] > 0.5)
+        return self.known[key]
 
 
 _BY_SIGN: dict[str, list[tuple[str, str]]] = {}
@@ -238,6 +285,9 @@ class WordModel:
 
     def __init__(self, counts: dict[str, int], total: int):
         self.total = max(1, total)
+        # compounds tell which words keep their hyphen, but are no readings
+        self.joined = counts
+        counts = {w: n for w, n in counts.items() if "-" not in w}
         self.counts = counts
         self.misread: dict[str, str] = {}
         self._index()
@@ -252,6 +302,7 @@ class WordModel:
                             break
         self.counts = {w: n for w, n in counts.items() if w not in self.misread}
         self._index()
+        self.joiner = JoinModel(self.joined)
         self.model = self._fit()
 
     def _index(self) -> None:
@@ -374,6 +425,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for t in b["_text"]:
             c.update(_PLAIN.findall(t))
+            if "-" in t:
+                c.update(_COMPOUND.findall(t))
         low = [(w, n) for w, n in c.items() if w.islower()]
         yield pd.DataFrame({"word": [w for w, _ in low], "n": np.array([n for _, n in low], dtype=np.int64)})
 
@@ -410,7 +463,6 @@ def _marks(words, model: LineModel):
         vocabulary = load_shared(words)
         known = set(vocabulary.counts)
         known |= {w[0].upper() + w[1:] for w in known}
-        plain = set(vocabulary.counts)
         for b in batches:
             rows, titles, asked = [], [], []
             for u, d, p, k, t in zip(b["_uid"], b["_doc"], b["_page"], b["_kind"], b["_text"]):
@@ -419,8 +471,9 @@ def _marks(words, model: LineModel):
                 if "\n" in t or "\r" in t:
                     ls = lines_of(t)
                     widest = max(len(x.strip()) for x in ls)
-                    if split_words(ls, page, table, plain):
-                        rows.append((u, d, "hyphen", None, None, None))
+                    for i, j, x, y, sign, between in split_candidates(ls, page, table):
+                        if vocabulary.joiner.joins(x, y, sign, vocabulary.joined):
+                            rows.append((u, d, "hyphen", "\x1f".join(sorted(set(between))), f"{i}:{j}", None))
                     for i, x in enumerate(ls):
                         if not x.strip():
                             continue
@@ -484,20 +537,26 @@ class Scans:
         tokens = self.marks.where("mark = 'token'").select("_uid", "key")
         self.readings = materialize(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).repartition(parts, F.xxhash64("key")).mapInPandas(_readings(words), "key string, word string"), "scan-readings")
         self.misread = tokens.join(self.readings, "key")
-        kinds = self.marks.where("mark in ('hyphen', 'folio')").select("_uid", F.col("mark").alias("kind"))
+        # halves meet over furniture only: every title between them must be a running header
+        split = self.marks.where("mark = 'hyphen'").select("_uid", "_doc", "around", "key")
+        over = split.where("key <> ''").select("_uid", "_doc", "around", F.explode(F.split("key", "\x1f")).alias("key")).join(heads.select("_doc", "key", F.lit(True).alias("_is")), ["_doc", "key"], "left")
+        over = over.groupBy("_uid", "around").agg(F.every(F.coalesce("_is", F.lit(False))).alias("_all")).where("_all").select("_uid", "around")
+        self.joins = split.where("key = ''").select("_uid", "around").unionByName(over)
+        kinds = self.marks.where("mark = 'folio'").select("_uid", F.col("mark").alias("kind")).unionByName(self.joins.select("_uid", F.lit("hyphen").alias("kind")))
         kinds = kinds.unionByName(self.heads.select("_uid", F.lit("header").alias("kind"))).unionByName(self.heads.where("mark = 'numbered'").select("_uid", F.lit("folio").alias("kind")))
         self.found = kinds.unionByName(self.misread.select("_uid", F.lit("glyph").alias("kind"))).distinct().withColumnRenamed("_uid", id_col)
-        self._shared = words
 
     def repaired(self) -> DataFrame:
         heads = self.heads.groupBy("_uid").agg(F.collect_set("key").alias("_heads"))
         words = self.misread.groupBy("_uid").agg(F.map_from_entries(F.collect_set(F.struct("key", "word"))).alias("_readings"))
+        joins = self.joins.groupBy("_uid").agg(F.collect_set("around").alias("_joins"))
         texts = self.src.groupBy("_uid", "_text").agg(F.min("_page").alias("_page"), F.min("_kind").alias("_kind"))
-        return texts.join(heads, "_uid", "left").join(words, "_uid", "left").select("_uid", "_text", "_page", "_kind", "_heads", F.map_entries("_readings").alias("_readings")).mapInPandas(_repair(self._shared), "_uid string, text string").withColumnRenamed("_uid", self.id_col)
+        return texts.join(heads, "_uid", "left").join(words, "_uid", "left").join(joins, "_uid", "left").select("_uid", "_text", "_page", "_kind", "_heads", F.map_entries("_readings").alias("_readings"), "_joins").mapInPandas(_repair, "_uid string, text string").withColumnRenamed("_uid", self.id_col)
+
 
+def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int | None, table: bool, joined: set[tuple[int, int]]) -> str:
+    """The text without furniture, split words joined (by their lines), misreadings replaced, lines of a paragraph on one line."""
 
-def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int | None, table: bool, known) -> str:
-    """The text without furniture, split words joined, misreadings replaced, lines of a paragraph on one line."""
     # all at once, so that the work is linear and no replacement is replaced again
     seen = re.compile(rf"(?<![^\W_])(?:{'|'.join(re.escape(w) for w in sorted(readings, key=len, reverse=True))})(?![^\W_])") if readings else None
 
@@ -512,7 +571,7 @@ def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int
         return read(text)
     ls = lines_of(text)
     gone = {i for i, x in enumerate(ls) if is_folio(x, page, table) or ((t := title_of(x)) and title_key(t[0]) in heads)}
-    joins = dict(split_words(ls, page, table, known, lambda j: j in gone))
+    joins = {i for i, j in joined if j < len(ls) and _HYPHEN_END.search(ls[i])}
     out, glue = [""], False
     for i, x in enumerate(ls):
         if i in gone:
@@ -531,14 +590,11 @@ def repair_text(text: str, heads: set[str], readings: dict[str, str], page: int
     return read("\n\n".join(p for p in out if p))
 
 
-def _repair(words):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = set(load_shared(words).counts)
-        for b in batches:
-            out = []
-            for t, p, k, h, r in zip(b["_text"], b["_page"], b["_kind"], b["_heads"], b["_readings"]):
-                page = None if p is None or p != p else int(p)
-                out.append(repair_text(t, set(h) if h is not None else set(), {e["key"]: e["value"] for e in r} if r is not None else {}, page, k == "table" or bool(_TABLE.search(t)), known))
-            yield pd.DataFrame({"_uid": b["_uid"], "text": out})
-
-    return run
+def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for t, p, k, h, r, j in zip(b["_text"], b["_page"], b["_kind"], b["_heads"], b["_readings"], b["_joins"]):
+            page = None if p is None or p != p else int(p)
+            pairs = {tuple(map(int, x.split(":"))) for x in j} if j is not None else set()
+            out.append(repair_text(t, set(h) if h is not None else set(), {e["key"]: e["value"] for e in r} if r is not None else {}, page, k == "table" or bool(_TABLE.search(t)), pairs))
+        yield pd.DataFrame({"_uid": b["_uid"], "text": out})

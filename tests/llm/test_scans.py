@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 
 from docweave.llm.boost import Boosted
-from docweave.llm.scans import Scans, WordModel, explain, is_folio, lines_of, repair_text, split_words, title_of
+from docweave.llm.scans import JoinModel, Scans, WordModel, explain, is_folio, lines_of, repair_text, split_candidates, title_of
 
 BODY = "the residual harvest follows each measured current and the coastal network reduces annual inflation because the optical tunnel was compared with a ceramic detector over several hundred hours".split()
 
@@ -12,9 +14,11 @@ def test_lines():
     assert title_of("27    Pneumatic pipeline proceedings, vol. 15") == ("Pneumatic pipeline proceedings, vol. 15", True)
     assert title_of("Robust Ward Review (Draft)") and not title_of("ends with a stop.") and not title_of("lower case line")
     known = {"detector", "well", "known", "the"}
-    assert split_words(lines_of("a dete-\nctor"), None, False, known) == [(0, 1)]
-    assert split_words(lines_of("a dete-\nPage 4\nBig Title Review\nctor"), 4, False, known) == [(0, 3)]
-    assert not split_words(lines_of("a well-\nknown"), None, False, known) and not split_words(lines_of("1958-\n2022"), None, False, known)
+    assert [c[:4] for c in split_candidates(lines_of("a dete-\nctor"), None, False)] == [(0, 1, "dete", "ctor")]
+    assert [(c[0], c[1], c[5]) for c in split_candidates(lines_of("a dete-\nPage 4\nBig Title Review\nctor"), 4, False)] == [(0, 3, ["big title review"])]
+    assert not list(split_candidates(lines_of("1958-\n2022"), None, False))
+    counts = dict.fromkeys(known, 5)
+    assert JoinModel(counts).joins("dete", "ctor", "-", counts) and not JoinModel(counts).joins("well", "known", "-", counts) and JoinModel(counts).joins("well", "known", "¬", counts)
 
 
 def test_confusions():
@@ -42,7 +46,7 @@ def test_boosting_learns_a_rule():
 
 def test_repair():
     t = "The coastal net-\nRobust Ward Review (Draft)\nPage 4\nwork rnoves on.\n\nNext part."
-    out = repair_text(t, {"robust ward review draft"}, {"rnoves": "moves"}, 4, False, {"network", "moves"})
+    out = repair_text(t, {"robust ward review draft"}, {"rnoves": "moves"}, 4, False, {(i, j) for i, j, *_ in split_candidates(lines_of(t), 4, False)})
     assert out == "The coastal network moves on.\n\nNext part."
 
 
@@ -73,3 +77,19 @@ def test_scans(spark):
     assert "Proceedings" not in fixed["d1:chunk:0"] and "network reduces" in fixed["d1:chunk:5"] and "detector" in fixed["d1:chunk:6"]
     empty = Scans(df.limit(0))
     assert empty.found.count() == 0 and empty.repaired().count() == 0
+
+
+def test_halves_are_judged_by_a_fitted_model():
+    rng = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    words = sorted({"".join(rng.choices(syllables, k=rng.choice([2, 3, 4]))) for _ in range(400)})
+    counts = {w: rng.randint(3, 60) for w in words}
+    short = [w for w in words if len(w) == 4]
+    compounds = {f"{rng.choice(short)}-{rng.choice(short)}": rng.randint(1, 9) for _ in range(60)}
+    m = JoinModel(counts | compounds)
+    assert m.model is not None
+    whole = [w for w in words if len(w) >= 6]
+    assert sum(m.joins(w[:3], w[3:], "-", counts | compounds) for w in whole) >= 0.95 * len(whole)
+    assert sum(m.joins(*c.split("-"), "-", counts | compounds) for c in compounds) <= 0.1 * len(compounds)
+    # neither half nor the whole is known: a rare word, cut
+    assert m.joins("xylo", "phonist", "-", counts | compounds)
