@@ -14,8 +14,8 @@ from .leak import find_leaks
 from .neardup import NearDuplicates
 from .pii import find_personal, replace_personal
 from .scans import Scans
-from .split import split_oversized
-from .tokenize import encode_corpus
+from .split import LIMIT, OVERLAP, split_oversized
+from .tokenize import decode_corpus, encode_corpus
 from .variants import link_variants, variant_pairs
 
 #: Where the vocabulary file lies on every executor.
@@ -31,6 +31,15 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(read_table(spark, root, "chunks"))
 
 
+def p1_rebuilt(spark: SparkSession, root: str) -> DataFrame:
+    """What the pieces of each text make when put together without their overlaps, and whether all keep to the limits."""
+    chunks = read_table(spark, root, "chunks")
+    fits = (F.length("piece") <= LIMIT) & (F.col("overlap") <= OVERLAP)
+    own = split_oversized(chunks.groupBy("chunk_uid").agg(F.max("text").alias("text"), F.max("level").alias("level")))
+    g = own.groupBy("chunk_uid").agg(F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("t")))).alias("_p"), F.every(fits).alias("fits"))
+    return g.select("chunk_uid", F.sha2(F.array_join(F.transform("_p", lambda x: x["t"]), ""), 256).alias("digest"), "fits")
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return Scans(read_table(spark, root, "chunks")).found
 
@@ -79,6 +88,12 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_corpus(read_table(spark, root, "documents"), TOKENIZER_FILE)
 
 
+def p7_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """The digest of the text that the ids of each document stand for."""
+    ids = encode_corpus(read_table(spark, root, "documents"), TOKENIZER_FILE)
+    return decode_corpus(ids, TOKENIZER_FILE).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items")).select("doc_id", "item_id")
 
@@ -97,7 +112,7 @@ def p9_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_classes, p5_found, p5_neighbours, p6_found, p6_links, p7_ids, p8_found, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_texts, p3_found, p3_classes, p5_found, p5_neighbours, p6_found, p6_links, p7_ids, p7_decoded, p8_found, p9_found, p9_texts)}
 
 
 #: Words as maximal runs of letters and digits, in lower case.
@@ -108,6 +123,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         # white space as Python's str.strip() knows it
         "p1_found": "select distinct chunk_uid from chunks where length(regexp_replace(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '')) > 1200",
+        "p1_rebuilt": "select chunk_uid, sha256(regexp_replace(regexp_replace(max(text), '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '')) as digest, true as fits from chunks where text is not null group by 1",
+        "p7_decoded": "select doc_id, sha256(coalesce(text, '')) as digest from documents",
         "p3_found": f"""with t as (select distinct chunk_uid, list_distinct({_WORDS.format("text")}) as w from chunks where text is not null), s as (select chunk_uid, len(w) as n, w from t where len(w) >= 25),
             e as (select chunk_uid, n, unnest(w) as x from s), f as (select x, count(*) as df from e group by 1),
             r as (select e.*, row_number() over (partition by chunk_uid order by df, x) as k from e join f using (x)), p as (select * from r where k <= n - ceil(0.75 * n) + 1),

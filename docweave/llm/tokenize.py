@@ -170,3 +170,15 @@ def encode_corpus(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     joined = joined.select(key.alias(id_col), F.col("_out").alias(out_col), F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy")).drop("_copy")
     empty = src.where(F.length("_text") == 0).select(F.col("_key").alias(id_col), F.array().cast("array<int>").alias(out_col))
     return joined.unionByName(empty)
+
+
+def decode_corpus(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id_col`` and the text that each list of ids stands for; an empty or null list gives an empty text, repeated rows stay repeated."""
+    src = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = _tokenizer(tokenizer_file)
+        for b in batches:
+            yield pd.DataFrame({"_id": b["_id"], "text": tok.decode_batch([np.asarray(i).tolist() for i in b["_ids"]], skip_special_tokens=False)})
+
+    return src.mapInPandas(run, f"_id {src.schema['_id'].dataType.simpleString()}, text string").withColumnRenamed("_id", id_col)
