@@ -41,6 +41,38 @@ def running_sections(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", F.sum(F.when(F.col("is_section"), 1).otherwise(0)).over(w).alias("section_index"), F.sum(F.when(F.col("is_section"), 0).otherwise(1)).over(w).alias("paragraph_index"), F.last(F.when(F.col("is_section"), F.col("line")), ignorenulls=True).over(w).alias("section"))
 
 
+def element_level(line: Column) -> Column:
+    """What a line is of a document: a section's title, a row of a table, a figure's caption, a paragraph or a lone sentence."""
+    return F.when(line.startswith("# "), "section").when(line.startswith("|"), "table").when(line.rlike(r"^(Figure|Fig\.) \d"), "figure").otherwise(infer_level(line))
+
+
+def structural_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, text, level, context_only, section, section_id, paragraph_id, sentence_index, parent_id, parent_chunk_id, path) of the elements of each text.
+
+    A title opens a section. A paragraph is a chunk of its own, and so is each of its sentences if there are several; a lone sentence stands under a
+    paragraph that is kept for context only. Each chunk names the chunk above it. Running numbers come from windows over one document, one row of input.
+    """
+    e = _lines(docs, "\n").withColumn("_level", element_level(F.col("line")))
+    own = F.lit(None).cast("string")
+    piece = lambda level, text, number, only: F.struct(level.alias("level"), text.alias("text"), number.cast("int").alias("sentence_index"), F.lit(only).alias("context_only"))
+    whole = piece(F.lit("paragraph"), F.col("line"), own, False)
+    parts = F.transform(T.sentences(F.col("line")), lambda t, i: piece(F.lit("sentence"), t, i + 1, False))
+    pieces = F.when(F.col("_level") == "paragraph", F.concat(F.array(whole), F.filter(parts, lambda x: x["text"] != F.col("line")))).when(F.col("_level") == "sentence", F.array(piece(F.lit("paragraph"), F.col("line"), own, True), piece(F.lit("sentence"), F.col("line"), F.lit(1), False))).otherwise(F.array(piece(F.col("_level"), F.col("line"), own, False)))
+    e = e.withColumn("_pieces", pieces)
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_start", (F.sum(F.size("_pieces")).over(w) - F.size("_pieces")).cast("bigint"))
+    section, block = F.col("_level") == "section", F.col("_level").isin("paragraph", "sentence")
+    e = e.withColumn("_sec", F.sum(section.cast("int")).over(w)).withColumn("_par", F.sum(block.cast("int")).over(w)).withColumn("section", F.last(F.when(section, F.col("line")), ignorenulls=True).over(w)).withColumn("_at", F.last(F.when(section, F.col("_start")), ignorenulls=True).over(w))
+    e = e.withColumn("section_id", F.when(F.col("_sec") > 0, F.concat(F.lit("section:"), F.col("_sec").cast("string")))).withColumn("paragraph_id", F.when(block, F.concat(F.lit("paragraph:"), F.col("_par").cast("string"))))
+    c = e.select("doc_id", "_level", "_start", "_at", "section", "section_id", "paragraph_id", F.posexplode("_pieces").alias("_k", "p")).select("doc_id", (F.col("_start") + F.col("_k")).alias("chunk_id"), "_level", "_start", "_at", "section", "section_id", "paragraph_id", "p.*")
+    below = F.col("level") == "sentence"
+    parent = F.when(below, F.col("paragraph_id")).when(F.col("level") != "section", F.col("section_id"))
+    above = F.when(below, F.col("_start")).when(F.col("level") != "section", F.col("_at"))
+    last = F.when(below, F.concat(F.lit("sentence:"), F.col("sentence_index").cast("string"))).when(F.col("level").isin("table", "figure"), F.concat_ws(":", "level", F.col("chunk_id").cast("string")))
+    path = F.concat_ws("/", "section_id", "paragraph_id", last)
+    return c.select("doc_id", "chunk_id", "text", "level", "context_only", "section", "section_id", "paragraph_id", "sentence_index", parent.alias("parent_id"), above.alias("parent_chunk_id"), path.alias("path"))
+
+
 def rejected_chunks(chunks: DataFrame, least_words: int = 8) -> DataFrame:
     """Rows kept out of context: marked context_only, or a sentence of fewer words; with the reason."""
     n = T.word_count(F.col("text"))

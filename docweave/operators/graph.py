@@ -18,6 +18,8 @@ from . import vectors as V
 
 #: Resolutions and seeds of the community search, and the baseline's seed.
 RESOLUTIONS, SEEDS, BASELINE_SEED = (0.5, 1.0, 1.5), (17, 29, 43), 17
+#: Edges of a document for each tile of sources of its shortest paths.
+SOURCES = 2000
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -242,13 +244,19 @@ def _search(settings: list[tuple[float, int]]):
 _CANDIDATES = "document_id string, resolution double, seed int, node string, community int"
 
 
+def _search_one(key, b):
+    return _search([(float(key[1]), int(key[2]))])((key[0],), b)
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = BASELINE_SEED) -> DataFrame:
     return edges.groupBy("document_id").applyInPandas(_search([(resolution, seed)]), _CANDIDATES).select("document_id", "node", "community")
 
 
 def community_candidates(edges: DataFrame) -> DataFrame:
-    """Partitions for each of three resolutions and three seeds."""
-    return edges.groupBy("document_id").applyInPandas(_search([(r, s) for r in RESOLUTIONS for s in SEEDS]), _CANDIDATES)
+    """Partitions for each of three resolutions and three seeds, each searched in a task of its own."""
+    tried = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(s).alias("s")) for r in RESOLUTIONS for s in SEEDS])).alias("_t")
+    spread = edges.select("document_id", "i", "j", "sim", tried)
+    return spread.groupBy("document_id", F.col("_t.r").alias("_r"), F.col("_t.s").alias("_s")).applyInPandas(_search_one, _CANDIDATES)
 
 
 def _coherence(key, part, vecs):
@@ -330,10 +338,10 @@ def select_communities(candidates: DataFrame, edges: DataFrame, vectors: DataFra
     return docs.select("document_id", F.coalesce("b.resolution", F.lit(1.0)).alias("resolution"), F.coalesce("b.seed", F.lit(BASELINE_SEED)).alias("seed"), F.col("b.score").alias("score"))
 
 
-def betweenness(n: int, adj: list[list[tuple[int, float]]]) -> np.ndarray:
-    """Share of shortest paths through each node; the weight of an edge is its length."""
+def betweenness(n: int, adj: list[list[tuple[int, float]]], sources=None) -> np.ndarray:
+    """Share of shortest paths through each node, or what paths from some sources add to it; the weight of an edge is its length."""
     out = np.zeros(n)
-    for source in range(n):
+    for source in range(n) if sources is None else sources:
         dist, count, before = {source: 0.0}, {source: 1.0}, {source: []}
         heap, done, order = [(0.0, source)], set(), []
         while heap:
@@ -356,10 +364,10 @@ def betweenness(n: int, adj: list[list[tuple[int, float]]]) -> np.ndarray:
                 part[b] += count[b] / count[a] * (1 + part[a])
             if a != source:
                 out[a] += part[a]
-    return out / ((n - 1) * (n - 2)) if n > 2 else out
+    return out / ((n - 1) * (n - 2)) if n > 2 and sources is None else out
 
 
-def _central(key, b):
+def _neighbours(b: pd.DataFrame):
     ids = sorted({*b["i"], *b["j"]})
     n, at = len(ids), {u: k for k, u in enumerate(ids)}
     x, y, w = b["i"].map(at).to_numpy(), b["j"].map(at).to_numpy(), b["sim"].to_numpy(dtype=float)
@@ -367,6 +375,19 @@ def _central(key, b):
     adj: list[list[tuple[int, float]]] = [[] for _ in ids]
     for p, q, s in sorted(zip(src.tolist(), dst.tolist(), ww.tolist())):
         adj[p].append((q, s))
+    return ids, src, dst, ww, adj
+
+
+def _between_tile(key, b):
+    """What the shortest paths from the sources of one tile add to every node; sources are dealt out in turn."""
+    ids, _, _, _, adj = _neighbours(b)
+    tiles = int(b["_tiles"].iloc[0])
+    return pd.DataFrame({"document_id": key[0], "node": ids, "_between": betweenness(len(ids), adj, range(int(key[1]), len(ids), tiles))})
+
+
+def _central(key, b):
+    ids, src, dst, ww, _ = _neighbours(b)
+    n = len(ids)
     degree = np.bincount(src, minlength=n) / max(1, n - 1)
     strength = np.bincount(src, ww, n)
     eigen = np.full(n, 1.0 / n)
@@ -385,16 +406,23 @@ def _central(key, b):
         rank = 0.15 / n + 0.85 * np.bincount(dst, ww * (last / np.where(strength > 0, strength, 1))[src], n)
         if np.abs(rank - last).sum() < n * 1e-6:
             break
-    between = betweenness(n, adj)
-    score = (degree + between + eigen + rank) / 4
-    return pd.DataFrame({"document_id": key[0], "node": ids, "degree": degree, "betweenness": between, "eigenvector": eigen, "pagerank": rank, "composite_score": score})
+    return pd.DataFrame({"document_id": key[0], "node": ids, "degree": degree, "eigenvector": eigen, "pagerank": rank, "_n": n})
 
 
-def centralities(edges: DataFrame) -> DataFrame:
-    """Degree, betweenness, eigenvector and PageRank of the nodes of each document, their mean, and the rank by it."""
-    c = edges.groupBy("document_id").applyInPandas(_central, "document_id string, node string, degree double, betweenness double, eigenvector double, pagerank double, composite_score double")
+def centralities(edges: DataFrame, sources: int = SOURCES) -> DataFrame:
+    """Degree, betweenness, eigenvector and PageRank of the nodes of each document, their mean, and the rank by it.
+
+    Shortest paths are searched from ``sources`` nodes in one task; tasks of one document each hold its edges.
+    """
+    c = edges.groupBy("document_id").applyInPandas(_central, "document_id string, node string, degree double, eigenvector double, pagerank double, _n bigint")
+    size = edges.groupBy("document_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / sources)).cast("int").alias("_tiles"))
+    spread = edges.join(size, "document_id").withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    part = spread.groupBy("document_id", "_tile").applyInPandas(_between_tile, "document_id string, node string, _between double").groupBy("document_id", "node").agg(F.sum("_between").alias("_between"))
+    pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
+    c = c.join(part, ["document_id", "node"]).withColumn("betweenness", F.when(F.col("_n") > 2, F.col("_between") / pairs).otherwise(F.col("_between")))
+    c = c.withColumn("composite_score", (F.col("degree") + F.col("betweenness") + F.col("eigenvector") + F.col("pagerank")) / 4)
     w = Window.partitionBy("document_id").orderBy(F.desc(F.round("composite_score", 9)), "node")
-    return c.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return c.select("document_id", "node", "degree", "betweenness", "eigenvector", "pagerank", "composite_score", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 def graph_summaries(nodes: DataFrame, top: int = 10, shown: int = 20) -> DataFrame:

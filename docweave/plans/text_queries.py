@@ -38,6 +38,20 @@ def s3_line_chunks(spark: SparkSession, root: str) -> DataFrame:
     return chunking.line_chunks(read_table(spark, root, "documents")).select("doc_id", "chunk_id", "level", "n_words")
 
 
+@query(f"""with {_PARTS}, n as (select *, {_WORDS.format('line')} as n_words, {_SENTENCES.format('line')} as ss from kept),
+  l as (select *, case when starts_with(line, '# ') then 'section' when starts_with(line, '|') then 'table' when regexp_matches(line, '^(Figure|Fig\\.) [0-9]') then 'figure' when len(ss) > 1 then 'paragraph' when n_words <= 30 and regexp_matches(line, '[.!?]$') then 'sentence' else 'paragraph' end as lv from n),
+  k as (select *, case lv when 'paragraph' then 1 + len(list_filter(ss, lambda s: s <> line)) when 'sentence' then 2 else 1 end as n_pieces from l),
+  r as (select *, sum(n_pieces) over w - n_pieces as start, sum((lv = 'section')::int) over w as sec, sum((lv in ('paragraph', 'sentence'))::int) over w as par, last_value(case when lv = 'section' then line end ignore nulls) over w as section from k window w as (partition by doc_id order by pos rows between unbounded preceding and current row)),
+  q as (select *, last_value(case when lv = 'section' then start end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row) as at_, case when sec > 0 then 'section:' || sec end as section_id, case when lv in ('paragraph', 'sentence') then 'paragraph:' || par end as paragraph_id from r),
+  f as (select *, list_filter(list_transform(ss, lambda s, i: {{'t': s, 'i': i}}), lambda x: x.t <> line) as sub from q),
+  c as (select *, start as chunk_id, line as text, case when lv = 'sentence' then 'paragraph' else lv end as level, lv = 'sentence' as context_only, null::int as sentence_index from f
+    union all select *, start + 1, line, 'sentence', false, 1 from f where lv = 'sentence' union all select * exclude (u, g), start + g, u.t, 'sentence', false, u.i::int from (select *, unnest(sub) as u, generate_subscripts(sub, 1) as g from f where lv = 'paragraph' and len(sub) > 0))
+  select doc_id, chunk_id::bigint as chunk_id, sha256(text) as digest, level, context_only, section_id, paragraph_id, sentence_index, case when level = 'sentence' then paragraph_id when level <> 'section' then section_id end as parent_id, (case when level = 'sentence' then start when level <> 'section' then at_ end)::bigint as parent_chunk_id,
+    concat_ws('/', section_id, paragraph_id, case when level = 'sentence' then 'sentence:' || sentence_index when level in ('table', 'figure') then level || ':' || chunk_id end) as path from c""")
+def s3_structural_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return chunking.structural_chunks(read_table(spark, root, "documents")).withColumn("digest", F.sha2("text", 256)).drop("text", "section")
+
+
 @query(f"""with p as (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as part, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as pos from documents where text is not null),
   k as (select doc_id, pos, regexp_replace(part, '^{WS}+|{WS}+$', '', 'g') as text from p)
   select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::bigint as chunk_id, text from k where text <> ''""")
