@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: A cut follows a character where the hash of the WINDOW characters up to it has its low MASK_BITS bits unset.
 WINDOW, MASK_BITS, LEAST, MOST = 16, 8, 64, 4096
 #: Pieces at the end of a stretch whose boundaries the next stretch may move ("'" + "ll" needs two; one is spare).
@@ -160,10 +162,11 @@ def encode_corpus(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     full = src.where(F.length("_text") > 0).select(F.struct(row.alias("d"), F.col("_key").alias("k")).alias("_id"), "_text")
     flat = full.select(F.to_json("_id").alias("_id"), "_text")
     schema = "_id string, _ord int, _hash binary, _piece string"
-    pieces = flat.mapInPandas(_stretches, schema)
+    # texts are cut once and hold their stretches by hash; the few bytes beside each stretch are what is read twice
+    pieces = materialize(flat.mapInPandas(_stretches, schema), "token-stretches")
     coded = pieces.groupBy("_hash").agg(F.first("_piece").alias("_piece"))
     coded = coded.mapInPandas(_encoder(tokenizer_file), "_hash binary, _ids array<int>, _head array<int>, _chars array<int>, _tail int")
-    places = flat.mapInPandas(_stretches, schema).groupBy("_id", "_ord", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    places = pieces.groupBy("_id", "_ord", "_hash").agg(F.count(F.lit(1)).alias("_n"))
     parts = places.join(coded, "_hash").groupBy("_id").agg(F.max("_n").alias("_n"), F.collect_list(F.struct("_ord", "_ids", "_head", "_chars", "_tail")).alias("_parts"))
     joined = parts.mapInPandas(_joiner(tokenizer_file), "_id string, _n bigint, _out array<int>")
     key = F.from_json("_id", full.schema["_id"].dataType)["k"]
