@@ -75,6 +75,7 @@ _ADDRESS = re.compile(
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 _GENDER = {g.casefold(): k for k, v in GIVEN_NAMES.items() for g in v}
 _GENDER |= {s.casefold(): _GENDER[g.casefold()] for g, v in SHORT_FORMS.items() for s in v.split()}
+_LOWER_GIVEN = frozenset(g for g in _GENDER if g.islower())
 _TITLES = {t.casefold() for t in TITLES}
 #: Short forms and names that are also everyday words stand for persons only before a surname.
 _WEAK = set("art bas bill billy bob chuck dan dick drew ed fran jo justin kit lex memo mick nick pat patty rich rick rob sandy scott sue ted teddy tori will".split())
@@ -382,7 +383,8 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 if x not in _NOT_SURNAMES and y not in _NOT_SURNAMES and x not in _TITLES:
                     seen["pair", x, y] += 1
-            for m in re.finditer(r"(?<![\w@.+-])[^\W\d_]{2,}(?![\w@+-])", t):
+            # few texts write a given name in lower case
+            for m in re.finditer(r"(?<![\w@.+-])[^\W\d_]{2,}(?![\w@+-])", t) if _LOWER_GIVEN.intersection(words) else ():
                 if m[0].islower() and m[0] in _GENDER:
                     after, before = _AFTER_LOWER.match(t, m.end()), _BEFORE_LOWER.search(t, max(0, m.start() - 60), m.start())
                     for x in (after, before):
