@@ -85,6 +85,16 @@ def pair_statistics(vectors: DataFrame, group_col: str, vector_col: str = "embed
     return out.withColumnRenamed("_g", group_col)
 
 
+def _best(s: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row, ties to the smaller id of the column; no row is its own."""
+    order = np.argsort(j, kind="stable")
+    s, j = s[:, order], j[order]
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    rows, cols = np.repeat(np.arange(len(i)), best.shape[1]), best.ravel()
+    ok = s[rows, cols] > -np.inf
+    return i[rows[ok]], j[cols[ok]], s[rows[ok], cols[ok]]
+
+
 def _block_neighbours(k: int):
     def run(key, left, right):
         names = ["_g", "_i", "_j", "_s"]
@@ -94,14 +104,11 @@ def _block_neighbours(k: int):
         a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
         s = np.round(a @ b.T, 9)
         i, j = left["_id"].to_numpy(), right["_rid"].to_numpy()
-        order = np.argsort(j, kind="stable")
-        s, j = s[:, order], j[order]
         s[i[:, None] == j[None, :]] = -np.inf
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(i)), best.shape[1])
-        cols = best.ravel()
-        ok = s[rows, cols] > -np.inf
-        return pd.DataFrame({"_g": key[0], "_i": i[rows[ok]], "_j": j[cols[ok]], "_s": s[rows[ok], cols[ok]]}, columns=names)
+        # one product serves both sides of a pair of blocks
+        parts = [_best(s, i, j, k)] + ([_best(s.T, j, i, k)] if key[1] != key[2] else [])
+        x, y, z = (np.concatenate(p) for p in zip(*parts))
+        return pd.DataFrame({"_g": key[0], "_i": x, "_j": y, "_s": z}, columns=names)
 
     return run
 
@@ -109,16 +116,16 @@ def _block_neighbours(k: int):
 def group_neighbours(vectors: DataFrame, group_col: str, id_col: str, k: int, vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(group, i, j, rank, sim): exactly the k most similar rows of the same group for each row, ties to the smaller id.
 
-    A group is cut into blocks of about ``block`` rows by a hash of the id; every pair of blocks is one matrix product that
-    passes on k rows per row, so no task holds more than two blocks. A row alone in its group has no neighbour.
+    A group is cut into blocks of about ``block`` rows by a hash of the id; every unordered pair of blocks is one matrix product that
+    passes on k rows per row of either, so no task holds more than two blocks, and a row is copied once for every block of its group.
+    A row alone in its group has no neighbour.
     """
     src = vectors.select(F.col(group_col).cast("string").alias("_g"), F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")).where(F.col("_g").isNotNull())
     sizes = src.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_n"))
     rows = src.join(sizes, "_g").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
-    spread = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    left = rows.select("_g", F.col("_b").alias("_x"), spread.alias("_y"), "_id", "_v")
+    left = rows.select("_g", F.col("_b").alias("_x"), F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_y"), "_id", "_v")
     # the same rows again, under other names: both sides of a cogroup must be told apart
-    right = rows.select(F.col("_g").alias("_rg"), spread.alias("_rx"), F.col("_b").alias("_ry"), F.col("_id").alias("_rid"), F.col("_v").alias("_rv"))
+    right = rows.select(F.col("_g").alias("_rg"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_rx"), F.col("_b").alias("_ry"), F.col("_id").alias("_rid"), F.col("_v").alias("_rv"))
     kind = src.schema["_id"].dataType.simpleString()
     found = left.groupBy("_g", "_x", "_y").cogroup(right.groupBy("_rg", "_rx", "_ry")).applyInPandas(_block_neighbours(k), f"_g string, _i {kind}, _j {kind}, _s double")
     w = Window.partitionBy("_g", "_i").orderBy(F.desc("_s"), "_j")
