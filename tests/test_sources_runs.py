@@ -123,3 +123,38 @@ def test_runs(spark):
     assert pipeline.query_only(p, entries.limit(0), q, 2).count() == 0
     run = pipeline.full_pipeline(spark, p, entries, chunks, "reef fish", q, k=2, most_retries=1)
     assert run.status in ("PASS", "WARN", "FAIL") and run.log and "eef" in run.summary.first().summary
+
+
+def test_artifacts_are_checked_field_by_field(spark, tmp_path):
+    store = ArtifactStore(spark, f"file://{tmp_path}/s")
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "i string, sim double")
+    claim = {"generation": 2, "fingerprint": "f", "attempt": "x", "fence": 3}
+    d = store.write(df, "c", "d", 1, claim)
+    assert store.read("c", "d", 1, d, claim).count() == 2 and store.write(df, "c", "d", 1, claim) == d
+    for k, v in (("generation", 1), ("fingerprint", "g"), ("attempt", "y"), ("fence", 4)):
+        with pytest.raises(ValueError, match=k):
+            store.read("c", "d", 1, d, claim | {k: v})
+    with pytest.raises(ValueError, match="digest"):
+        store.read("c", "d", 1, "0" * 64)
+    spark.createDataFrame([("z", 1.0)], "i string, sim double").write.mode("append").parquet(f"file://{tmp_path}/s/graphs/c/d/v1/data")
+    with pytest.raises(ValueError, match="stored"):
+        store.read("c", "d", 1, d)
+
+
+def test_one_of_two_writers_wins(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = ObjectStore(str(tmp_path))
+    tag = s.put("k", {"n": 0})
+
+    def write(n):
+        try:
+            return s.put("k", {"n": n}, if_match=tag)
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(16) as pool:
+        done = [t for t in pool.map(write, range(1, 17)) if t]
+    assert len(done) == 1 and s.get("k")[1] == done[0]
+    s.delete("k")
+    assert s.get("k") is None and s.put("k", {"n": 5}, if_none=True)
