@@ -212,18 +212,21 @@ class JoinModel:
                 y += [False] * max(1, 3000 // min(3000, len(pairs)))
             self.model = Boosted().fit(np.array(x), np.array(y))
 
+    def judge(self, keys: set[tuple[str, str, str]], counts: dict[str, int]) -> None:
+        """Settles many pairs of halves at once."""
+        if len(self.known) > 100_000:
+            self.known.clear()
+        new = [key for key in keys if key not in self.known]
+        for a, b, sign in new:
+            self.known[a, b, sign] = sign != "-" or not (a in counts and b in counts and a + b not in counts and len(a) > 2 and len(b) > 2)
+        asked = [key for key in new if key[2] == "-"]
+        if self.model is not None and asked:
+            found = self.model.predict(np.array([_halves(*key, counts) for key in asked]))
+            self.known.update(zip(asked, (bool(p > 0.5) for p in found)))
+
     def joins(self, a: str, b: str, sign: str, counts: dict[str, int]) -> bool:
-        key = a, b, sign
-        if key not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            if sign != "-":
-                self.known[key] = True
-            elif self.model is None:
-                self.known[key] = not (a in counts and b in counts and a + b not in counts and len(a) > 2 and len(b) > 2)
-            else:
-                self.known[key] = bool(self.model.predict(np.array([_halves(a, b, sign, counts)]))[0] > 0.5)
-        return self.known[key]
+        self.judge({(a, b, sign)}, counts)
+        return self.known[a, b, sign]
 
 
 _BY_SIGN: dict[str, list[tuple[str, str]]] = {}
@@ -465,6 +468,7 @@ def _marks(words, model: LineModel):
         known |= {w[0].upper() + w[1:] for w in known}
         for b in batches:
             rows, titles, asked = [], [], []
+            halves: list[tuple] = []
             for u, d, p, k, t in zip(b["_uid"], b["_doc"], b["_page"], b["_kind"], b["_text"]):
                 page = None if p is None or p != p else int(p)
                 table = k == "table" or bool(_TABLE.search(t))
@@ -472,8 +476,7 @@ def _marks(words, model: LineModel):
                     ls = lines_of(t)
                     widest = max(len(x.strip()) for x in ls)
                     for i, j, x, y, sign, between in split_candidates(ls, page, table):
-                        if vocabulary.joiner.joins(x, y, sign, vocabulary.joined):
-                            rows.append((u, d, "hyphen", "\x1f".join(sorted(set(between))), f"{i}:{j}", None))
+                        halves.append(((x, y, sign), (u, d, "hyphen", "\x1f".join(sorted(set(between))), f"{i}:{j}", None)))
                     for i, x in enumerate(ls):
                         if not x.strip():
                             continue
@@ -486,6 +489,8 @@ def _marks(words, model: LineModel):
                             titles.append((u, d, "numbered" if title[1] else "title", title_key(title[0]), surroundings(ls, i)))
                     t = _without_halves(t)
                 rows += [(u, d, "token", w, None, None) for w in odd_tokens(t, known)]
+            vocabulary.joiner.judge({key for key, _ in halves}, vocabulary.joined)
+            rows += [row for key, row in halves if vocabulary.joiner.known[key]]
             rows += [(*t, float(s)) for t, s in zip(titles, model.score(asked))]
             yield pd.DataFrame(rows, columns=["_uid", "_doc", "mark", "key", "around", "score"])
 
