@@ -216,19 +216,26 @@ def edits(a: str, b: str) -> int:
 
 
 def _left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each stem whole and with one character left out; long ones beside a full name also with two, short ones beside an equal full given name only."""
+    """(hash, class, two) of each stem whole and with one character left out; long ones beside a full name also with two, short ones beside an
+    equal full given name only. The hash stands for the type, what must be equal besides the stem, and what is left of the stem."""
+    import xxhash
+
     for b in batches:
-        rows = []
-        for t, s, r, n in zip(b["type"], b["stem"], b["rest"], b["_n"]):
+        hashes, numbers, twos = [], [], []
+        for c, t, s, r in zip(b["_c"], b["type"], b["stem"], b["rest"]):
             one = {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+            made: list[tuple[str, set[str]]] = []
             if t == "person" and 3 <= len(s) <= 5 and len(r) > 1 and "|" not in r:
-                rows += [(t, "0" + r, v, s, r, n) for v in one]
-            if len(s) < 5:
-                continue
-            rows += [(t, "1" + (r[:1] if t == "person" else r), v, s, r, n) for v in one]
-            if len(s) >= TWO_EDITS_FROM and len(r) > 1:
-                rows += [(t, "2" + r, v, s, r, n) for v in one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v)) if len(v) < len(s)}]
-        yield pd.DataFrame(rows, columns=["type", "key", "variant", "stem", "rest", "_n"])
+                made.append((f"{t}0{r}\x1f", one))
+            if len(s) >= 5:
+                made.append((f"{t}1{r[:1] if t == 'person' else r}\x1f", one))
+                if len(s) >= TWO_EDITS_FROM and len(r) > 1:
+                    made.append((f"{t}2{r}\x1f", one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v)) if len(v) < len(s)}))
+            for head, variants in made:
+                hashes += [xxhash.xxh3_64_intdigest((head + v).encode("utf-8", "surrogatepass")) for v in variants]
+                numbers += [c] * len(variants)
+                twos += [head[len(t)] == "2"] * len(variants)
+        yield pd.DataFrame({"_h": np.array(hashes, dtype=np.uint64).view(np.int64), "_c": np.array(numbers, dtype=np.int64), "_two": np.array(twos, dtype=bool)})
 
 
 def odd_parts(stem: str) -> set[int]:
@@ -306,15 +313,16 @@ def link_variants(df: DataFrame, id_col: str = "canonical_id", mention_col: str
     edges = edges.unionByName(pair.select(F.col("_a._hub").alias("src"), F.col("_b._hub").alias("dst"), F.lit(0.8).alias("score"), F.least("_a._df", "_b._df").alias("df")))
     # misspelt stems: classes, not rows, are compared
     classes = materialize(forms.groupBy("type", "stem", "rest").agg(F.min("_id").alias("_hub"), F.countDistinct("_seen").alias("_n")), "variant-classes")
-    v = materialize(classes.select("type", "stem", "rest", "_n").mapInPandas(_left_out, "type string, key string, variant string, stem string, rest string, _n bigint"), "variant-left-out")
-    a = v.select("type", "key", "variant", F.col("stem").alias("stem_a"), F.col("rest").alias("rest_a"), F.col("_n").alias("_na"))
-    b = v.select("type", "key", "variant", F.col("stem").alias("stem_b"), F.col("rest").alias("rest_b"), F.col("_n").alias("_nb"))
-    alike = (F.col("rest_a") == F.col("rest_b")) | ((F.col("type") == "person") & ((F.length("rest_a") == 1) | (F.length("rest_b") == 1)))
+    # rows of 17 bytes meet by their hash; which classes met is then told by the classes themselves
+    numbered = classes.withColumn("_c", F.xxhash64("type", "stem", "rest"))
+    v = materialize(numbered.select("_c", "type", "stem", "rest").mapInPandas(_left_out, "_h bigint, _c bigint, _two boolean"), "variant-left-out")
+    met = v.select("_h", F.col("_c").alias("_ca"), F.col("_two")).join(v.select("_h", F.col("_c").alias("_cb")), "_h").where("_ca < _cb").groupBy("_ca", "_cb").agg(F.max("_two").alias("_two"))
+    side = lambda x: numbered.select(F.col("_c").alias(f"_c{x}"), F.col("type").alias(f"type_{x}"), F.col("stem").alias(f"stem_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("_n").alias(f"_n{x}"))
+    alike = (F.col("rest_a") == F.col("rest_b")) | ((F.col("type_a") == "person") & ((F.length("rest_a") == 1) | (F.length("rest_b") == 1)))
     # two edits count only where one of the spellings stands in a single row but for copies, as a slip does and a name seldom, or is far the rarer
     slip = lambda x, y: (F.col(x) == 1) | (F.col(x) * RARER <= F.col(y))
-    two = F.col("key").startswith("2")
-    pairs = a.join(b, ["type", "key", "variant"]).where((F.col("stem_a") < F.col("stem_b")) & alike & (~two | slip("_na", "_nb") | slip("_nb", "_na")))
-    pairs = pairs.groupBy("type", "stem_a", "rest_a", "stem_b", "rest_b").agg(F.max(two).alias("_two"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
+    pairs = met.join(side("a"), "_ca").join(side("b"), "_cb").where((F.col("type_a") == F.col("type_b")) & (F.col("stem_a") != F.col("stem_b")) & alike)
+    pairs = pairs.select(F.col("type_a").alias("type"), "stem_a", "rest_a", "stem_b", "rest_b", (F.col("_two") & (slip("_na", "_nb") | slip("_nb", "_na"))).alias("_two"), "_na", "_nb")
     shape = "type string, stem_a string, rest_a string, stem_b string, rest_b string, _two boolean, _na bigint, _nb bigint, d int"
     # TRIPLES counts whatever the data
     stems = classes.where("length(stem) >= 5").select("stem").distinct()
