@@ -29,6 +29,8 @@ from .boost import Boosted
 SAMPLE, LONGEST, COMMON_SHARE, LEAST_COUNT, RATIO = 6000, 20_000, 1e-5, 3, 30
 #: A running header is on at least this share of the title-like lines of its document, and stands in three surroundings or more.
 SHARE = 0.02
+#: A word stands between so many times as often as its misreading in the examples; fixed, whatever the corpus.
+RARITY = (30, 30_000)
 #: What is printed and what it may be read as. Fixed values.
 CONFUSIONS = (("m", "rn"), ("d", "cl"), ("w", "vv"), ("h", "li"), ("n", "ri"), ("h", "b"), ("n", "u"), ("u", "n"), ("b", "6"), ("g", "9"), ("q", "9"), ("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("z", "2"), ("i", "!"), ("l", "!"), ("e", "€"), ("c", "©"), ("e", "c"), ("c", "e"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("m", "nn"), ("t", "f"), ("a", "�"))
 _ODD = "0123456789!€©�ﬀﬁﬂﬃﬄ"
@@ -118,8 +120,8 @@ class LineModel:
                     seen.setdefault((doc, key), set()).add(surroundings(ls, i))
                     lines.append((ls, i, doc, key, widest))
         # a long document repeats lines of text too, but not on its every so many pages
-        whole = Counter(d for _, _, d, _, _ in lines)
-        labels = [len(seen[d, k]) >= max(3, SHARE * whole[d]) for _, _, d, k, _ in lines]
+        whole, uses = Counter(d for _, _, d, _, _ in lines), Counter((d, k) for _, _, d, k, _ in lines)
+        labels = [len(seen[d, k]) >= 3 and uses[d, k] >= SHARE * whole[d] for _, _, d, k, _ in lines]
         # words of titles that recur in several documents mark a title that occurs but once; it is no example of text
         titles = {(d, k) for (_, _, d, k, _), y in zip(lines, labels) if y}
         others = {(d, k) for (_, _, d, k, _), y in zip(lines, labels) if not y}
@@ -360,10 +362,10 @@ class WordModel:
         got = {w for w, _ in out}
         return out + [(self.words[i], float(near[i])) for i in exact if self.words[i] not in got]
 
-    def features(self, token: str, count: int, word: str, overlap: float) -> list[float]:
+    def features(self, token: str, count: float, word: str, overlap: float) -> list[float]:
         p, q, c = explain(token, word)
         n = self.counts.get(word, 1)
-        return [p, q, c, overlap, len(word), np.log(n / self.total), np.log(n / max(1, count)), float(any(x in _ODD for x in token)), abs(len(token) - len(word))]
+        return [p, q, c, overlap, len(word), np.log(n / self.total), np.log(n / count), float(any(x in _ODD for x in token)), abs(len(token) - len(word))]
 
     def _fit(self) -> Boosted | None:
         rng = np.random.default_rng(7)
@@ -373,7 +375,8 @@ class WordModel:
         x, y = [], []
         letters = "abcdefghijklmnopqrstuvwxyz"
         for w in [words[i] for i in rng.permutation(len(words))[:1500]]:
-            n = max(1, int(self.counts[w] / 200))
+            # how rare a misreading is comes by chance: a fixed share of its word would tell the word from the others, and the more exactly the larger the corpus
+            n = self.counts[w] / float(np.exp(rng.uniform(*np.log(RARITY))))
             spots = [(m.start(), a, b) for a, b in CONFUSIONS for m in re.finditer(a, w)]
             if not spots:
                 continue
@@ -534,8 +537,8 @@ class Scans:
         self.marks = materialize(marks.distinct(), "scan-marks")
         titles = self.marks.where("mark in ('title', 'numbered')")
         whole = titles.groupBy("_doc").agg(F.count(F.lit(1)).alias("_all"))
-        seen = titles.groupBy("_doc", "key").agg(F.countDistinct("around").alias("_n"), F.max("score").alias("_s"), F.max(F.when(F.col("mark") == "numbered", 1).otherwise(0)).alias("_e"))
-        heads = seen.join(whole, "_doc").where((F.col("_s") > 0.5) | ((F.col("_n") >= 2) & (F.col("_s") > 0.1)) | ((F.col("_n") >= 3) & (F.col("_n") >= SHARE * F.col("_all"))))
+        seen = titles.groupBy("_doc", "key").agg(F.countDistinct("around").alias("_n"), F.count(F.lit(1)).alias("_u"), F.max("score").alias("_s"), F.max(F.when(F.col("mark") == "numbered", 1).otherwise(0)).alias("_e"))
+        heads = seen.join(whole, "_doc").where((F.col("_s") > 0.5) | ((F.col("_n") >= 2) & (F.col("_s") > 0.1)) | ((F.col("_n") >= 3) & (F.col("_u") >= SHARE * F.col("_all"))))
         self.heads = titles.join(heads.select("_doc", "key"), ["_doc", "key"]).select("_uid", "key", "mark").distinct()
         # few bytes but much work: spread by number, not by size
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -93,3 +93,23 @@ def test_halves_are_judged_by_a_fitted_model():
     assert sum(m.joins(*c.split("-"), "-", counts | compounds) for c in compounds) <= 0.1 * len(compounds)
     # neither half nor the whole is known: a rare word, cut
     assert m.joins("xylo", "phonist", "-", counts | compounds)
+
+
+def test_misreadings_are_read_whatever_the_size():
+    rng = np.random.default_rng(4)
+    part = lambda: "".join(rng.choice(list("kpvxyj"), 3))
+    # a 1 may be an l or an i: only a frequency that gives the answer away tells the words of such examples apart
+    pairs = [(part(), part()) for _ in range(150)]
+    words = sorted({x + c + y for x, y in pairs for c in "li"}) + sorted({part() + "m" + part() for _ in range(100)})
+    for k in (1, 10, 1000):
+        counts = {w: 150 * k * (1 + i % 37) for i, w in enumerate(words)}
+        m = WordModel(counts, sum(counts.values()))
+        for rare in (1, 2 * k):
+            meant = [w for w in words if "m" in w]
+            assert m.read([(w.replace("m", "rn"), rare) for w in meant]) == meant
+
+
+def test_a_header_of_a_long_document_that_stands_in_few_surroundings(spark):
+    rows = [("x", f"x{c}", f"{BODY[c % 4]} flows on and\nRobust Ward Review\n{BODY[4 + c % 4]} goes on.\nWhat {BODY[c % 30 % len(BODY)]} {c // 26} says {'abcdefghijklmnopqrstuvwxyz'[c % 26]}\nends here.", None, "paragraph") for c in range(300)]
+    df = spark.createDataFrame(rows, "document_id string, chunk_uid string, text string, page_no int, level string")
+    assert Scans(df).found.where("kind = 'header'").count() == 300
