@@ -367,26 +367,78 @@ def betweenness(n: int, adj: list[list[tuple[int, float]]], sources=None) -> np.
     return out / ((n - 1) * (n - 2)) if n > 2 and sources is None else out
 
 
-def _neighbours(b: pd.DataFrame):
+def betweenness_of_arcs(n: int, src: np.ndarray, dst: np.ndarray, ww: np.ndarray, sources: np.ndarray, cells: int = 400_000) -> np.ndarray:
+    """What ``betweenness`` adds up from some sources, for arcs in both directions that leave every node; a block of sources is searched at once.
+
+    In each round all nodes settle that are nearer than any open node and its lightest edge: no path can reach them any more. Paths are
+    counted as nodes settle, and their shares go back round by round.
+    """
+    order = np.lexsort((dst, src))
+    src, dst, ww = src[order], dst[order], ww[order]
+    if not n or not ww.min() > 1e-9:
+        adj: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for p, q, s in zip(src.tolist(), dst.tolist(), ww.tolist()):
+            adj[p].append((q, s))
+        return betweenness(n, adj, [int(s) for s in sources])
+    degree = np.bincount(src, minlength=n)
+    first = np.r_[0, np.cumsum(degree)[:-1]]
+    least = np.minimum.reduceat(ww, first)
+    out = np.zeros(n)
+    block = max(1, cells // n)
+    for k in range(0, len(sources), block):
+        own = np.asarray(sources[k : k + block], dtype=np.int64)
+        m = len(own)
+        # cell r * n + v is node v as seen from the r-th source
+        start = np.arange(m) * n + own
+        dist, count, part = np.full(m * n, np.inf), np.zeros(m * n), np.zeros(m * n)
+        dist[start], count[start] = 0.0, 1.0
+        mark, near, rounds = np.zeros(m * n, dtype=np.int64), start, []
+        while len(near):
+            row, d = near // n, dist[near]
+            reach = np.full(m, np.inf)
+            np.minimum.at(reach, row, d + least[near - row * n])
+            settled = d < reach[row] - 2e-12
+            v, near = near[settled], near[~settled]
+            node = v % n
+            many = degree[node]
+            ends = np.cumsum(many)
+            arc = np.arange(ends[-1]) + np.repeat(first[node] - ends + many, many)
+            t, w, x = np.repeat(v - node, many) + dst[arc], ww[arc], np.repeat(dist[v], many)
+            far = dist[t]
+            came = np.abs(far + w - x) <= 1e-12
+            a, b = np.repeat(v, many)[came], t[came]
+            np.add.at(count, a, count[b])
+            rounds.append((a, b))
+            y = x + w
+            closer = y < far
+            t, y = t[closer], y[closer]
+            fresh = t[np.isinf(far[closer])]
+            np.minimum.at(dist, t, y)
+            mark[fresh] = np.arange(len(fresh))
+            near = np.r_[near, fresh[mark[fresh] == np.arange(len(fresh))]]
+        for a, b in reversed(rounds):
+            np.add.at(part, b, count[b] / count[a] * (1 + part[a]))
+        part[start] = 0.0
+        out += part.reshape(m, n).sum(0)
+    return out
+
+
+def _arcs(b: pd.DataFrame):
     ids = sorted({*b["i"], *b["j"]})
-    n, at = len(ids), {u: k for k, u in enumerate(ids)}
+    at = {u: k for k, u in enumerate(ids)}
     x, y, w = b["i"].map(at).to_numpy(), b["j"].map(at).to_numpy(), b["sim"].to_numpy(dtype=float)
-    src, dst, ww = np.r_[x, y], np.r_[y, x], np.r_[w, w]
-    adj: list[list[tuple[int, float]]] = [[] for _ in ids]
-    for p, q, s in sorted(zip(src.tolist(), dst.tolist(), ww.tolist())):
-        adj[p].append((q, s))
-    return ids, src, dst, ww, adj
+    return ids, np.r_[x, y], np.r_[y, x], np.r_[w, w]
 
 
 def _between_tile(key, b):
     """What the shortest paths from the sources of one tile add to every node; sources are dealt out in turn."""
-    ids, _, _, _, adj = _neighbours(b)
+    ids, src, dst, ww = _arcs(b)
     tiles = int(b["_tiles"].iloc[0])
-    return pd.DataFrame({"document_id": key[0], "node": ids, "_between": betweenness(len(ids), adj, range(int(key[1]), len(ids), tiles))})
+    return pd.DataFrame({"document_id": key[0], "node": ids, "_between": betweenness_of_arcs(len(ids), src, dst, ww, np.arange(int(key[1]), len(ids), tiles))})
 
 
 def _central(key, b):
-    ids, src, dst, ww, _ = _neighbours(b)
+    ids, src, dst, ww = _arcs(b)
     n = len(ids)
     degree = np.bincount(src, minlength=n) / max(1, n - 1)
     strength = np.bincount(src, ww, n)

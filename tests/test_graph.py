@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -105,3 +107,39 @@ def test_components(spark):
 def test_average_linkage():
     x = np.array([[1, 0], [0.99, 0.1], [0, 1], [0.1, 0.99]])
     assert models.average_linkage(x, 2).tolist() == [0, 0, 1, 1] and len(set(models.average_linkage(x, 9))) == 4
+
+
+def _arcs_of(n, pairs):
+    src, dst, ww = (np.array(x) for x in zip(*[(*p, w) for i, j, w in pairs for p in ((i, j), (j, i))]))
+    adj = [[] for _ in range(n)]
+    for a, b, w in sorted(zip(src.tolist(), dst.tolist(), ww.tolist())):
+        adj[a].append((b, w))
+    return src, dst, ww, adj
+
+
+def test_betweenness_of_many_sources_at_once_equals_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(3, 25))
+        # a ring, so that every node has an edge, and chords; few lengths, so that many paths are equally short
+        pairs = {(min(i, (i + 1) % n), max(i, (i + 1) % n)) for i in range(n)} | {tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(n)}
+        src, dst, ww, adj = _arcs_of(n, [(i, j, float(rng.choice([0.1, 0.3, 0.6, 0.9, 1.0]))) for i, j in sorted(pairs)])
+        want = G.betweenness(n, adj, range(n))
+        for cells in (1, 60, 10_000):
+            assert np.allclose(G.betweenness_of_arcs(n, src, dst, ww, np.arange(n), cells), want, atol=1e-9)
+    # lengths of nothing, which no round can rest on
+    src, dst, ww, adj = _arcs_of(4, [(0, 1, 0.0), (1, 2, 0.5), (2, 3, 0.5)])
+    assert np.allclose(G.betweenness_of_arcs(4, src, dst, ww, np.arange(4)), G.betweenness(4, adj, range(4)))
+
+
+def test_betweenness_of_a_large_document_takes_a_fraction_of_the_time():
+    rng = np.random.default_rng(6)
+    n = 6000
+    pairs = {tuple(sorted((i, int(j)))) for i in range(n) for j in (*rng.integers(0, n, 1), (i + 1) % n, (i + 7) % n) if i != j}
+    src, dst, ww, adj = _arcs_of(n, [(i, j, float(rng.uniform(0.3, 1.0))) for i, j in sorted(pairs)])
+    sources = np.arange(0, n, 100)
+    t = time.process_time()
+    want = G.betweenness(n, adj, sources.tolist())
+    slow, t = time.process_time() - t, time.process_time()
+    assert np.allclose(G.betweenness_of_arcs(n, src, dst, ww, sources), want, atol=1e-6)
+    assert time.process_time() - t < slow / 3
