@@ -5,8 +5,9 @@ A model is a function from a prompt to a text; ``extractive_summaries`` is the d
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .evaluate import joined_sources
 
 #: Limits of a prompt in tokens and characters, chunks of a prompt, size of a group.
 TOKENS, RESERVED, CHUNK_CHARS, CHUNKS, GROUP = 4096, 400, 1200, 8, 4
+#: Words of a document that have a row of bytes when its summaries are grouped; 255 at most, so that a byte holds their sum.
+COMMON = 255
 #: What a merging prompt asks for, by style.
 REDUCE_STYLES = {"concise": "Merge the summaries into a few sentences.", "bullet": "Merge the summaries into a list of points.", "detailed": "Merge the summaries into full paragraphs."}
 
@@ -42,28 +45,70 @@ def extractive_summaries(summaries: DataFrame, sources: DataFrame, k: int = 2) -
     return s.select("id", F.array_join(F.transform(best, lambda x: x["t"]), " ").alias("summary"))
 
 
-def group_similar(ids: list[str], words: list[set], size: int = GROUP) -> list[list[int]]:
+def group_similar(ids: list[str], words: Iterable[set], size: int = GROUP) -> list[list[int]]:
     """Groups of ``size`` around the smallest id left, of those nearest to it, ties to the smaller id.
 
-    Only texts that share a word with the anchor are scored, found by the word; where they do not fill the group, the smallest ids left do.
+    Texts that share words with the anchor are counted by the word: those of a common word by its row of bytes, those of others by
+    its list. Where they do not fill the group, the smallest ids left do. The counts are made again each time half of the texts are grouped.
     """
     order = sorted(range(len(ids)), key=lambda i: ids[i])
-    holders: dict[str, set[int]] = {}
-    for i in order:
-        for w in words[i]:
-            holders.setdefault(w, set()).add(i)
-    free, out = dict.fromkeys(order), []
-    while free:
-        anchor = next(iter(free))
-        shared = Counter(i for w in words[anchor] for i in holders[w] if i != anchor)
-        close = sorted(shared, key=lambda i: (-shared[i] / (len(words[anchor]) + len(words[i]) - shared[i]), ids[i]))[: size - 1]
-        fill = (i for i in free if i != anchor and i not in shared)
-        group = [anchor, *close, *(x for _, x in zip(range(size - 1 - len(close)), fill))]
-        for i in group:
-            del free[i]
-            for w in words[i]:
-                holders[w].discard(i)
-        out.append(group)
+    code: dict[str, int] = {}
+    coded = [np.fromiter((code.setdefault(w, len(code)) for w in x), dtype=np.int64, count=len(x)) for x in words]
+    names, out = len(code), []
+    del code
+    while order:
+        n = len(order)
+        texts = [coded[i] for i in order]
+        lengths = np.array([len(x) for x in texts])
+        token, text = np.concatenate(texts), np.repeat(np.arange(n), lengths)
+        held = np.bincount(token, minlength=names)
+        # no more rows than a byte can count
+        common = np.flatnonzero(held > max(n / 32, 1))
+        common = common[np.argsort(-held[common], kind="stable")][:COMMON]
+        row = np.full(names, -1)
+        row[common] = np.arange(len(common))
+        rows = np.zeros((len(common), n), dtype=np.uint8)
+        often = row[token] >= 0
+        rows[row[token[often]], text[often]] = 1
+        rare = ~often & (held[token] > 1)
+        by_word = np.argsort(token[rare], kind="stable")
+        holders = text[rare][by_word]
+        ends = np.cumsum(np.bincount(token[rare], minlength=names))
+        # a text that is grouped gets no share of anything
+        sizes, free, left = lengths.astype(np.float64), np.ones(n, dtype=bool), n
+        bytes_, whole = np.empty(n, dtype=np.uint8), np.empty(n)
+        for anchor in range(n):
+            if not free[anchor]:
+                continue
+            if 2 * left <= n and n > 64:
+                break
+            mine = texts[anchor]
+            free[anchor], sizes[anchor] = False, np.inf
+            group, shared = [anchor], None
+            if len(mine):
+                at = row[mine]
+                lists = [holders[ends[w - 1] if w else 0 : ends[w]] for w in mine[(at < 0) & (held[mine] > 1)].tolist()]
+                shared = np.bincount(np.concatenate(lists), minlength=n) if lists else np.zeros(n, dtype=np.int64)
+                bytes_.fill(0)
+                for k in at[at >= 0].tolist():
+                    np.add(bytes_, rows[k], out=bytes_)
+                shared += bytes_
+                np.add(sizes, len(mine), out=whole)
+                np.subtract(whole, shared, out=whole)
+                near = np.divide(shared, whole, out=whole)
+                while len(group) < size:
+                    i = int(near.argmax())
+                    if near[i] <= 0:
+                        break
+                    group.append(i)
+                    near[i], free[i], sizes[i] = 0.0, False, np.inf
+            if len(group) < size and left > len(group):
+                for i in np.flatnonzero(free)[: size - len(group)].tolist():
+                    group.append(i)
+                    free[i], sizes[i] = False, np.inf
+            left -= len(group)
+            out.append([order[i] for i in group])
+        order = [i for i, x in zip(order, free) if x]
     return out
 
 
@@ -77,7 +122,7 @@ def _reduce(key, b):
         while len(now) > 1:
             level += 1
             ids = sorted(now)
-            groups = group_similar(ids, [set(now[i].lower().split()) for i in ids])
+            groups = group_similar(ids, (set(now[i].lower().split()) for i in ids))
             now = {ids[g[0]]: " ".join(_first_sentence(now[ids[k]]) for k in sorted(g)) for g in groups}
             rows.append((key[0], level, len(groups), None))
         final = next(iter(now.values()))

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 
@@ -253,3 +254,33 @@ def test_named_like_words_as_in_unicode(spark):
         return out
 
     assert got == [want(t) for t in texts]
+
+
+def _grouped_one_by_one(ids, words, size):
+    free, out = sorted(range(len(ids)), key=lambda i: ids[i]), []
+    while free:
+        a = free.pop(0)
+        near = {i: len(words[a] & words[i]) / len(words[a] | words[i]) for i in free if words[a] & words[i]}
+        group = sorted(near, key=lambda i: (-near[i], ids[i]))[: size - 1]
+        group += [i for i in free if i not in near][: size - 1 - len(group)]
+        free = [i for i in free if i not in group]
+        out.append([a, *group])
+    return out
+
+
+def test_groups_equal_those_found_by_comparing_all():
+    r = random.Random(3)
+    for _ in range(150):
+        n, most, v = r.randint(0, 200), r.choice([1, 5, 12]), r.choice([3, 40, 600])
+        words = [{str(min(int(r.expovariate(4 / v)), v)) for _ in range(r.randint(0, most))} for _ in range(n)]
+        ids, size = [f"{i:04}" for i in r.sample(range(2000), n)], r.choice([1, 2, 4])
+        assert S.group_similar(ids, iter(words), size) == _grouped_one_by_one(ids, words, size)
+
+
+def test_summaries_of_a_long_document_are_grouped_in_time():
+    r = random.Random(4)
+    # a few words stand in nearly every text, as they do in any language
+    words = [{f"c{k}" for k in range(15) if r.random() < 0.8} | {f"w{int(r.paretovariate(0.4)) % 20000}" for _ in range(25)} for _ in range(8000)]
+    t = time.process_time()
+    groups = S.group_similar([f"{i:05}" for i in range(8000)], words)
+    assert time.process_time() - t < 10 and sorted(i for g in groups for i in g) == list(range(8000))
