@@ -18,8 +18,10 @@ from . import vectors as V
 
 #: Resolutions and seeds of the community search, and the baseline's seed.
 RESOLUTIONS, SEEDS, BASELINE_SEED = (0.5, 1.0, 1.5), (17, 29, 43), 17
-#: Edges of a document for each tile of sources of its shortest paths.
-SOURCES = 2000
+#: Edges of a document for each tile of sources of its shortest paths, and the most tiles, for each holds all its edges.
+SOURCES, TILES = 2000, 64
+#: Rows lowered at once, cells settled at once, and steps told apart, by the search for shortest paths.
+ROWS, CELLS, STEPS = 1024, 100_000, 255
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -367,11 +369,13 @@ def betweenness(n: int, adj: list[list[tuple[int, float]]], sources=None) -> np.
     return out / ((n - 1) * (n - 2)) if n > 2 and sources is None else out
 
 
-def betweenness_of_arcs(n: int, src: np.ndarray, dst: np.ndarray, ww: np.ndarray, sources: np.ndarray, cells: int = 400_000) -> np.ndarray:
+def betweenness_of_arcs(n: int, src: np.ndarray, dst: np.ndarray, ww: np.ndarray, sources: np.ndarray, cells: int | None = None) -> np.ndarray:
     """What ``betweenness`` adds up from some sources, for arcs in both directions that leave every node; a block of sources is searched at once.
 
-    In each round all nodes settle that are nearer than any open node and its lightest edge: no path can reach them any more. Paths are
-    counted as nodes settle, and their shares go back round by round.
+    Distances of a block are rows of a table of single precision, a row for each node, which are lowered until none changes any more. An arc that
+    is longer than the distance it bridges by more than single precision can hide is on no shortest path. The few that are left are taken in steps
+    no longer than the lightest edge, so that a path has one node in a step; lengths in double precision decide which are on one. Sources near
+    each other in turn make fewer rows change at a time.
     """
     order = np.lexsort((dst, src))
     src, dst, ww = src[order], dst[order], ww[order]
@@ -380,6 +384,126 @@ def betweenness_of_arcs(n: int, src: np.ndarray, dst: np.ndarray, ww: np.ndarray
         for p, q, s in zip(src.tolist(), dst.tolist(), ww.tolist()):
             adj[p].append((q, s))
         return betweenness(n, adj, [int(s) for s in sources])
+    if cells is None:
+        cells = max(700_000, min(32 * n, 32_000_000))
+    degree = np.bincount(src, minlength=n)
+    first = np.r_[0, np.cumsum(degree)[:-1]]
+    # rows by falling degree: the k-th arcs of the nodes that have so many leave the first rows
+    rows = np.argsort(-degree, kind="stable")
+    at = np.empty(n, dtype=np.int64)
+    at[rows] = np.arange(n)
+    slots = []
+    for k in range(int(degree.max())):
+        arc = first[rows[degree[rows] > k]] + k
+        slots.append((at[dst[arc]], ww[arc], ww[arc].astype(np.float32)[:, None]))
+    out = np.zeros(n)
+    block = max(1, cells // n)
+    for k in range(0, len(sources), block):
+        own = np.asarray(sources[k : k + block], dtype=np.int64)
+        found = _from_block(n, slots, float(ww.min()), at[own])
+        out += _by_rounds(n, src, dst, ww, own, cells) if found is None else found[at]
+    return out
+
+
+def _from_block(n: int, slots: list, least: float, own: np.ndarray) -> np.ndarray | None:
+    """What the shortest paths from the rows ``own`` add to each row; nothing if paths have too many edges, or lengths are too unlike, for the steps."""
+    dist = _lowered(n, slots, own)
+    if dist is None:
+        return None
+    top = float(dist[np.isfinite(dist)].max())
+    # each sum is wrong by half a unit in the last of 24 bits, at most, for every edge of a path and for the edge itself
+    slack = 8 * (top / least + 3) * 2.0**-24 * top + 2e-12
+    if slack > least / 40 or top / (least - 4 * slack) > STEPS - 1:
+        return None
+    out, some = np.zeros(n), max(1, CELLS // n)
+    for k in range(0, len(own), some):
+        out += _settled(n, slots, least, slack, own[k : k + some], np.ascontiguousarray(dist[:, k : k + some]))
+    return out
+
+
+def _settled(n: int, slots: list, least: float, slack: float, own: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """What ``_from_block`` gives, from distances that are right but for less than ``slack``."""
+    m = len(own)
+    # cell r * m + s is row r as seen from the s-th source
+    a, b, w = [], [], []
+    with np.errstate(invalid="ignore"):
+        for to, ww, narrow in slots:
+            for r in range(0, len(to), 4 * ROWS):
+                x = np.take(dist, to[r : r + 4 * ROWS], axis=0, mode="clip")
+                x += narrow[r : r + len(x)]
+                x -= dist[r : r + len(x)]
+                f = np.flatnonzero(x <= slack)
+                q = f // m + r
+                a.append(f + r * m)
+                b.append((to[q] - q) * m + a[-1])
+                w.append(ww[q])
+    a, b, w = np.concatenate(a), np.concatenate(b), np.concatenate(w)
+    step = (dist.ravel().take(a, mode="clip") * np.float32(1 / (least - 4 * slack))).astype(np.uint8)
+    order = np.argsort(step, kind="stable")
+    a, b, w = (x.take(order, mode="clip") for x in (a, b, w))
+    ends = np.cumsum(np.bincount(step)).tolist()
+    start = own * m + np.arange(m)
+    far, count, part = np.full(n * m, np.inf), np.zeros(n * m), np.zeros(n * m)
+    far[start], count[start] = 0.0, 1.0
+    steps = []
+    for p, q in zip([0, *ends], ends):
+        if p == q:
+            continue
+        x, y = a[p:q], b[p:q]
+        d = far.take(y, mode="clip") + w[p:q]
+        far[x] = d
+        other = far.take(x, mode="clip") != d
+        if other.any():
+            np.minimum.at(far, x[other], d[other])
+            on = d - far.take(x, mode="clip") <= 1e-12
+            x, y = x[on], y[on]
+        ways = count.take(y, mode="clip")
+        np.add.at(count, x, ways)
+        steps.append((x, y, ways))
+    for x, y, ways in reversed(steps):
+        np.add.at(part, y, ways / count.take(x, mode="clip") * (1 + part.take(x, mode="clip")))
+    part[start] = 0.0
+    return part.reshape(n, m).sum(1)
+
+
+def _lowered(n: int, slots: list, own: np.ndarray) -> np.ndarray | None:
+    """Distances, in single precision, of all rows from the rows ``own``; nothing if paths have more edges than there are steps."""
+    m = len(own)
+    dist = np.full((n, m), np.inf, dtype=np.float32)
+    dist[own, np.arange(m)] = 0.0
+    space = np.empty((min(n, ROWS), m), dtype=np.float32)
+    sizes = [len(to) for to, _, _ in slots]
+    changed = np.zeros(n, dtype=bool)
+    changed[own] = True
+    for _ in range(STEPS + 1):
+        touched = np.zeros(n, dtype=bool)
+        for to, _, _ in slots:
+            touched[: len(to)] |= changed[to]
+        rows = np.flatnonzero(touched)
+        changed[:] = False
+        for k in range(0, len(rows), ROWS):
+            r = rows[k : k + ROWS]
+            was = dist[r]
+            now = was.copy()
+            for (to, _, narrow), e in zip(slots, np.searchsorted(r, sizes).tolist()):
+                if not e:
+                    break
+                x = np.take(dist, to[r[:e]], axis=0, out=space[:e], mode="clip")
+                x += narrow[r[:e]]
+                np.minimum(now[:e], x, out=now[:e])
+            changed[r] = (now < was).any(1)
+            dist[r] = now
+        if not changed.any():
+            return dist
+    return None
+
+
+def _by_rounds(n: int, src: np.ndarray, dst: np.ndarray, ww: np.ndarray, sources: np.ndarray, cells: int) -> np.ndarray:
+    """What ``betweenness_of_arcs`` gives, for arcs in order, however long the shortest paths are.
+
+    In each round all nodes settle that are nearer than any open node and its lightest edge: no path can reach them any more. Paths are
+    counted as nodes settle, and their shares go back round by round.
+    """
     degree = np.bincount(src, minlength=n)
     first = np.r_[0, np.cumsum(degree)[:-1]]
     least = np.minimum.reduceat(ww, first)
@@ -424,20 +548,56 @@ def betweenness_of_arcs(n: int, src: np.ndarray, dst: np.ndarray, ww: np.ndarray
 
 
 def _arcs(b: pd.DataFrame):
-    ids = sorted({*b["i"], *b["j"]})
-    at = {u: k for k, u in enumerate(ids)}
-    x, y, w = b["i"].map(at).to_numpy(), b["j"].map(at).to_numpy(), b["sim"].to_numpy(dtype=float)
-    return ids, np.r_[x, y], np.r_[y, x], np.r_[w, w]
+    m, w = len(b), b["sim"].to_numpy(dtype=float)
+    ids, at = np.unique(np.concatenate([b["i"].to_numpy(), b["j"].to_numpy()]), return_inverse=True)
+    return ids, at, np.r_[at[m:], at[:m]], np.r_[w, w]
 
 
-def _between_tile(key, b):
-    """What the shortest paths from the sources of one tile add to every node; sources are dealt out in turn."""
-    ids, src, dst, ww = _arcs(b)
-    tiles = int(b["_tiles"].iloc[0])
-    return pd.DataFrame({"document_id": key[0], "node": ids, "_between": betweenness_of_arcs(len(ids), src, dst, ww, np.arange(int(key[1]), len(ids), tiles))})
+def _packed(sources: int):
+    """One row for a document: its edges as numbers, and its nodes in an order in which near ones follow each other."""
+
+    def run(key, b):
+        ids, src, dst, ww = _arcs(b)
+        n, m = len(ids), len(b)
+        arc = np.argsort(src, kind="stable")
+        to, ends = dst[arc].tolist(), np.cumsum(np.bincount(src, minlength=n)).tolist()
+        seen, order = bytearray(n), []
+        for root in range(n):
+            if not seen[root]:
+                seen[root] = 1
+                k = len(order)
+                order.append(root)
+                while k < len(order):
+                    p = order[k]
+                    for q in to[ends[p - 1] if p else 0 : ends[p]]:
+                        if not seen[q]:
+                            seen[q] = 1
+                            order.append(q)
+                    k += 1
+        row = (key[0], min(TILES, -(-m // sources)), np.array(order, dtype=np.int32).tobytes(), src[:m].astype(np.int32).tobytes(), dst[:m].astype(np.int32).tobytes(), ww[:m].tobytes())
+        return pd.DataFrame([row], columns=["document_id", "_tiles", "_order", "_i", "_j", "_w"])
+
+    return run
 
 
-def _central(key, b):
+def _between_tiles(batches):
+    """What the shortest paths from the sources of each tile add to the nodes of its document."""
+    for b in batches:
+        for t in b.itertuples(index=False, name=None):
+            doc, tiles, order, i, j, w, tile = t
+            order, i, j = (np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in (order, i, j))
+            w, n = np.frombuffer(w), len(order)
+            own = order[tile * n // tiles : (tile + 1) * n // tiles]
+            yield pd.DataFrame({"document_id": [doc], "_part": [betweenness_of_arcs(n, np.r_[i, j], np.r_[j, i], np.r_[w, w], own).tobytes()]})
+
+
+def _added(key, b):
+    out = sum(np.frombuffer(x) for x in b["_part"])
+    return pd.DataFrame({"document_id": key[0], "_at": np.arange(len(out)), "_far": out})
+
+
+def _central(doc, b: pd.DataFrame, paths: bool) -> dict:
+    """Centralities of the nodes of a document, with what all shortest paths add to each if they are wanted."""
     ids, src, dst, ww = _arcs(b)
     n = len(ids)
     degree = np.bincount(src, minlength=n) / max(1, n - 1)
@@ -458,20 +618,38 @@ def _central(key, b):
         rank = 0.15 / n + 0.85 * np.bincount(dst, ww * (last / np.where(strength > 0, strength, 1))[src], n)
         if np.abs(rank - last).sum() < n * 1e-6:
             break
-    return pd.DataFrame({"document_id": key[0], "node": ids, "degree": degree, "eigenvector": eigen, "pagerank": rank, "_n": n})
+    between = betweenness_of_arcs(n, src, dst, ww, np.arange(n)) if paths else np.full(n, np.nan)
+    return {"document_id": np.full(n, doc, dtype=object), "node": ids, "degree": degree, "eigenvector": eigen, "pagerank": rank, "_n": np.full(n, n), "_at": np.arange(n), "_near": between}
+
+
+def _central_of_many(batches):
+    for b, cuts in V.whole_groups(batches, "document_id"):
+        docs = b["document_id"].to_numpy()
+        parts = [_central(docs[p], b.iloc[p:q], True) for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        yield pd.DataFrame({c: np.concatenate([x[c] for x in parts]) for c in parts[0]})
+
+
+def _central_of_one(key, b):
+    return pd.DataFrame(_central(key[0], b, False))
 
 
 def centralities(edges: DataFrame, sources: int = SOURCES) -> DataFrame:
     """Degree, betweenness, eigenvector and PageRank of the nodes of each document, their mean, and the rank by it.
 
-    Shortest paths are searched from ``sources`` nodes in one task; tasks of one document each hold its edges.
+    Documents of more than ``sources`` edges have their shortest paths searched in tiles of sources, dealt out evenly; the edges go to each tile as numbers.
     """
-    c = edges.groupBy("document_id").applyInPandas(_central, "document_id string, node string, degree double, eigenvector double, pagerank double, _n bigint")
-    size = edges.groupBy("document_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / sources)).cast("int").alias("_tiles"))
-    spread = edges.join(size, "document_id").withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    part = spread.groupBy("document_id", "_tile").applyInPandas(_between_tile, "document_id string, node string, _between double").groupBy("document_id", "node").agg(F.sum("_between").alias("_between"))
+    edges = materialize(edges.select("document_id", "i", "j", "sim").where("document_id is not null"), "centrality-edges")
+    large = edges.groupBy("document_id").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > sources).select("document_id")
+    big = edges.join(large, "document_id", "left_semi")
+    small = edges.join(large, "document_id", "left_anti").repartition("document_id").sortWithinPartitions("document_id")
+    shape = "document_id string, node string, degree double, eigenvector double, pagerank double, _n bigint, _at bigint, _near double"
+    c = small.mapInPandas(_central_of_many, shape).unionByName(big.groupBy("document_id").applyInPandas(_central_of_one, shape))
+    packed = big.groupBy("document_id").applyInPandas(_packed(sources), "document_id string, _tiles int, _order binary, _i binary, _j binary, _w binary")
+    tiles = packed.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).repartition(TILES)
+    far = tiles.mapInPandas(_between_tiles, "document_id string, _part binary").groupBy("document_id").applyInPandas(_added, "document_id string, _at bigint, _far double")
+    c = c.join(far, ["document_id", "_at"], "left").withColumn("_between", F.coalesce(F.when(~F.isnan("_near"), F.col("_near")), "_far"))
     pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
-    c = c.join(part, ["document_id", "node"]).withColumn("betweenness", F.when(F.col("_n") > 2, F.col("_between") / pairs).otherwise(F.col("_between")))
+    c = c.withColumn("betweenness", F.when(F.col("_n") > 2, F.col("_between") / pairs).otherwise(F.col("_between")))
     c = c.withColumn("composite_score", (F.col("degree") + F.col("betweenness") + F.col("eigenvector") + F.col("pagerank")) / 4)
     w = Window.partitionBy("document_id").orderBy(F.desc(F.round("composite_score", 9)), "node")
     return c.select("document_id", "node", "degree", "betweenness", "eigenvector", "pagerank", "composite_score", F.row_number().over(w).cast("bigint").alias("rank"))

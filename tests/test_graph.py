@@ -143,3 +143,85 @@ def test_betweenness_of_a_large_document_takes_a_fraction_of_the_time():
     slow, t = time.process_time() - t, time.process_time()
     assert np.allclose(G.betweenness_of_arcs(n, src, dst, ww, sources), want, atol=1e-6)
     assert time.process_time() - t < slow / 3
+
+
+def test_betweenness_of_lengths_and_depths_of_all_kinds():
+    rng = np.random.default_rng(7)
+    chain = [(i, i + 1, 0.5) for i in range(400)]
+    apart = [(10 * c + i, 10 * c + j, float(rng.choice([0.5, 0.6, 0.75]))) for c in range(6) for i in range(10) for j in range(i + 1, 10) if j == i + 1 or rng.random() < 0.3]
+    unlike = [(i, j, float(10 ** rng.uniform(-7, 2))) for i in range(30) for j in range(i + 1, 30) if j == i + 1 or rng.random() < 0.1]
+    # two ways that differ by less than single precision tells
+    close = [(0, 1, 0.5), (1, 3, 0.500000001), (0, 2, 0.500000002), (2, 3, 0.5), (3, 4, 0.7), (0, 5, 0.25), (5, 3, 0.750000001)]
+    for n, pairs in ((401, chain), (60, apart), (30, unlike), (6, close)):
+        src, dst, ww, adj = _arcs_of(n, pairs)
+        want = G.betweenness(n, adj, range(n))
+        assert np.allclose(G.betweenness_of_arcs(n, src, dst, ww, np.arange(n)), want, rtol=1e-9, atol=1e-9)
+
+
+def test_tiles_of_sources_add_up_and_edges_are_searched_for_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [("big", f"n{i:03d}", f"n{j:03d}", float(rng.choice([0.4, 0.5, 0.9]))) for i in range(120) for j in range(i + 1, 120) if rng.random() < 0.03]
+    rows += [(f"d{k}", x, y, s) for k in range(5) for x, y, s in TRIANGLES]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "document_id string, i string, j string, sim double")
+    cut = G.centralities(df.mapInPandas(count, df.schema), sources=20).collect()
+    assert seen.value == len(rows)
+    whole = {(r.document_id, r.node): r for r in G.centralities(df).collect()}
+    assert len(cut) == len(whole) and all(r.betweenness is not None and abs(r.betweenness - whole[r.document_id, r.node].betweenness) < 1e-9 and r["rank"] == whole[r.document_id, r.node]["rank"] for r in cut)
+
+
+def test_best_columns_are_picked_without_a_sort():
+    rng = np.random.default_rng(9)
+    s = np.round(rng.normal(size=(400, 2000)), 1)
+    s[3], s[5, 7] = -np.inf, np.nan
+    i, j = np.array([f"a{k}" for k in range(400)], dtype=object), np.array([f"b{k:04d}" for k in rng.permutation(2000)], dtype=object)
+    got = {}
+    for x, y, v in zip(*V._best(s.copy(), i, j, 3)):
+        got.setdefault(x, []).append((y, v))
+    for k, x in enumerate(i):
+        want = sorted(((-v, y) for v, y in zip(s[k], j) if v > -np.inf), key=lambda p: p)[:3]
+        assert [(y, -v) for v, y in want] == got.get(x, [])
+    t = time.process_time()
+    np.argsort(-s, axis=1, kind="stable")
+    sort, t = time.process_time() - t, time.process_time()
+    V._best(s, i, j, 3)
+    assert time.process_time() - t < sort
+
+
+def test_groups_stay_whole_across_batches(spark):
+    import pandas as pd
+
+    rows = pd.DataFrame({"g": list("aaabbbbbbbbcdde"), "n": range(15)})
+    for size in (1, 2, 4, 15):
+        got = [b["n"].tolist()[p:q] for b, c in V.whole_groups((rows.iloc[k : k + size] for k in range(0, 15, size)), "g") for p, q in zip(c[:-1], c[1:])]
+        assert got == [[0, 1, 2], list(range(3, 11)), [11], [12, 13], [14]]
+    assert not list(V.whole_groups([], "g")) and not list(V.whole_groups([rows.iloc[:0]], "g"))
+    rng = np.random.default_rng(10)
+    many = [(f"d{g}", f"c{g}-{k}", rng.integers(-2, 3, 4).astype(float).tolist()) for g in range(40) for k in range(1 + g % 9)]
+    df = spark.createDataFrame([r for r in many if any(r[2])], "document_id string, chunk_uid string, embedding array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        small = V.group_neighbours(df, "document_id", "chunk_uid", 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    cut = V.group_neighbours(df, "document_id", "chunk_uid", 3, block=2).collect()
+    assert small and sorted(map(tuple, small)) == sorted(map(tuple, cut))
+
+
+def test_blocks_grow_when_they_would_be_many(spark):
+    rng = np.random.default_rng(11)
+    df = vectors(spark, np.round(rng.normal(size=(300, 3)), 1) + [0, 0, 9])
+    whole = sorted(map(tuple, V.group_neighbours(df, "document_id", "chunk_uid", 3).collect()))
+    # 75 blocks of 4 rows would be 8 of 38, 300 of one row would be 19
+    for block in (4, 1):
+        cut = V.group_neighbours(df, "document_id", "chunk_uid", 3, block=block)
+        assert sorted(map(tuple, cut.collect())) == whole
+    x = np.array(["b", "a", "a", "a", "b"]), np.array([4, 3, 2, 1, 5]), np.array([0.5, 0.5, 0.5, 0.7, 0.9])
+    assert [c.tolist() for c in V._nearest(*x, 2)] == [["a", "a", "b", "b"], [1, 2, 5, 4], [0.7, 0.5, 0.9, 0.5]]
